@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,35 @@ def distinct_name(df_columns: Iterable[str], wanted: str) -> str:
 def crc_mod4(doc_id: str = "doc_id"):
     """crc32 of the identifier as text, mod 4; null for a null identifier."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a row is kept from training; false for a null identifier."""
+    return F.coalesce(crc_mod4(doc_id) == 2, F.lit(False))
+
+
+class WordTable:
+    """Rows of numbers computed once for each distinct word.
+
+    Holds ``most`` words; what doesn't fit makes it start anew, so memory stays
+    bounded however many distinct words a partition has.
+    """
+
+    def __init__(self, compute, width: int, most: int):
+        self.compute, self.most, self.at = compute, most, {}
+        self.values = np.zeros((1024, width))
+
+    def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """For each text, given as its words, the rows of its words in order."""
+        words = set().union(*texts) if texts else set()
+        new = words - self.at.keys()
+        if len(self.at) + len(new) > self.most:
+            self.at.clear()
+            new = words
+        if new:
+            new, start = list(new), len(self.at)
+            if start + len(new) > len(self.values):
+                self.values = np.concatenate([self.values[:start], np.zeros((start + 2 * len(new), self.values.shape[1]))])
+            self.values[start : start + len(new)] = self.compute(new)
+            self.at.update(zip(new, range(start, start + len(new))))
+        return [self.values[list(map(self.at.__getitem__, t))] for t in texts]
