@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, toxicity
+from . import exact_dedup, quality, secrets, toxicity
 from .common import held_out
 
 
@@ -38,6 +38,46 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT r, doc_id, source, t,
+         list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+g AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words
+  FROM twice, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),
+f AS (
+  SELECT w.r, doc_id, source, len(ws) AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad
+  FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT coalesce(avg(bad / n), 0) AS m, var_pop(bad / n) AS v FROM h),
+q AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM p),
+verdict AS (SELECT source, (bad + m * k) / (n + k) <= 0.7 AS host_ok FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(host_ok, TRUE) AS kept
+FROM b LEFT JOIN verdict USING (source)
+"""
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -50,9 +90,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_quality": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
