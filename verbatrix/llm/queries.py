@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, secrets, toxicity
+from . import exact_dedup, quality, secrets, simhash, toxicity
 from .common import held_out
 
 
@@ -78,6 +78,10 @@ FROM b LEFT JOIN verdict USING (source)
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -91,6 +95,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
