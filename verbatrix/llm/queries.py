@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, secrets, simhash, toxicity
+from . import exact_dedup, quality, secrets, sentencepiece_fst, simhash, toxicity
 from .common import held_out
 
 
@@ -17,6 +17,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
