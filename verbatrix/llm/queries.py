@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, quality, secrets, sentencepiece_fst, simhash, toxicity
+from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, toxicity
 from .common import held_out
 
 
@@ -41,6 +41,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -104,6 +108,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
     "op3_langid": op3_langid,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
