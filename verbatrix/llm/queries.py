@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, toxicity
-from .common import held_out
+from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, toxicity, warc
+from .common import held_out, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,35 @@ FROM b LEFT JOIN verdict USING (source)
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+
+    def named(uri: str):
+        return F.regexp_extract(uri, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+
+    return warc.read(spark, path).select(
+        named("record_id").alias("page_id"),
+        "payload_bytes",
+        F.col("payload_sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        named("refers_to").alias("refers_to"),
+        "valid",
+    )
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND top > page_id THEN top END AS refers_to, TRUE AS valid
+FROM m
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,11 +140,13 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
     "op7_quality": OP7_SQL,
+    "op8_warc": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
