@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, toxicity, warc
+from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, token_counts, toxicity, warc
 from .common import held_out, shared_dir
 
 
@@ -51,6 +51,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted with their word counts, then revised to a merge
+    tokenizer's counts; that batch is delivered twice; documents without a word go."""
+    docs = table(spark, sf_dir, "documents")
+    keyed = docs.select(token_counts.doc_key().alias("doc_key"), "source", "lang", "text")
+    rollup = token_counts.TokenRollup(spark, shared_dir(spark, "token-counts"))
+    words = keyed.withColumn("n_tokens", mixing.word_count(F.col("text"))).drop("text")
+    rollup.apply("load", words.withColumns({"op": F.lit("insert"), "tokenizer": F.lit("words_1")}))
+    revised = token_counts.bpe_counts(keyed).withColumns({"op": F.lit("revise"), "tokenizer": F.lit("byte_bpe_50k")})
+    rollup.apply("retokenise", revised)
+    rollup.apply("retokenise", revised)
+    rollup.apply("withdraw", words.filter("n_tokens = 0").withColumns({"op": F.lit("delete"), "tokenizer": F.lit("byte_bpe_50k")}))
+    return rollup.totals()
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -139,6 +154,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
