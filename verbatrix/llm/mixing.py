@@ -140,33 +140,65 @@ def fills(sizes: DataFrame, cuts: DataFrame, goals: DataFrame, n_sources: int, r
     return state.select("source", "threshold", "fills")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, size, source_size, target, taken) for every row.
+def _document_hash(id_col: str, text_col: str) -> Column:
+    return F.shiftrightunsigned(mix_hash(id_col, text_col), 4)
 
-    ``size`` is the number of words, ``target`` that of the source and ``taken``
-    the words that the mix takes of the document: whole repeats of it, at most
-    MAX_REPEATS.  A source below its target gives all documents as often as they
-    fit and some once more; one above it gives some documents once.  What the
-    document at the boundary is too long for, a few others fill.  Which documents are taken depends on their hashes alone, so reruns
-    agree, and rows that repeat exactly share their fate.  Null texts have size
-    0; null is a source of its own; an empty table gives an empty one.
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """(documents, sources, number of sources).
+
+    Documents are (id, source, size, h); sources are (plan_source, source_size,
+    target, times, threshold, fills): every document of a source is taken
+    ``times``, and once more if its hash is below the threshold or among the fills.
     """
     kept = durable(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(mix_hash(id_col, text_col), 4).alias("h"),
+            _document_hash(id_col, text_col).alias("h"),
         )
     )
     goals, n = targets(kept.groupBy("source").agg(F.sum("size").alias("source_size")))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = durable(goals.withColumn("times", times.cast("int")).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")))
     cut = fills(kept, thresholds(kept, goals.filter("budget > 0").select("source", "budget"), n), goals, n).withColumnRenamed("source", "cut_source")
-    plan = goals.join(_hinted(cut, n), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    plan = plan.withColumnRenamed("source", "plan_source")
-    once_more = (F.col("h") < F.col("threshold")) | F.array_contains("fills", F.col("h"))
-    taken = F.col("size") * (F.col("times") + F.coalesce(once_more, F.lit(False)).cast("int"))
-    return kept.join(_hinted(plan, n), F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken")
+    sources = goals.join(_hinted(cut, n), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "budget")
+    return kept, sources.withColumnRenamed("source", "plan_source"), n
+
+
+def repeats(h: Column) -> Column:
+    """How often the mix takes a document of hash ``h``, beside the columns of its source's plan."""
+    once_more = (h < F.col("threshold")) | F.array_contains("fills", h)
+    return F.col("times") + F.coalesce(once_more, F.lit(False)).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, size, source_size, target, taken) for every row.
+
+    ``size`` is the number of words, ``target`` that of the source and ``taken``
+    the words that the mix takes of the document: whole repeats of it, at most
+    MAX_REPEATS.  A source below its target gives all documents as often as they
+    fit and some once more; one above it gives some documents once.  What the
+    document at the boundary is too long for, a few others fill.  Which documents are taken depends on their hashes alone, so reruns
+    agree, and rows that repeat exactly share their fate.  Null texts have size
+    0; null is a source of its own; an empty table gives an empty one.
+    """
+    kept, sources, n = plan(docs, id_col, text_col, source_col)
+    return kept.join(_hinted(sources, n), F.col("source").eqNullSafe(F.col("plan_source"))).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * repeats(F.col("h"))).alias("taken")
     )
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as it takes them, with all their columns and no shuffle of texts."""
+    _, sources, n = plan(docs, id_col, text_col, source_col)
+    names = {c: distinct_name(docs.columns, c) for c in sources.columns}
+    key = distinct_name(docs.columns, "mix_copies")
+    packed = sources.select(F.col("plan_source").alias(names["plan_source"]), F.struct("times", "threshold", "fills").alias(key))
+    joined = docs.join(_hinted(packed, n), docs[source_col].eqNullSafe(F.col(names["plan_source"])))
+    h, p = _document_hash(id_col, text_col), F.col(key)
+    once_more = (h < p.threshold) | F.array_contains(p.fills, h)
+    copies = F.array_repeat(F.lit(1), p.times + F.coalesce(once_more, F.lit(False)).cast("int"))
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*out, F.explode(copies).alias(key)).select(*out)
