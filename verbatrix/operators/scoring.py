@@ -26,17 +26,19 @@ def page_score(words: Column, query: Column) -> Column:
 
     For rows that each have a query of their own.
     """
-    size = F.size(words).cast("double")
 
-    def of_terms(terms: Column) -> Column:
-        tf = F.transform(terms, lambda q: F.size(F.filter(words, lambda w: w == q)).cast("double"))
-        weights = F.aggregate(tf, F.lit(0.0), lambda acc, x: acc + _page_idf() * term_weight(x, size, F.lit(float(c.PAGE_LENGTH))))
-        found = F.size(F.filter(tf, lambda x: x > 0))
-        return weights + c.WORD_BONUS * found
+    def with_words(p: Column) -> Column:
+        size = F.size(p.words).cast("double")
 
-    alike = t.let(t.stems(query), lambda qs: F.size(F.filter(t.stems(words), lambda w: F.array_contains(qs, w))))
-    score = t.let(F.array_distinct(query), of_terms) + c.STEM_BONUS * alike
-    return F.when((F.size(words) == 0) | (F.size(query) == 0), F.lit(0.0)).otherwise(score)
+        def of_terms(tf: Column) -> Column:
+            weights = F.aggregate(tf, F.lit(0.0), lambda acc, x: acc + _page_idf() * term_weight(x, size, F.lit(float(c.PAGE_LENGTH))))
+            return weights + c.WORD_BONUS * F.size(F.filter(tf, lambda x: x > 0))
+
+        tfs = F.transform(p.terms, lambda q: F.size(F.filter(p.words, lambda w: w == q)).cast("double"))
+        alike = F.size(F.filter(p.words, lambda w: F.array_contains(p.roots, t.stem(w))))
+        return F.when((size == 0) | (F.size(p.terms) == 0), F.lit(0.0)).otherwise(t.let(tfs, of_terms) + c.STEM_BONUS * alike)
+
+    return t.let(F.struct(words.alias("words"), F.array_distinct(query).alias("terms"), F.array_distinct(t.stems(query)).alias("roots")), with_words)
 
 
 def page_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +100,7 @@ def scored_sentences(items: Column, query: Column) -> Column:
 
     def scored(rows: Column, terms: Column) -> Column:
         n = F.size(rows)
-        mean = F.greatest(F.floor(F.aggregate(rows, F.lit(0), lambda acc, r: acc + r.size) / n), F.lit(1)).cast("double")
+        mean = F.greatest(F.floor(F.aggregate(rows, F.lit(0), lambda acc, r: acc + r.size) / F.greatest(n, F.lit(1))), F.lit(1)).cast("double")
         dfs = F.transform(terms, lambda q, j: F.size(F.filter(rows, lambda r: F.get(r.tf, j) > 0)).cast("double"))
 
         def one(r: Column, ds: Column, m: Column) -> Column:
