@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks, utf8
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker holds the encodings of, and pairs whose merging it knows.
 CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 400_000, 400_000, 64
+BLOCK_BYTES = 4 << 20
 _INF = float("inf")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -114,7 +118,7 @@ class PieceTransducer:
         #: For the end of every piece: the piece it is, or -1 if only longer ones end so.
         self.arcs = dict.fromkeys((p[k:] for p in self.ids_made for k in range(len(p))), -1) | self.ids_made
         self.consistent = Memo(self._consistent, CACHE_PAIRS)
-        self.encoded = Memo(self._encoded, CACHE_CHUNKS)
+        self.encoded: dict[str, bytes] = {}
         self.text_of = [self._text_of(i) for i in range(len(self.pieces))]
 
     # normaliser
@@ -213,63 +217,87 @@ class PieceTransducer:
 
     # shortest path
 
-    def _path(self, text: str) -> list[int] | None:
-        """The output of the shortest path through ``text`` composed with the transducer; None if there is none.
+    def _paths(self, texts: list[str]) -> Iterator[list[int] | None]:
+        """For each text the output of the shortest path through it composed with the transducer; None if there is none.
 
         ``last`` has the piece before each position on its best path: -1 for the
-        start or a fallback character, -2 where no path leads.
+        start or a fallback character, -2 where no path leads.  What is known of
+        the positions that a text shares with the one before stays, so sorted
+        texts are walked like a tree of their beginnings.
         """
-        arcs_of, scores, rare, size = self.arcs, self.scores, 10.0 - self.least, len(text)
+        arcs_of, scores, rare = self.arcs, self.scores, 10.0 - self.least
         consistent = self.consistent if self.kind == BPE else None
-        cost, last, back = [0.0], [-1], [0]
-        for end in range(1, size + 1):
-            start, starts, found, single = end, [], [], False
-            while start and (piece := arcs_of.get(text[start - 1 : end])) is not None:
-                start -= 1
-                if piece >= 0:
-                    starts.append(start)
-                    found.append(piece)
-                    single = single or start == end - 1
-            best, chosen, origin = _INF, -2, 0
-            while found:
-                piece, start = found.pop(), starts.pop()
-                before = last[start]
-                if before == -2:
-                    continue
-                if consistent is not None:
-                    if before < 0 or consistent[before, piece]:
+        cost, last, back, shown = [0.0], [-1], [0], ""
+        for text in texts:
+            size, same = len(text), 0
+            for x, y in zip(shown, text):
+                if x != y:
+                    break
+                same += 1
+            del cost[same + 1 :], last[same + 1 :], back[same + 1 :]
+            shown = text
+            for end in range(same + 1, size + 1):
+                start, starts, found, single = end, [], [], False
+                while start and (piece := arcs_of.get(text[start - 1 : end])) is not None:
+                    start -= 1
+                    if piece >= 0:
+                        starts.append(start)
+                        found.append(piece)
+                        single = single or start == end - 1
+                best, chosen, origin = _INF, -2, 0
+                while found:
+                    piece, start = found.pop(), starts.pop()
+                    before = last[start]
+                    if before == -2:
+                        continue
+                    if consistent is not None:
+                        if before < 0 or consistent[before, piece]:
+                            best, chosen, origin = cost[start] - scores[piece], piece, start
+                            break  # there is no other
+                    elif cost[start] - scores[piece] < best:
                         best, chosen, origin = cost[start] - scores[piece], piece, start
-                        break  # there is no other
-                elif cost[start] - scores[piece] < best:
-                    best, chosen, origin = cost[start] - scores[piece], piece, start
-            if not single and last[end - 1] != -2 and cost[end - 1] + rare < best:
-                best, chosen, origin = cost[end - 1] + rare, -1, end - 1
-            cost.append(best)
-            last.append(chosen)
-            back.append(origin)
-        if last[size] == -2:
-            return None
-        out, end = [], size
-        while end:
-            out += (last[end],) if last[end] >= 0 else self.fallback(text[end - 1])[::-1]
-            end = back[end]
-        out.reverse()
-        return out
-
-    def _encoded(self, chunk: str) -> bytes:
-        path = self._path(chunk)
-        return np.array(self.merged(chunk) if path is None else path, "<i4").tobytes()
+                if not single and last[end - 1] != -2 and cost[end - 1] + rare < best:
+                    best, chosen, origin = cost[end - 1] + rare, -1, end - 1
+                cost.append(best)
+                last.append(chosen)
+                back.append(origin)
+            if last[size] == -2:
+                yield None
+                continue
+            out, end = [], size
+            while end:
+                out += (last[end],) if last[end] >= 0 else self.fallback(text[end - 1])[::-1]
+                end = back[end]
+            out.reverse()
+            yield out
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for text, path in zip(texts, self._paths(texts)):
+            yield array("i", self.merged(text) if path is None else path).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The piece ids of each text as little-endian 32-bit numbers.
+
+        Chunks that aren't known yet are encoded together, in order; what is known
+        is dropped when it is too much, so memory doesn't grow with the texts.
+        """
+        texts = list(map(self.normalise, texts))
+        if self.whole:
+            return [next(self._encoded([t])) if t else b"" for t in texts]
+        known, split = self.encoded, list(map(self.chunk.findall, texts))
+        wanted = set().union(*split) if split else set()
+        new = sorted(c for c in wanted if c not in known and len(c) <= LONGEST_CACHED)
+        if len(known) + len(new) > CACHE_CHUNKS:
+            known.clear()
+            new = sorted(c for c in wanted if len(c) <= LONGEST_CACHED)
+        known.update(zip(new, self._encoded(new)))
+        long = {c for c in wanted if len(c) > LONGEST_CACHED}
+        if not long:
+            return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        return [b"".join(next(self._encoded([c])) if c in long else known[c] for c in chunks) for chunks in split]
 
     def encode(self, text: str) -> bytes:
-        """The piece ids of ``text`` as little-endian 32-bit numbers."""
-        text = self.normalise(text)
-        if self.whole:
-            return self._encoded(text) if text else b""
-        known, made = self.encoded, self._encoded
-        chunks = self.chunk.findall(text)
-        if len(text) > LONGEST_CACHED and max(map(len, chunks)) > LONGEST_CACHED:
-            return b"".join(known[c] if len(c) <= LONGEST_CACHED else made(c) for c in chunks)
-        return b"".join(map(known.__getitem__, chunks))
+        return self.encode_all([text])[0]
 
     def _text_of(self, i: int) -> bytes:
         kind = self.types[i]
@@ -312,8 +340,10 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compiled(shared.value)
         for batch in batches:
-            ids = _lists([made.encode(t or "") for t in batch.column(at).to_pylist()])
-            yield batch.set_column(at, out_col, ids)
+            texts = utf8(batch.column(at))
+            for low, high in blocks(texts, BLOCK_BYTES):
+                ids = _lists(made.encode_all([(t or b"").decode() for t in texts[low:high]]))
+                yield batch.slice(low, high - low).set_column(at, out_col, ids)
 
     return docs.mapInArrow(run, ", ".join(fields))
 
@@ -345,16 +375,16 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compiled(shared.value)
         for batch in batches:
-            sizes, shas, equal = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = made.encode(t or "")
-                sizes.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
-                equal.append(made.decode(ids) == (t or ""))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(equal, pa.bool_())],
-                ["id", "n_pieces", "ids_sha256", "decoded_equal"],
-            )
+            texts = utf8(batch.column(1))
+            for low, high in blocks(texts, BLOCK_BYTES):
+                part = [(t or b"").decode() for t in texts[low:high]]
+                made_ids = made.encode_all(part)
+                columns = [
+                    pa.array([len(ids) // 4 for ids in made_ids], pa.int64()),
+                    pa.array([hashlib.sha256(ids).hexdigest() for ids in made_ids], pa.string()),
+                    pa.array([made.decode(ids) == t for ids, t in zip(made_ids, part)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], ["id", "n_pieces", "ids_sha256", "decoded_equal"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
