@@ -150,7 +150,9 @@ def test_links_are_all_found(spark, bits, m):
     assert got == want and want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(sh, "ONE_TASK", one_task)
     rng = np.random.default_rng(4)
     path = [(i, i + 1) for i in range(40)]
     edges = path + [(100, int(x)) for x in rng.integers(101, 140, 30)] + [tuple(map(int, rng.integers(200, 260, 2))) for _ in range(40)]

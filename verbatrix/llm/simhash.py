@@ -27,6 +27,8 @@ MAX_BITS = 2
 SEGMENTS = 5
 SEED = 42
 BLOCK_BYTES = 1 << 22
+#: Edges up to this number (16 bytes each) are connected in one task.
+ONE_TASK = 500_000
 #: For groups by similarity: independent fingerprints, places on the ring at which
 #: each is sorted, neighbours compared at each place, and pairs of a text verified.
 FAMILY, ROTATIONS, NEIGHBOURS, VERIFIED = 12, 4, 8, 3
@@ -135,10 +137,32 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, m: int = SEGMENTS) -> DataFr
     )
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task, by union-find over numbered nodes."""
+    parts = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    root = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in ends.reshape(2, -1).T.tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    roots = nodes[[find(x) for x in range(len(nodes))]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); ``root`` is the smallest node of its component.
 
-    Alternates large-star and small-star steps until the edges stay as they are,
+    Up to ONE_TASK edges, which are counted first, one task does it.  Beyond,
+    large-star and small-star steps alternate until the edges stay as they are,
     which takes few rounds however long the paths are.  Each step is a minimum by
     node and a join, so no neighbourhood is gathered in one place.
     """
@@ -147,13 +171,18 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def star(pairs: DataFrame) -> DataFrame:
-        """(u, v, m): each directed edge with the least of u and all its neighbours."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        """(u, v, m): each directed edge with the least of u and all its neighbours.
+
+        The least ones are written, so that the join can split a node of many neighbours over tasks.
+        """
+        least = durable(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return pairs.join(least, "u")
 
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = rounds(edges)
-    while state[0]:
+    if state[0] <= ONE_TASK:
+        return durable(edges.coalesce(1).mapInArrow(_union, "node bigint, root bigint"))
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -192,7 +221,8 @@ def near_duplicates(
     """
     rows = durable(fingerprints(docs, id_col, text_col, n))
     distinct = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    named = classes(distinct, links(distinct.select("fp"), max_bits, m))
+    # written, so that the join reads both sides from exchanges and a hot fingerprint's rows can be split over tasks
+    named = durable(classes(distinct, links(distinct.select("fp"), max_bits, m)))
     return rows.join(named, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
