@@ -139,9 +139,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ambiguous = chunk_dictionary(rows).filter(~F.col("verified")).limit(1).count()
     recipe = "chunk_digests" if ambiguous else "chunk_ids"
     rows = rows.select("id", "rid", "text_sha256", F.col(recipe).alias("recipe"))
-    groups = rows.groupBy("recipe").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("first"),
-        F.count("*").alias("group_size"),
+    # written, so that the join reads both sides from exchanges and a hot recipe's rows can be split over tasks
+    groups = durable(
+        rows.groupBy("recipe").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("first"),
+            F.count("*").alias("group_size"),
+        )
     )
     return rows.join(groups, "recipe").select(
         F.col("id").alias(id_col),
@@ -166,10 +169,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = ids.filter((F.col(flag) > 1) & (F.col("any_kept") == 1)).select(key)
     if shared.limit(1).count():
         sha = distinct_name(docs.columns, "kept_sha")
-        wanted = marked.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias("wanted_sha"))
+        wanted_sha = distinct_name(docs.columns, "wanted_sha")
+        wanted = marked.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(wanted_sha))
         digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
         rest = docs.withColumn(sha, digest)
         rest = rest.join(shared, rest[id_col].eqNullSafe(F.col(key)), "left_semi")
-        rest = rest.join(wanted, rest[id_col].eqNullSafe(F.col(key)) & (rest[sha] == F.col("wanted_sha")), "left_semi")
+        rest = rest.join(wanted, rest[id_col].eqNullSafe(F.col(key)) & (rest[sha] == F.col(wanted_sha)), "left_semi")
         out = out.unionByName(rest.dropDuplicates([id_col, sha]).drop(sha))
     return out
