@@ -33,10 +33,6 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _set(words) -> Column:
-    return F.array(*map(F.lit, words))
-
-
 def trimmed(text: Column) -> Column:
     """``text`` without white space at both ends, as Unicode has it."""
     return F.btrim(text, F.lit(c.WHITE_SPACE))
@@ -207,8 +203,7 @@ def tokens(text: Column) -> Column:
     """Lower-case words without punctuation at their ends, cut at underscores, without stop words."""
     words = F.split(F.lower(text), r"(?U)\s+")
     parts = F.flatten(F.transform(words, lambda w: F.split(F.btrim(w, F.lit(c.TOKEN_TRIM)), "_")))
-    stop = _set(c.STOP_WORDS)
-    return F.filter(parts, lambda p: (p != "") & ~F.array_contains(stop, p))
+    return F.filter(parts, lambda p: (p != "") & ~p.isin(c.STOP_WORDS))
 
 
 def stem(word: Column) -> Column:

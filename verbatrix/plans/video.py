@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators.highlight import char_highlights
 from ..sources import video
 
-NO_ASSETS = "[ytb] subtitles and comments aren't available; only metadata is returned."
+NO_ASSETS = "Subtitles and comments aren't available; only metadata is returned."
 
 
 def _line(label: str, value: Column, unit: str = "") -> Column:
