@@ -203,3 +203,47 @@ def test_sharing_below_the_threshold_stays(spark):
     shared = [f"s{x}" for x in rng.integers(0, 10**6, 60)]
     rows = [(i, " ".join(shared + [f"w{x}" for x in rng.integers(0, 10**6, 60)])) for i in range(40)]
     assert sh.drop_similar(docs(spark, rows)).count() == 40
+
+
+def grouped(rows, similarity=0.8):
+    """The smallest ids of the groups, by comparing all pairs."""
+    rows = sorted(rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    root = closure(range(len(rows)), links)
+    return {rows[r][0] for r in set(root.values())}
+
+
+def edited(words, rng, places):
+    own = list(words)
+    for at in places:
+        own[at] = f"e{rng.integers(0, 10**9)}"
+    return " ".join(own)
+
+
+@pytest.mark.parametrize("pairwise,block", [(128, 1 << 17), (8, 2000), (10**6, 1 << 17)])
+def test_copies_linked_by_the_original_alone(spark, monkeypatch, pairwise, block):
+    monkeypatch.setattr(sh, "PAIRWISE", pairwise)
+    monkeypatch.setattr(sh, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 130)]
+    rows = [(500, " ".join(words))] + [(i, edited(words, rng, rng.choice(np.arange(5, 125), 2, replace=False))) for i in range(150)]
+    cloud = [f"c{x}" for x in rng.integers(0, 10**6, 100)]
+    for i in range(60):  # similar by less than 0.8, but for pairs
+        text = cloud + [f"o{x}" for x in rng.integers(0, 10**9, 16)]
+        rows += [(1000 + 2 * i, " ".join(text)), (1001 + 2 * i, edited(text, rng, [108]))]
+    want = grouped(rows)
+    assert {r.doc_id for r in sh.drop_similar(docs(spark, rows).repartition(5)).collect()} == want
+    assert len(want) == 61
+
+
+def test_thousands_of_copies_of_one_original(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 130)]
+    rows = [(9000, " ".join(words))] + [(i, edited(words, rng, rng.choice(np.arange(5, 125), 2, replace=False))) for i in range(3000)]
+    assert [r.doc_id for r in sh.drop_similar(docs(spark, rows)).collect()] == [0]

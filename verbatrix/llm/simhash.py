@@ -16,8 +16,9 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, distinct_name, durable, utf8
@@ -29,12 +30,13 @@ SEED = 42
 BLOCK_BYTES = 1 << 22
 #: Edges up to this number (16 bytes each) are connected in one task.
 ONE_TASK = 500_000
-#: For groups by similarity: independent fingerprints, places on the ring at which
-#: each is sorted, neighbours compared at each place, and pairs of a text verified.
-FAMILY, ROTATIONS, NEIGHBOURS, VERIFIED = 12, 4, 8, 3
-#: Most differing bits of 64, and segments of the ring, of a candidate pair there:
-#: the mean at similarity 0.8 is under 10 with a deviation of 3.
-LOOSE_BITS, LOOSE_SEGMENTS = 18, 8
+#: For groups by similarity: cells in which shingles are counted to order them (4 bytes
+#: each), and how many of them one row of the counts holds.
+CELL_BITS, SLICE = 20, 1 << 14
+#: Texts that share a shingle up to this number are paired by a join, more of them in blocks.
+PAIRWISE = 128
+#: Shingles of one block about, and columns multiplied at a time.
+BLOCK_SHINGLES, TILE = 1 << 17, 1 << 11
 #: Shingles whose bits are unpacked at a time.
 VOTE_BLOCK = 1 << 14
 
@@ -234,29 +236,70 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def family(hashes: np.ndarray, size: int = FAMILY) -> np.ndarray:
-    """``size`` independent fingerprints of a set of shingle hashes."""
-    votes = np.zeros((size, 64), np.int64)
-    for low in range(0, len(hashes), VOTE_BLOCK):
-        part = hashes[low : low + VOTE_BLOCK]
-        for k in range(size):
-            h = (part ^ np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
-            h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            h ^= h >> np.uint64(33)
-            votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+def set_node(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles, the same for equal sets."""
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED))
 
 
-def _families(n: int):
+def cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _named(n: int):
+    """(id, h, node) for every row, and at the end of a task its counts of shingles by cell, in slices."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kind = np.zeros(1 << CELL_BITS, np.int32), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             texts = utf8(batch.column(2))
             for low, high in blocks(texts, BLOCK_BYTES):
                 sets = [shingle_set(t or b"", n) for t in texts[low:high]]
-                values = [family(x).view(np.int64) if len(x) else None for x in sets]
+                np.add.at(counts, cells(np.concatenate(sets)), 1)
+                nodes = [set_node(x) if len(x) else None for x in sets]
+                size = high - low
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(values, pa.list_(pa.int64()))], ["id", "h", "fps"]
+                    [batch.column(0).slice(low, size), batch.column(1).slice(low, size), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                    ["id", "h", "node", "slice", "counts"],
                 )
+        if kind is not None:
+            for k, part in enumerate(counts.reshape(-1, SLICE)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                        ["id", "h", "node", "slice", "counts"],
+                    )
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.zeros(SLICE, np.uint32)
+    for part in table.column("counts"):
+        total += np.frombuffer(part.as_py(), np.int32).astype(np.uint32)
+    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def cell_counts(written: DataFrame) -> np.ndarray:
+    """How many texts have the shingles of each cell, of all texts; ``CELL_BITS`` bound its size."""
+    out = np.zeros(1 << CELL_BITS, np.uint32).reshape(-1, SLICE)
+    for r in written.filter("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
+
+
+def _prefixes(n: int, similarity: float, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for low, high in blocks(texts, BLOCK_BYTES):
+                sets = [x for x in (shingle_set(t or b"", n) for t in texts[low:high]) if len(x)]
+                firsts = []
+                for x in sets:
+                    length = len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1
+                    firsts.append(x[np.lexsort((x, counts[cells(x)]))[:length]].view(np.int64))
+                columns = [pa.array([set_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "prefix"])
 
     return run
 
@@ -267,67 +310,124 @@ def _sets(n: int):
             texts = utf8(batch.column(1))
             for low, high in blocks(texts, BLOCK_BYTES):
                 values = [shingle_set(t or b"", n).view(np.int64) for t in texts[low:high]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(values, pa.list_(pa.int64()))], ["rid", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(values, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of every set of ``left`` with every one of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, values = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = both[at] == values
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], rows[known][order]
+
+    if not len(both):
+        return out
+    (at_l, rows_l), (at_r, rows_r) = places(left), places(right)
+    for low in range(0, len(both), TILE):
+        tiles = []
+        for at, rows, size in ((at_l, rows_l, len(left)), (at_r, rows_r, len(right))):
+            a, b = np.searchsorted(at, (low, low + TILE))
+            tile = np.zeros((size, TILE), np.float32)
+            tile[rows[a:b], at[a:b] - low] = 1
+            tiles.append(tile)
+        out += (tiles[0] @ tiles[1].T).astype(np.int32)
+    return out
+
+
+def _block_links(similarity: float):
+    """The links between two blocks of sets (or within one), as a spanning forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
+        shingles = table.column("shingles").combine_chunks()
+        if isinstance(shingles, pa.ChunkedArray):
+            shingles = pa.concat_arrays(shingles.chunks)
+        flat, ends = shingles.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(shingles).to_numpy())
+        sets = np.split(flat, ends[:-1])
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        at_x, at_y = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        edges = []
+        if len(at_x) and len(at_y):
+            size = np.diff(ends, prepend=0)
+            both = shared_sizes([sets[i] for i in at_x], [sets[i] for i in at_y])
+            linked = both >= similarity * (size[at_x][:, None] + size[at_y][None, :] - both)
+            root = list(range(len(nodes)))
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
+            for i, j in np.argwhere(linked).tolist():
+                a, b = find(int(at_x[i])), find(int(at_y[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    edges.append((nodes[at_x[i]], nodes[at_y[j]]))
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (place, rotated), each with the nearest of the rows before it that passes the filters."""
-    shares = [(k + 1) * LOOSE_BITS // LOOSE_SEGMENTS for k in range(LOOSE_SEGMENTS)]
-    masks = [np.uint64(m) for m in reversed(_masks(LOOSE_SEGMENTS))]  # from the upper end, where rows agree
-    kept = [np.zeros(0, np.int64)] * 4
-    for batch in batches:
-        fresh = [c.to_numpy() for c in batch.columns]
-        rid, place, rotated, other = (np.concatenate(x) for x in zip(kept, fresh))
-        rotated, other = rotated.astype(np.int64).view(np.uint64), other.astype(np.int64).view(np.uint64)
-        old = len(kept[0])
-        best, partner = np.full(len(rid), 1 << 20), np.full(len(rid), -1)
-        for lag in range(1, min(NEIGHBOURS, len(rid) - 1) + 1):
-            x = rotated[lag:] ^ rotated[:-lag]
-            within, total = place[lag:] == place[:-lag], np.zeros(len(x), np.int64)
-            for mask, share in zip(masks, shares):
-                total += np.bitwise_count(x & mask)
-                within &= total <= share
-            more = np.bitwise_count(other[lag:] ^ other[:-lag]).astype(np.int64)
-            within &= more <= LOOSE_BITS
-            better = within & (total + more < best[lag:])
-            best[lag:][better] = (total + more)[better]
-            partner[lag:][better] = rid[:-lag][better]
-        at = np.flatnonzero(partner[old:] >= 0) + old
-        yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(partner[at]), pa.array(best[at].astype(np.int32))], ["e", "o", "distance"])
-        kept = [x[-NEIGHBOURS:] for x in (rid, place, rotated.view(np.int64), other.view(np.int64))]
-
-
-def similar_pairs(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
-    """(a, b): verified pairs of the ``rid`` of ``rows`` (rid, id, h, fps).
-
-    Each fingerprint of a family is laid out from several places of the ring and
-    sorted, which brings texts together whose chains from there agree longest,
-    however many texts there are; no bucket forms, so none can be too large.  A
-    row is compared with the few before it: chains of segments must stay within
-    their shares, then two whole fingerprints near each other.  The nearest
-    partners are verified on the sets of shingles themselves.
+def block_pairs(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block) and (x, y): blocks of texts, and the pairs of them with a shingle of ``hot`` (token, node, n, size) in common.
+
+    A text goes with those that share its most frequent shingle; blocks of one
+    shingle are drawn by hash, so that each holds about BLOCK_SHINGLES.
+    """
+    keyed = durable(hot.groupBy("node").agg(F.max(F.struct("n", "token")).alias("k"), F.first("size").alias("size")).select("node", F.col("k.token").alias("key"), "size"))
+    load = keyed.groupBy("key").agg(F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // 512) / BLOCK_SHINGLES).alias("chunks"))
+    placed = durable(keyed.join(load, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("block")))
+    by_token = durable(hot.join(placed, "node").select("token", "block").distinct())
+    left, right = by_token.withColumnRenamed("block", "x"), by_token.withColumnRenamed("block", "y")
+    return placed, durable(left.join(right, "token").filter("x <= y").select("x", "y").distinct())
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame, counts: np.ndarray, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes of ``rows`` (id, h, node) that connect all texts of similarity ``similarity`` or more.
+
+    An exact join by prefixes.  All shingles have one order, from the rare to the
+    frequent as ``counts`` has them (which matters to the effort only); two similar
+    sets share a shingle among the first ``(1 - similarity) * size + 1`` of each.
+    Pairs that share one of up to PAIRWISE texts are counted, and verified if the
+    number of common ones leaves the similarity possible.  Texts that share a more
+    frequent one are compared in blocks, each pair of blocks in one piece; of
+    their links a spanning forest is kept.  Every verification is on the whole sets.
     """
-    turned = []
-    for k in range(FAMILY):
-        fp, other = F.col("fps")[k], F.col("fps")[(k + 1) % FAMILY]
-        for r in range(ROTATIONS):
-            bits = 64 * r // ROTATIONS
-            rotated = F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits)) if bits else fp
-            turned.append(F.struct(F.lit(k * ROTATIONS + r).cast("long").alias("place"), rotated.alias("rotated"), other.alias("other")))
-    placed = rows.filter("fps IS NOT NULL").select("rid", F.explode(F.array(*turned)).alias("t")).select("rid", "t.*")
-    near = placed.repartitionByRange("place", "rotated", "rid").sortWithinPartitions("place", "rotated", "rid").mapInArrow(_neighbours, "e bigint, o bigint, distance int")
-    near = near.groupBy("e", "o").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("e").orderBy("distance", "o")
-    pairs = durable(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= VERIFIED).select(F.least("e", "o").alias("a"), F.greatest("e", "o").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(rows.select("rid", "id", "h"), "rid")
+    first = durable(docs.select(text_col).mapInArrow(_prefixes(n, similarity, counts), "node bigint, size int, prefix array<bigint>").dropDuplicates(["node"]))
+    entries = first.select("node", "size", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
+    shared = durable(entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    marked = durable(entries.join(shared, "token"))
+    hot = marked.filter(F.col("n") > PAIRWISE)
+    heavy = hot.groupBy("node").agg(F.count("*").alias("hot"))
+    cold = durable(marked.filter(F.col("n") <= PAIRWISE).join(heavy, "node", "left").select("token", F.struct("node", "size", (F.col("size") - F.col("length")).alias("rest"), F.coalesce("hot", F.lit(0)).alias("hot")).alias("t")))
+    left, right = cold.withColumnRenamed("t", "l"), cold.withColumnRenamed("t", "r")
+    smaller, larger = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
+    met = left.join(right, "token").filter((F.col("l.node") < F.col("r.node")) & (smaller >= similarity * larger - 1e-6))
+    most = F.col("common") + F.least("l.hot", "r.hot") + F.greatest("l.rest", "r.rest")
+    needed = similarity / (1 + similarity) * (F.col("l.size") + F.col("r.size")) - 1e-6
+    pairs = durable(met.groupBy("l", "r").agg(F.count("*").alias("common")).filter(most >= needed).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    placed, joined = block_pairs(hot)
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(placed.select("node")).distinct()
+    named = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "h")).alias("one")).select("node", "one.id", "one.h").join(wanted, "node")
     texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("dh"), F.col(text_col).alias("text"))
-    found = wanted.join(texts, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("rid", "text")
-    sets = durable(found.mapInArrow(_sets(n), "rid bigint, shingles array<bigint>").dropDuplicates(["rid"]))
-    left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb"))
+    found = named.join(texts, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("node", "text")
+    sets = durable(found.mapInArrow(_sets(n), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+
+    of_a, of_b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    verified = pairs.join(of_a, "a").join(of_b, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    ends = joined.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    pieces = ends.join(placed.join(sets, "node"), "block").select("x", "y", "block", "node", "shingles")
+    return verified.unionAll(pieces.groupBy("x", "y").applyInArrow(_block_links(similarity), "a bigint, b bigint"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -335,16 +435,16 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two texts are near-duplicates if their sets of word ``n``-grams have a Jaccard
     similarity of ``similarity`` or more; groups are connected by such pairs, and
-    the row with the smallest id stays (null last).  Candidates come from sorted
-    fingerprints, so a pair is found with a probability that falls towards the
-    threshold, and never reported below it.  Texts without a word are kept all;
-    rows that repeat both id and text share their fate.
+    the row with the smallest id stays (null last).  All such pairs count, however
+    many texts there are and however they are partitioned.  Texts without a word
+    are kept all; rows that repeat both id and text share their fate.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = durable(source.mapInArrow(_families(n), f"id {kind}, h bigint, fps array<bigint>").withColumn("rid", F.monotonically_increasing_id()))
-    roots = components(similar_pairs(docs, rows, id_col, text_col, n, similarity))
-    members = durable(roots.join(rows.select(F.col("rid").alias("node"), "id", "h"), "node"))
+    written = durable(source.mapInArrow(_named(n), f"id {kind}, h bigint, node bigint, slice int, counts binary"))
+    rows = written.filter("slice IS NULL").select("id", "h", "node")
+    roots = components(similar_pairs(docs, rows, cell_counts(written), id_col, text_col, n, similarity))
+    members = durable(rows.filter("node IS NOT NULL").join(roots.distinct(), "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")))
     first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("first"))
     gone = members.join(first, "root").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))))
     key, hash_key = distinct_name(docs.columns, "gone_id"), distinct_name(docs.columns, "gone_h")
