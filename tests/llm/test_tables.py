@@ -178,6 +178,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.target_uri for r in got if r.record_id == "<urn:page:1>"] == ["http://a/%0D%0AX:%20y%20z"]
 
 
+def test_warc_rows_of_one_id_or_none_stay_apart(spark, tmp_path):
+    long = [c * (2 * warc.SEGMENT_BYTES + k) for k, c in enumerate("abcde")]
+    rows = [(7, "u", long[0]), (7, "v", long[1]), (None, "w", long[2]), (None, None, long[3]), (8, "x", long[4]), (8, "y", long[4]), (3, "z", long[4]), (None, "s", "short")]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = warc.read(spark, path).collect()
+    want = Counter()
+    for i, u, h in rows:
+        want[f"<urn:page:{'null' if i is None else i}>", u or "", "revisit" if i == 3 else "response", "<urn:page:8>" if i == 3 else None, len(h), hashlib.sha1(h.encode()).hexdigest()] += 1
+    assert Counter((r.record_id, r.target_uri, r.type, r.refers_to, r.payload_bytes, r.payload_sha1) for r in got) == want
+    assert all(r.valid for r in got)
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
+    heads = [h for h, _ in warc.parse(data)]
+    ids = {h["warc-record-id"] for h in heads}
+    assert len(ids) == len(heads) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= ids
+
+
 def test_warc_files_are_standard(spark, tmp_path):
     _, df = pages(spark)
     path = str(tmp_path / "w")

@@ -4,7 +4,7 @@ Written are response records with an HTTP head and a body in chunked transfer
 framing; what exceeds a segment goes on in continuation records.  Of equal large
 payloads one is written, the others are revisit records.  The reader parses the
 files by their lengths, groups continuation records by the identifier of their
-origin, puts segments in order, verifies the total length, takes off the framing
+origin (which is each written row's own), puts segments in order, verifies the total length, takes off the framing
 and verifies the digest.
 """
 
@@ -61,6 +61,12 @@ def dechunked(data: bytes) -> bytes | None:
         at += size + 2
 
 
+def split_identifier(text: str | None) -> tuple[str | None, str | None]:
+    """A record's identifier as that of its page and what tells it from the page's other rows."""
+    m = re.fullmatch(r"(<urn:page:[^;>]*);row=([0-9]+)>", text or "")
+    return (m[1] + ">", m[2]) if m else (text, None)
+
+
 def header_value(text: str | None) -> bytes:
     """``text`` as a header's value: controls, spaces and % are percent-encoded."""
     return re.sub(rb"[\x00-\x20\x7f%]", lambda m: b"%%%02X" % m[0][0], (text or "").encode())
@@ -107,24 +113,26 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Null html counts as empty.  Of rows whose payloads are equal (by SHA-1 and
     size) and at least DEDUP_BYTES long the one with the largest id is a
     response, the others are revisits; rows that repeat this id too are responses
-    each.  A null id is written as ``null`` and never referred to.
+    each, and revisits refer to one of them.  A null id is written as ``null`` and
+    never referred to.  Every record's identifier is the page's with a number of the
+    row's own, so rows that repeat an id or have none stay apart.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(
-        F.col(id_col).cast("string").alias("name"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1")
+        F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(";row="), F.monotonically_increasing_id()).alias("name"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1")
     ).withColumn("size", F.length("payload"))
     same = durable(
-        rows.filter(F.col("size") >= DEDUP_BYTES).groupBy("sha1", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        rows.filter(F.col("size") >= DEDUP_BYTES).groupBy("sha1", "size").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("id", "name"))).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
     joined = rows.join(same.withColumnsRenamed({"sha1": "same_sha1", "size": "same_size"}), (F.col("sha1") == F.col("same_sha1")) & (F.col("size") == F.col("same_size")), "left")
-    refers = F.when(F.col("first") > F.col("id"), F.col("first").cast("string"))
+    refers = F.when(F.col("first.id") > F.col("id"), F.col("first.name"))
     slim = joined.select("name", "url", "payload", "sha1", F.length("payload").alias("size"), refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                name, url = (r["name"] or "null").encode(), header_value(r["url"])
+                name, url = r["name"].encode(), header_value(r["url"])
                 if r["refers_to"] is not None:
                     out.append(revisit(name, url, r["size"], r["sha1"], r["refers_to"].encode()))
                 else:
@@ -171,10 +179,11 @@ def _inflate(data: bytes) -> bytes:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(type, record_id, origin, segment, total, target_uri, refers_to, digest, block) of all records under ``path``.
+    """(type, record_id, origin, row, segment, total, target_uri, refers_to, digest, block) of all records under ``path``.
 
     ``origin`` is the identifier that a record's segments share, its own for one
-    that isn't a continuation.
+    that isn't a continuation.  Identifiers are those of pages; ``row`` is what
+    tells the origin from other rows of its page, null in files of other writers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +193,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 rows = [
                     {
                         "type": h.get("warc-type"),
-                        "record_id": h.get("warc-record-id"),
-                        "origin": h.get("warc-segment-origin-id", h.get("warc-record-id")),
+                        "record_id": split_identifier(h.get("warc-record-id"))[0],
+                        "origin": split_identifier(h.get("warc-segment-origin-id", h.get("warc-record-id")))[0],
+                        "row": split_identifier(h.get("warc-segment-origin-id", h.get("warc-record-id")))[1],
                         "segment": int(h.get("warc-segment-number", 1)),
                         "segmented": "warc-segment-number" in h,
                         "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
                         "target_uri": h.get("warc-target-uri"),
-                        "refers_to": h.get("warc-refers-to"),
+                        "refers_to": split_identifier(h.get("warc-refers-to"))[0],
                         "digest": h.get("warc-payload-digest"),
                         "block": block,
                     }
@@ -201,12 +211,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
     text = pa.string()
     schema = pa.schema(
-        [("type", text), ("record_id", text), ("origin", text), ("segment", pa.int32()), ("segmented", pa.bool_()), ("total", pa.int64()), ("target_uri", text), ("refers_to", text), ("digest", text), ("block", pa.binary())]
+        [("type", text), ("record_id", text), ("origin", text), ("row", text), ("segment", pa.int32()), ("segmented", pa.bool_()), ("total", pa.int64()), ("target_uri", text), ("refers_to", text), ("digest", text), ("block", pa.binary())]
     )
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(
         run,
-        "type string, record_id string, origin string, segment int, segmented boolean, total bigint, target_uri string, refers_to string, digest string, block binary",
+        "type string, record_id string, origin string, row string, segment int, segmented boolean, total bigint, target_uri string, refers_to string, digest string, block binary",
     )
 
 
@@ -218,7 +228,7 @@ def reassembled(found: DataFrame) -> DataFrame:
     that the last one states.
     """
     whole = found.filter(~F.col("segmented")).drop("segmented", "total", "segment").withColumn("complete", F.lit(True))
-    parts = found.filter("segmented").groupBy("origin").agg(
+    parts = found.filter("segmented").groupBy("origin", "row").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("type", "record_id", "target_uri", "refers_to", "digest")),
