@@ -145,6 +145,27 @@ def test_der_keys(key):
     assert kinds(pem.replace("\n", "\nAAAA", 1)) == []
 
 
+DSA = tlv(0x30, b"".join(tlv(2, x) for x in (b"\0", b"\1" * 64, b"\2" * 20, b"\3" * 64, b"\4" * 64, b"\5" * 20)))
+
+
+@pytest.mark.parametrize("key,kind", [(RSA, "der"), (DSA, "der"), (SSH, "ssh")])
+def test_keys_right_after_an_equals_sign(key, kind):
+    for url in (False, True):
+        for before in ("SIGNING_KEY=", "https://a/?k=", "A_NAME_OF_MORE_THAN_24_LETTERS="):
+            value = b64(key, url)
+            assert secrets.scan(f"x {before}{value}&y=1") == [(2 + len(before), 2 + len(before) + len(value), kind)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_line_ends_of_pem(end):
+    for key in (RSA, DSA):
+        body = base64.encodebytes(key).decode()
+        for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"):
+            inside = body if not head else base64.encodebytes(bytes(range(64))).decode()
+            pem = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{inside}-----END RSA PRIVATE KEY-----".replace("\n", end)
+            assert kinds('{"k": "' + pem + '"}') == ["pem"]
+
+
 def test_ssh_keys():
     assert secrets.is_ssh_key(SSH) and not secrets.is_ssh_key(SSH[:-1]) and not secrets.is_ssh_key(SSH + b"\0")
     assert kinds(b64(SSH)) == ["ssh"]

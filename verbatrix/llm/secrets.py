@@ -33,9 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{%d,}|[A-Za-z0-9_-]{%d,})={0,2}(?![A-Za-z0-9+/_=-])|(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}(?![0-9A-Fa-f])" % ((MIN_CANDIDATE,) * 3))
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{%d,}|[A-Za-z0-9_-]{%d,})={0,2}(?![A-Za-z0-9+/_=-])|(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}(?![0-9A-Fa-f])" % ((MIN_CANDIDATE,) * 3))
 _RUNS = bytes(49 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
 _HEX_RUNS = bytes(49 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN, _HEX_RUN = b"1" * MIN_CANDIDATE, b"1" * MIN_HEX
@@ -63,7 +63,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """Whether ``data`` is a private key: PKCS#1, PKCS#8 (encrypted too) or SEC 1."""
+    """Whether ``data`` is a private key: PKCS#1, PKCS#8 (encrypted too), SEC 1 or traditional DSA."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
@@ -81,7 +81,7 @@ def is_der_key(data: bytes) -> bool:
         return bool(algorithm) and algorithm[0][0] == 0x06 and bool(inner[2][1])
     if tags[1] == 0x04:  # version, private value of a curve
         return 16 <= len(inner[1][1]) <= 72 and all(t in (0xA0, 0xA1) for t in tags[2:])
-    return len(inner) >= 9 and set(tags) == {0x02} and len(inner[1][1]) >= 32  # numbers of an RSA key
+    return (len(inner) >= 9 or len(inner) == 6) and set(tags) == {0x02} and len(inner[1][1]) >= 32  # numbers of an RSA or DSA key
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -134,6 +134,8 @@ def is_token(header: str, claims: str, signature: str) -> bool:
 
 def armoured(label: str, body: str) -> bool:
     """Whether the body of a PEM block holds a key, encrypted in the old way too."""
+    # line ends may be escaped, as in JSON
+    body = re.sub(r"\\+r\\+n|\\+[rn]|\r\n?", "\n", body).replace("\\/", "/")
     headers, _, rest = body.partition("\n\n") if ":" in body else ("", "", body)
     text = re.sub(r"\s+", "", rest)
     data = decoded(text)
