@@ -22,59 +22,66 @@ def score(spark, content, query):
     return spark.createDataFrame([(content, query)], "c string, q string").select(scoring.page_score(t.tokens(F.col("c")), t.tokens(F.col("q"))).alias("s")).first().s
 
 
+HARBOUR = [
+    "Subscribe to our newsletter for weekly mail.",
+    "The lighthouse keeper repairs the brass lamp every winter.",
+    "Many visitors bring bread for the birds.",
+    "A lighthouse needs a keeper who repairs lamps at night.",
+    "Tickets are sold beside the gate.",
+]
+
+
 def test_rerank_without_query(spark):
-    content = "This is the first sentence about taxes. This is the second sentence about land. This is the third sentence about capital gains."
-    assert rerank(spark, content, "", 40) == "This is the first sentence about taxes."
+    assert rerank(spark, " ".join(HARBOUR[1:]), "", 70) == HARBOUR[1]
+    assert rerank(spark, " ".join(HARBOUR[1:]), "the of", 100) == "\n".join(HARBOUR[1:3])
+    assert rerank(spark, " ".join(HARBOUR[1:]), "volcano", 100) == "\n".join(HARBOUR[1:3])  # position alone scores
 
 
 def test_rerank_with_query(spark):
-    content = (
-        "Welcome back to the channel and thanks for watching. The capital gains tax is a major policy debate. "
-        "Please subscribe for more videos. Land value taxation affects property owners."
-    )
-    out = rerank(spark, content, "capital gains tax land value", 120)
-    assert "capital gains tax" in out and "Land value" in out and "Welcome" not in out and "subscribe" not in out
+    out = rerank(spark, " ".join(HARBOUR), "lighthouse keeper lamp", 120)
+    assert out == f"{HARBOUR[1]}\n{HARBOUR[3]}"
+    assert rerank(spark, " ".join(HARBOUR), "lighthouse keeper lamp", 60) in HARBOUR[1:4:2]
 
 
 def test_rerank_budget(spark):
-    out = rerank(spark, "This is a sentence about taxes. " * 50, "tax", 100)
-    assert out and len(out) <= 100
-    assert rerank(spark, "Some longer content here.", "tax", 0) == "" == rerank(spark, "", "tax", 10)
-    assert rerank(spark, "Some longer content here.", "tax", 10**6, True) == "Some longer content here."
+    text = "Snow fell on the northern pass again. Snow closed a road near the pass. Snow melts late."
+    assert [len(rerank(spark, text, "snow pass", n)) <= n for n in (0, 10, 24, 40, 80, 200)] == [True] * 6
+    assert rerank(spark, text, "snow pass", 0) == "" == rerank(spark, "", "snow", 10) == rerank(spark, text, "snow", -1)
+    assert rerank(spark, text, "snow", 10**6, True) == text.replace(". ", ".\n")
 
 
 def test_rerank_drops_repeats(spark):
-    s = "The capital gains tax is a major policy debate."
-    assert rerank(spark, f"{s} {s} Land value taxation affects property owners.", "capital gains tax land value", 200).count(s) == 1
+    out = rerank(spark, " ".join([HARBOUR[3], HARBOUR[2], HARBOUR[3], HARBOUR[4]]), "lighthouse keeper", 300)
+    assert out.split("\n").count(HARBOUR[3]) == 1
 
 
 def test_page_scores(spark):
-    assert score(spark, "", "query") == 0 == score(spark, "content", "")
-    assert score(spark, "tax land value capital gains debate", "tax land") > score(spark, "cooking recipes pasta tomato", "tax land")
+    assert score(spark, "", "lamp") == 0 == score(spark, "lamp", "") == score(spark, "the of", "lamp")
+    assert score(spark, HARBOUR[1], "keeper lamp") > score(spark, HARBOUR[2], "keeper lamp") == 0
     # two terms once each in two words, both alike and both found
     idf, weight = math.log(1 + 9.5 / 1.5), 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 200))
-    assert score(spark, "tax land", "tax land") == pytest.approx(2 * idf * weight + 4 * 0.3)
+    assert score(spark, "harbour gulls", "gulls harbour") == pytest.approx(2 * idf * weight + 4 * 0.3)
 
 
 def test_page_scores_by_rows_agree(spark):
-    docs = spark.createDataFrame([(1, "tax land taxes"), (2, ""), (3, None), (4, "cooking the pasta")], "doc_id long, text string")
-    by_rows = docs.select("doc_id", scoring.page_score(t.tokens(F.coalesce("text", F.lit(""))), t.tokens(F.lit("land tax land"))).alias("s")).collect()
-    assert {r.doc_id: pytest.approx(r.s) for r in by_rows} == {r.doc_id: r.score for r in scoring.page_scores(docs, "land tax land").collect()}
+    docs = spark.createDataFrame([(1, "mill tide mills"), (2, ""), (3, None), (4, "drying the nets")], "doc_id long, text string")
+    by_rows = docs.select("doc_id", scoring.page_score(t.tokens(F.coalesce("text", F.lit(""))), t.tokens(F.lit("tide mill tide"))).alias("s")).collect()
+    assert {r.doc_id: pytest.approx(r.s) for r in by_rows} == {r.doc_id: r.score for r in scoring.page_scores(docs, "tide mill tide").collect()}
     assert all(r.score == 0 for r in scoring.page_scores(docs, "the").collect())
 
 
-PAGE = "<html><head><title>x</title></head><body><nav>menu</nav><article><h1>Tax</h1><p>The land tax is <b>old</b>.<p>Second one<ul><li>a<li>b</ul>" + "word " * 60 + "</article></body></html>"
+PAGE = "<html><head><title>x</title></head><body><nav>menu</nav><article><h1>Mill</h1><p>The tide mill is <b>old</b>.<p>Second one<ul><li>a<li>b</ul>" + "word " * 60 + "</article></body></html>"
 
 
 def test_main_content_and_markdown():
     inner = html.extract_main(PAGE)
-    assert inner.startswith("<h1>Tax") and inner.endswith("word ")
+    assert inner.startswith("<h1>Mill") and inner.endswith("word ")
     assert html.extract_main("<main>short</main><p>rest") == "<main>short</main><p>rest"
     long = "x" * 300
     assert html.extract_main(f"<div class='a content'>{long}</div><main>no</main>") == long
     assert html.extract_main(f"<div id=content>{long}<div>é</div></div>") == f"{long}<div>é</div>"
     md = html.to_markdown(inner)
-    assert md.startswith("# Tax\n\nThe land tax is **old**.\n\nSecond one\n\n- a\n- b")
+    assert md.startswith("# Mill\n\nThe tide mill is **old**.\n\nSecond one\n\n- a\n- b")
     assert html.to_markdown("<pre>a\n b</pre><a href='/u'>l</a><script>no</script><ol><li>x</ol><hr>") == "```\na\n b\n```\n\n[l](/u)\n\n1. x\n\n---"
     assert html.to_markdown("") == ""
 
@@ -92,7 +99,7 @@ SERP = (
 
 
 def test_search(spark):
-    queries = spark.createDataFrame([(1, "land tax", 0), (2, "none", 5)], "query_id int, query string, max_results int")
+    queries = spark.createDataFrame([(1, "tide mill", 0), (2, "none", 5)], "query_id int, query string, max_results int")
     serp = spark.createDataFrame([(1, SERP)], "query_id int, html string")
     pages = spark.createDataFrame([("https://a.b/2", PAGE)], "url string, html string")
     results = search.listed_results(serp)
@@ -105,7 +112,7 @@ def test_search(spark):
     texts = {r.query_id: r.text for r in search.search(queries, results, pages).collect()}
     assert texts[2] == "No results found."
     first, second = texts[1].split("\n\n---\n\n")
-    assert first.startswith("Title: Two\nURL: https://a.b/2\nSnippet: (no description available)\nHighlights:\n") and "land tax" in first
+    assert first.startswith("Title: Two\nURL: https://a.b/2\nSnippet: (no description available)\nHighlights:\n") and "tide mill" in first
     assert second == "Title: One\nURL: https://a.b/1\nSnippet: about one"
 
 
@@ -114,18 +121,18 @@ def test_fetch(spark):
     pages = spark.createDataFrame([("https://a", PAGE), ("https://a", "zzz")], "url string, html string")
     got = {r.request_id: r.text for r in fetch.fetch(requests, pages).collect()}
     assert got[2] == "no url provided"
-    assert got[1].startswith("# Tax") and got[1].endswith("\n\n---\n\nFetch failed: no page\n\n(from https://b)")
+    assert got[1].startswith("# Mill") and got[1].endswith("\n\n---\n\nFetch failed: no page\n\n(from https://b)")
 
 
 def test_video(spark):
     url = "https://youtu.be/abcdefghijk"
-    info = '{"description":"about land tax","comments":[{"author":"ann","text":"hi","like_count":2}]}'
-    row = (url, '{"title":"Tax","author_name":"Bob","author_url":""}', 'x ytInitialPlayerResponse = {"videoDetails":{"lengthSeconds":"65"}};', "1\n0 --> 1\nThe land tax is old and well known.\n", info)
+    info = '{"description":"about tide mill","comments":[{"author":"ann","text":"hi","like_count":2}]}'
+    row = (url, '{"title":"Mill","author_name":"Bob","author_url":""}', 'x ytInitialPlayerResponse = {"videoDetails":{"lengthSeconds":"65"}};', "1\n0 --> 1\nThe tide mill is old and well known.\n", info)
     bare = ("https://youtu.be/abcdefghij2", '{"title":"T","author_name":"B"}', None, None, '{"description":"lost","comments":[]}')
     videos = spark.createDataFrame([row, bare, ("https://youtu.be/abcdefghij3", None, None, None, None)], "url string, oembed_json string, watch_html string, srt string, info_json string")
     texts = {r.url: r for r in video.video_texts(videos.withColumn("limit", F.lit(0))).collect()}
     assert texts[url].text == (
-        f"Title: Tax\nAuthor: Bob\nDuration: 65s\nURL: {url}\n\n\nTranscript:\nThe land tax is old and well known.\n\nDiscussion:\n- ann: hi (likes: 2)"
+        f"Title: Mill\nAuthor: Bob\nDuration: 65s\nURL: {url}\n\n\nTranscript:\nThe tide mill is old and well known.\n\nDiscussion:\n- ann: hi (likes: 2)"
     )
     assert texts[bare[0]].text.startswith("Title: T\nAuthor: B\nURL: https://youtu.be/abcdefghij2\n\n\n---\n")
     assert texts["https://youtu.be/abcdefghij3"].error == "no metadata"
