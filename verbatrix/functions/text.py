@@ -21,7 +21,19 @@ _BLANK = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in c.WHITE_SPACE if x != "\n")
 FENCE = rf"(?dms)^{_BLANK}*```[^\n]*(?:\n{_BLANK}*```[^\n]*|\n.*?\n{_BLANK}*```[^\n]*|\n.*\z|\z)"
 SENTENCE_END = r"([.!?;。！？；])[ \t]*(\p{Lu})"
 VIDEO_ID = r"(?:youtube\.com/(?:watch\?v=|shorts/|embed/|live/|v/)|youtu\.be/)([A-Za-z0-9_-]{11})"
-NOISE = "|".join(re.escape(p).replace("\\ ", " ") for p in c.NOISE_PHRASES)
+#: A character that only garbled text has.
+SUSPECT = r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{80}-\x{9F}\x{FFFD}]"
+
+
+def _by_first(phrases: list[str]) -> str:
+    """A pattern for any of ``phrases`` that tells them apart by their first two characters."""
+    groups: dict[str, list[str]] = {}
+    for p in phrases:
+        groups.setdefault(p[:2], []).append(re.escape(p[2:]).replace("\\ ", " "))
+    return "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in groups.items())
+
+
+NOISE = _by_first(c.NOISE_PHRASES)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,9 +141,9 @@ def _repaired(rows: pd.Series) -> pd.Series:
     return rows.map(one, na_action="ignore")
 
 
-def repair_sentences(items: Column) -> Column:
-    """Garbled items repaired or dropped, others as they are."""
-    return F.coalesce(_repaired(F.when(F.exists(items, is_garbled), items)), items)
+def repair_sentences(items: Column, text: Column) -> Column:
+    """Garbled items repaired or dropped, others as they are; ``text`` is what they come from."""
+    return F.coalesce(_repaired(F.when(text.rlike(SUSPECT), F.when(F.exists(items, is_garbled), items))), items)
 
 
 def has_code(s: Column) -> Column:
@@ -182,8 +194,13 @@ def dedupe(items: Column) -> Column:
     """
 
     def firsts(rows: Column) -> Column:
-        keys = F.transform(rows, lambda r: r.k)
-        return F.filter(rows, lambda r, i: F.array_position(keys, r.k) == i + 1)
+        def of_sorted(by_key: Column) -> Column:
+            kept = F.filter(by_key, lambda r, j: (j == 0) | (r.k != F.get(by_key, j - 1).k))
+            return F.sort_array(F.transform(kept, lambda r: F.struct(r.i.alias("i"), r.k.alias("k"), r.s.alias("s"))))
+
+        repeats = F.size(F.array_distinct(F.transform(rows, lambda r: r.k))) < F.size(rows)
+        sorted_rows = F.sort_array(F.transform(rows, lambda r: F.struct(r.k.alias("k"), r.i.alias("i"), r.s.alias("s"))))
+        return F.when(repeats, let(sorted_rows, of_sorted)).otherwise(rows)
 
     def without_similar(rows: Column) -> Column:
         long = F.filter(rows, lambda r: byte_length(r.k) >= 100)
@@ -191,7 +208,7 @@ def dedupe(items: Column) -> Column:
         kept = F.aggregate(long, none, lambda acc, x: F.when(F.exists(acc, lambda k: similar(k.k, x.k)), acc).otherwise(F.array_append(acc, x)))
         return let(kept, lambda ks: F.filter(rows, lambda r: (byte_length(r.k) < 100) | F.exists(ks, lambda k: k.k == r.k)))
 
-    keyed = F.transform(items, lambda s: F.struct(s.alias("s"), dedupe_key(s).alias("k")))
+    keyed = F.transform(items, lambda s, i: F.struct(i.alias("i"), dedupe_key(s).alias("k"), s.alias("s")))
     out = let(let(keyed, firsts), lambda rows: F.when(F.size(F.filter(rows, lambda r: byte_length(r.k) >= 100)) < 2, rows).otherwise(without_similar(rows)))
     return F.transform(out, lambda r: r.s)
 
@@ -199,11 +216,19 @@ def dedupe(items: Column) -> Column:
 # tokens
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words without punctuation at their ends, cut at underscores, without stop words."""
+def token_parts(text: Column) -> Column:
+    """Lower-case words without punctuation at their ends, cut at underscores; stop words and empty ones may be among them."""
     words = F.split(F.lower(text), r"(?U)\s+")
-    parts = F.flatten(F.transform(words, lambda w: F.split(F.btrim(w, F.lit(c.TOKEN_TRIM)), "_")))
-    return F.filter(parts, lambda p: (p != "") & ~p.isin(c.STOP_WORDS))
+    return F.flatten(F.transform(words, lambda w: F.split(F.btrim(w, F.lit(c.TOKEN_TRIM)), "_")))
+
+
+def is_token(part: Column) -> Column:
+    return (part != "") & ~part.isin(c.STOP_WORDS)
+
+
+def tokens(text: Column) -> Column:
+    """``token_parts`` without stop words and empty ones."""
+    return F.filter(token_parts(text), is_token)
 
 
 def stem(word: Column) -> Column:
@@ -225,9 +250,20 @@ def bigrams(words: Column) -> Column:
     )
 
 
+def beginning(roots: Column) -> Column:
+    """A pattern for what any of ``roots`` begins; one that never matches if there is none."""
+    quoted = F.transform(roots, lambda r: F.concat(F.lit("\\Q"), F.replace(r, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size(roots) == 0, F.lit("(?!)")).otherwise(F.concat(F.lit("^(?:"), F.array_join(quoted, "|"), F.lit(")")))
+
+
+def tally(items: Column) -> Column:
+    """How often each item is there, as a map."""
+    return let(F.struct(items.alias("all"), F.array_distinct(items).alias("each")), lambda p: F.map_from_arrays(p.each, F.transform(p.each, lambda x: F.size(F.filter(p.all, lambda y: y == x)))))
+
+
 def occurrences(items: Column, wanted: Column) -> Column:
-    """How often each of ``wanted``, repeats included, is among ``items``, summed."""
-    return F.aggregate(wanted, F.lit(0), lambda acc, w: acc + F.size(F.filter(items, lambda x: x == w)))
+    """The sum of what the map ``wanted`` has for each of ``items``."""
+    return F.aggregate(items, F.lit(0), lambda acc, x: acc + F.coalesce(F.element_at(wanted, x), F.lit(0)))
 
 
 # URLs and video pages

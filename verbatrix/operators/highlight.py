@@ -11,7 +11,8 @@ from .scoring import scored_sentences
 
 def page_sentences(content: Column) -> Column:
     """Sentences of a page, repaired and without near-duplicates, in order."""
-    return t.dedupe(t.repair_sentences(t.sentences(F.coalesce(content, F.lit("")))))
+    text = F.coalesce(content, F.lit(""))
+    return t.dedupe(t.repair_sentences(t.sentences(text), text))
 
 
 def truncate_sentences(items: Column, budget: Column, by_tokens: bool) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as c
 from ..functions import text as t
+from ..storage import durable
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -21,103 +22,115 @@ def _page_idf() -> Column:
     return idf(F.lit(float(c.PAGE_DOCS)), F.lit(float(c.PAGE_DF)))
 
 
+def _of_query(query: Column) -> Column:
+    """A query's tokens as a struct: distinct terms, how often each stem and each pair of neighbours is there, and a pattern for words of its stems."""
+    words = t.stems(query)
+    return F.struct(
+        F.array_distinct(query).alias("terms"), t.tally(words).alias("roots"), t.tally(t.bigrams(query)).alias("pairs"), t.beginning(F.array_distinct(words)).alias("pattern")
+    )
+
+
+def _near(words: Column, q: Column) -> Column:
+    """The words that begin with a stem of the query: no other can count."""
+    return F.filter(words, lambda w: F.regexp_instr(w, q.pattern) == 1)
+
+
+def _found(words: Column, terms: Column) -> Column:
+    """How often each of ``terms`` that is among ``words`` is there, as a map."""
+    return t.tally(F.filter(words, lambda w: F.array_contains(terms, w)))
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def page_score(words: Column, query: Column) -> Column:
     """The score of a page from its tokens and the query's; 0 if either has none.
 
-    For rows that each have a query of their own.
+    Only words that begin with a stem of the query can count, so the others are
+    passed over before anything is compared.
     """
 
-    def with_words(p: Column) -> Column:
-        size = F.size(p.words).cast("double")
-
-        def of_terms(tf: Column) -> Column:
-            weights = F.aggregate(tf, F.lit(0.0), lambda acc, x: acc + _page_idf() * term_weight(x, size, F.lit(float(c.PAGE_LENGTH))))
-            return weights + c.WORD_BONUS * F.size(F.filter(tf, lambda x: x > 0))
+    def with_query(words: Column, q: Column) -> Column:
+        def of_near(ws: Column) -> Column:
+            size = F.size(words).cast("double")
+            weights = F.transform(F.map_values(_found(ws, q.terms)), lambda tf: _page_idf() * term_weight(tf.cast("double"), size, F.lit(float(c.PAGE_LENGTH))) + c.WORD_BONUS)
+            return _sum(weights) + c.STEM_BONUS * F.size(F.filter(t.stems(ws), lambda w: F.map_contains_key(q.roots, w)))
 
-        tfs = F.transform(p.terms, lambda q: F.size(F.filter(p.words, lambda w: w == q)).cast("double"))
-        alike = F.size(F.filter(p.words, lambda w: F.array_contains(p.roots, t.stem(w))))
-        return F.when((size == 0) | (F.size(p.terms) == 0), F.lit(0.0)).otherwise(t.let(tfs, of_terms) + c.STEM_BONUS * alike)
+        return t.let(_near(words, q), lambda ws: F.when(F.size(ws) == 0, F.lit(0.0)).otherwise(of_near(ws)))
 
-    return t.let(F.struct(words.alias("words"), F.array_distinct(query).alias("terms"), F.array_distinct(t.stems(query)).alias("roots")), with_words)
+    return t.let(F.struct(words.alias("words"), _of_query(query).alias("q")), lambda p: with_query(p.words, p.q))
 
 
 def page_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row for one query.
+    """(id_col, score) of every row for one query; a null text scores 0.
 
-    Tokens are exploded and counted by row, so all counting is generated code,
-    and only a few sums for each document are shuffled.  A null text scores 0.
+    Row by row, so nothing is shuffled, and rows that repeat an identifier or
+    have none get a score each.
     """
-    spark = docs.sparkSession
-    words = spark.range(1).select(t.tokens(F.lit(query)).alias("q")).first().q
-    rows = docs.select(F.col(id_col), t.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).select(id_col, F.explode_outer("words").alias("w"))
-    terms = list(dict.fromkeys(words))
-    roots = [r.s for r in spark.createDataFrame([(w,) for w in terms] or [("",)], "w string").select(t.stem(F.col("w")).alias("s")).collect()] if terms else []
-    sums = rows.groupBy(id_col).agg(
-        F.count("w").alias("size"),
-        F.sum(t.stem(F.col("w")).isin(roots).cast("int") if roots else F.lit(0)).alias("alike"),
-        *(F.sum((F.col("w") == q).cast("int")).cast("double").alias(f"tf{i}") for i, q in enumerate(terms)),
-    )
-    score = F.coalesce("alike", F.lit(0)) * c.STEM_BONUS
-    for i in range(len(terms)):
-        tf = F.coalesce(F.col(f"tf{i}"), F.lit(0.0))
-        score = score + _page_idf() * term_weight(tf, F.col("size"), F.lit(float(c.PAGE_LENGTH))) + F.when(tf > 0, F.lit(c.WORD_BONUS)).otherwise(F.lit(0.0))
-    return sums.select(id_col, F.when((F.col("size") == 0) | F.lit(not terms), F.lit(0.0)).otherwise(score).alias("score"))
+    score = page_score(t.tokens(F.coalesce(F.col(text_col), F.lit(""))), t.tokens(F.lit(query)))
+    return docs.select(F.col(id_col), score.alias("score"))
 
 
 def corpus_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score): BM25 with the numbers of this corpus in the place of fixed ones; no bonuses."""
+    """(id_col, score) of every row: BM25 with the numbers of this corpus in the place of fixed ones; no bonuses.
+
+    Each text is read once: its length and the counts of the query's terms are
+    written, and summed up to one row of statistics, before they are scored.
+    Rows that repeat an identifier or have none count each.
+    """
     words = docs.sparkSession.range(1).select(t.tokens(F.lit(query)).alias("q")).first().q
     terms = list(dict.fromkeys(words))
-    rows = docs.select(F.col(id_col), t.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).select(id_col, F.explode_outer("words").alias("w"))
-    sums = rows.groupBy(id_col).agg(F.count("w").alias("size"), *(F.sum((F.col("w") == q).cast("int")).cast("double").alias(f"tf{i}") for i, q in enumerate(terms)))
-    stats = sums.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
+    tokens = t.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    counted = t.let(tokens, lambda ws: F.struct(F.size(ws).alias("size"), t.let(F.filter(ws, lambda w: w.isin(terms)), lambda near: F.transform(known, lambda q: F.size(F.filter(near, lambda w: w == q)))).alias("tf")))
+    rows = durable(docs.select(F.col(id_col).alias("id"), counted.alias("c")).select("id", "c.*"))
+    found = [F.sum((F.get("tf", i) > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
+    stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *found).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf = F.coalesce(F.col(f"tf{i}"), F.lit(0.0))
-        score = score + idf(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"] or 0))) * term_weight(tf, F.col("size"), F.lit(max(stats["mean"] or 1.0, 1e-9)))
-    return sums.select(id_col, score.alias("score"))
+        weight = term_weight(F.get("tf", i).cast("double"), F.col("size"), F.lit(max(stats["mean"] or 1.0, 1e-9)))
+        score = score + idf(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"] or 0))) * weight
+    return rows.select(F.col("id").alias(id_col), score.alias("score"))
 
 
 def scored_sentences(items: Column, query: Column) -> Column:
     """Sentences of one page as structs (idx, s, score), from its sentences and the query's tokens.
 
     Statistics are of this page alone, so all of it is one row's arrays: pages
-    spread over the cluster without a shuffle.
+    spread over the cluster without a shuffle.  A sentence's words are looked up
+    among the query's, never the other way round, so a long query costs no more
+    passes over the page.
     """
 
-    def facts(s: Column, i: Column, terms: Column, roots: Column, pairs: Column) -> Column:
+    def facts(s: Column, i: Column, q: Column) -> Column:
+        def of_near(ws: Column, near: Column) -> Column:
+            pairs = F.when(F.size(near) < 2, F.lit(0)).otherwise(t.occurrences(t.bigrams(ws), q.pairs))
+            return F.struct(_found(near, q.terms).alias("tf"), t.occurrences(t.stems(near), q.roots).alias("alike"), pairs.alias("pairs"))
+
         def of_words(ws: Column) -> Column:
-            return F.struct(
-                i.alias("idx"),
-                s.alias("s"),
-                F.size(ws).alias("size"),
-                F.transform(terms, lambda q: F.size(F.filter(ws, lambda w: w == q))).alias("tf"),
-                t.let(t.stems(ws), lambda ss: t.occurrences(ss, roots)).alias("alike"),
-                t.let(t.bigrams(ws), lambda bs: t.occurrences(bs, pairs)).alias("pairs"),
-            )
+            hits = t.let(_near(ws, q), lambda near: F.when(F.size(near) > 0, of_near(ws, near)))
+            return F.struct(i.alias("idx"), s.alias("s"), F.size(ws).alias("size"), hits.alias("hits"))
 
         return t.let(t.tokens(s), of_words)
 
-    def scored(rows: Column, terms: Column) -> Column:
+    def scored(rows: Column) -> Column:
         n = F.size(rows)
-        mean = F.greatest(F.floor(F.aggregate(rows, F.lit(0), lambda acc, r: acc + r.size) / F.greatest(n, F.lit(1))), F.lit(1)).cast("double")
-        dfs = F.transform(terms, lambda q, j: F.size(F.filter(rows, lambda r: F.get(r.tf, j) > 0)).cast("double"))
-
-        def one(r: Column, ds: Column, m: Column) -> Column:
-            bm25 = F.aggregate(
-                F.zip_with(r.tf, ds, lambda tf, d: idf(n.cast("double"), d) * term_weight(tf.cast("double"), r.size.cast("double"), m)), F.lit(0.0), lambda acc, x: acc + x
-            )
-            bonus = c.BIGRAM_BONUS * r.pairs + c.STEM_BONUS * r.alike + c.WORD_BONUS * F.size(F.filter(r.tf, lambda x: x > 0))
+        mean = F.greatest(F.floor(F.aggregate(rows, F.lit(0), lambda acc, r: acc + r["size"]) / F.greatest(n, F.lit(1))), F.lit(1)).cast("double")
+        terms = F.flatten(F.transform(F.filter(rows, lambda r: r.hits.isNotNull()), lambda r: F.map_keys(r.hits.tf)))
+        idfs = F.transform_values(t.tally(terms), lambda _, df: idf(n.cast("double"), df.cast("double")))
+
+        def one(r: Column, p: Column) -> Column:
+            def of_hits(h: Column) -> Column:
+                weights = F.transform(F.map_entries(h.tf), lambda e: F.element_at(p.idfs, e.key) * term_weight(e.value.cast("double"), r["size"].cast("double"), p.mean) + c.WORD_BONUS)
+                return _sum(weights) + c.BIGRAM_BONUS * h.pairs + c.STEM_BONUS * h.alike
+
+            bonus = F.when(r.hits.isNull(), F.lit(0.0)).otherwise(of_hits(r.hits))
             place = c.POSITION_BONUS * (1 - 0.5 * r.idx / n)
             code = F.when(t.has_code(r.s), F.lit(c.CODE_BONUS)).otherwise(F.lit(0.0))
             noise = F.when(t.is_noise(r.s), F.lit(c.NOISE_PENALTY)).otherwise(F.lit(0.0))
-            return F.struct(r.idx.alias("idx"), r.s.alias("s"), (bm25 + bonus + place + code - noise).alias("score"))
-
-        return t.let(F.struct(dfs.alias("dfs"), mean.alias("mean")), lambda p: F.transform(rows, lambda r: one(r, p.dfs, p.mean)))
+            return F.struct(r.idx.alias("idx"), r.s.alias("s"), (bonus + place + code - noise).alias("score"))
 
-    def with_query(q: Column) -> Column:
-        rows = F.transform(items, lambda s, i: facts(s, i, q.terms, q.roots, q.pairs))
-        return t.let(rows, lambda rs: scored(rs, q.terms))
+        return t.let(F.struct(idfs.alias("idfs"), mean.alias("mean")), lambda p: F.transform(rows, lambda r: one(r, p)))
 
-    parts = F.struct(F.array_distinct(query).alias("terms"), t.stems(query).alias("roots"), t.bigrams(query).alias("pairs"))
-    return t.let(parts, with_query)
+    return t.let(_of_query(query), lambda q: t.let(F.transform(items, lambda s, i: facts(s, i, q)), scored))

@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 from ..functions import constants as c
 from ..functions import text as t
 from ..sources.html import page_markdown
-from .video import video_texts
+from .video import RECORDS, video_texts
+
+
+def one_for_each(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(url, *columns) of the rows whose URL is among ``wanted`` (url), alike for each URL.
+
+    Of rows that differ one without an ``error`` goes before one with, then the
+    least 64-bit hash of the columns counts; it is chosen on hashes alone, before
+    any content moves.  Rows that are equal stay, as content would have to move to
+    tell them apart.
+    """
+    failed = F.col("error").isNotNull() if "error" in columns else F.lit(False)
+    held = rows.select("url", *columns, failed.alias("failed"), F.xxhash64(*columns).alias("h"))
+    keys = held.select("url", "failed", "h").join(wanted.select("url").distinct(), "url", "left_semi")
+    first = keys.groupBy("url").agg(F.min(F.struct("failed", "h")).alias("k")).select("url", "k.h")
+    return held.join(first, ["url", "h"]).select("url", *columns)
 
 
 def page_texts(requests: DataFrame, pages: DataFrame, videos: DataFrame | None = None) -> DataFrame:
     """(url, limit, text, error) of every distinct (url, limit) of ``requests``.
 
     ``pages`` has (url, html), and may have ``error``; ``videos`` has (url,
-    oembed_json, watch_html, srt, info_json).  Each pair is converted once.  A
-    page is found by its URL; of several rows for one URL the one with the least
-    html counts.  Limits are normalised before.
+    oembed_json, watch_html, srt, info_json), and may have ``failure`` and
+    ``stderr``.  Each pair is converted once; of several rows for one URL one is
+    chosen, as ``one_for_each`` says.  Limits are normalised before.  Null URLs
+    aren't found; other columns aren't read.
     """
     wanted = requests.select("url", t.normalize_limit(F.coalesce("limit", F.lit(0))).alias("limit")).dropDuplicates(["url", "limit"])
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    held = pages.select("url", "html", error.alias("error"))
-    one = held.join(wanted.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min(F.struct("html", "error")).alias("p"))
     if videos is not None:
         films = wanted.filter(t.video_id(F.col("url")) != "")
-        shown = video_texts(films.join(videos.drop("limit"), "url", "left"))
-        wanted = wanted.filter(t.video_id(F.col("url")) == "")
-    made = one.select("url", page_markdown(F.col("p.html")).alias("md"), F.col("p.error").alias("error"))
+        records = [k for k in (*RECORDS, "failure", "stderr") if k in videos.columns]
+        shown = video_texts(films.join(one_for_each(videos, films, records).dropDuplicates(["url"]), "url", "left"))
+        wanted = wanted.filter(F.coalesce(t.video_id(F.col("url")), F.lit("")) == "")
+    held = one_for_each(pages.select("url", "html", error.alias("error")), wanted, ["html", "error"])
+    made = held.select("url", page_markdown(F.col("html")).alias("md"), "error").groupBy("url").agg(F.max("md").alias("md"), F.max("error").alias("error"))
     texts = wanted.join(made, "url", "left").select(
         "url",
         "limit",

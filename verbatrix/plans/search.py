@@ -30,15 +30,19 @@ def ranked_results(
 ) -> DataFrame:
     """(query_id, place, rank, title, url, snippet, score, highlights), ``place`` from 1.
 
-    ``queries`` has (query_id, query, max_results).  Each page is cut to
+    ``queries`` has (query_id, query, max_results); other columns, there or in
+    ``results``, aren't read.  Each page is cut to
     ``page_limit`` bytes and scored; results go by score, then by rank; the first
     half, rounded up, has the larger budget.  A page that failed scores 0 and
     keeps its place.
     """
-    asked = results.join(queries.select("query_id", "query", t.clamp_results(F.col("max_results")).alias("most")), "query_id")
+    shown = results.select("query_id", "rank", "title", "url", "snippet")
+    asked = shown.join(queries.select("query_id", "query", t.clamp_results(F.col("max_results")).alias("most")), "query_id")
     asked = asked.filter(F.col("rank") < F.col("most"))
     texts = page_texts(asked.select("url", F.lit(page_limit).alias("limit")), pages, videos).select("url", "text")
-    found = asked.join(texts, "url", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # dealt by number: a page costs far more time than its bytes tell, so partitions mustn't be joined up by size
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = asked.join(texts, "url", "left").withColumn("text", F.coalesce("text", F.lit(""))).repartition(tasks, "query_id")
     scored = found.withColumn("score", page_score(t.tokens(F.col("text")), t.tokens(F.col("query"))))
     by_query = Window.partitionBy("query_id")
     placed = scored.withColumn("place", F.row_number().over(by_query.orderBy(F.col("score").desc(), "rank"))).withColumn("n", F.count("*").over(by_query))

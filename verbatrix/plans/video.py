@@ -10,6 +10,7 @@ from ..operators.highlight import char_highlights
 from ..sources import video
 
 NO_ASSETS = "Subtitles and comments aren't available; only metadata is returned."
+RECORDS = ["oembed_json", "watch_html", "srt", "info_json"]
 
 
 def _line(label: str, value: Column, unit: str = "") -> Column:
@@ -19,10 +20,13 @@ def _line(label: str, value: Column, unit: str = "") -> Column:
 def video_texts(assets: DataFrame) -> DataFrame:
     """(url, limit, text, error) from (url, limit, oembed_json, watch_html, srt, info_json).
 
-    Missing metadata is an error; missing watch-page details leave lines out; a
-    video with neither subtitles nor comments gives its header and a message.  A
-    limit of 0 is none: the transcript is whole then.
+    Missing metadata is an error; missing watch-page details leave lines out.  A
+    video whose extractor failed (a ``failure`` message, perhaps with what it said
+    in ``stderr``) gives its header and that message, one with neither subtitles
+    nor comments its header and a general one.  A limit of 0 is none: the
+    transcript is whole then.
     """
+    told = [F.col(k) if k in assets.columns else F.lit(None).cast("string") for k in ("failure", "stderr")]
     meta, details, info = F.col("meta"), F.col("details"), F.col("info")
     rows = assets.select(
         "url",
@@ -31,6 +35,7 @@ def video_texts(assets: DataFrame) -> DataFrame:
         video.watch_details(F.coalesce("watch_html", F.lit(""))).alias("details"),
         video.transcript(F.col("srt")).alias("transcript"),
         video.info(F.col("info_json")).alias("info"),
+        F.when(told[0].isNotNull(), t.extractor_error(told[0], F.coalesce(told[1], F.lit("")))).alias("failure"),
     )
     header = F.concat_ws(
         "\n",
@@ -49,7 +54,7 @@ def video_texts(assets: DataFrame) -> DataFrame:
     comments = t.truncate(t.format_comments(info.comments), t.discussion_budget(F.col("limit")))
     parts = F.concat(
         header,
-        F.when(F.col("transcript").isNull() & info.isNull(), F.lit(f"\n\n---\n{NO_ASSETS}")).otherwise(
+        F.when(F.col("failure").isNotNull() | (F.col("transcript").isNull() & info.isNull()), F.concat(F.lit("\n\n---\n"), F.coalesce("failure", F.lit(NO_ASSETS)))).otherwise(
             F.concat(
                 F.when(F.col("transcript").isNotNull(), spoken).otherwise(F.lit("")),
                 F.when(info.isNotNull(), F.concat(F.lit("\n\nDiscussion:\n"), comments)).otherwise(F.lit("")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import constants as c
 from .functions import text as t
-from .operators import dedupe, highlight, scoring
+from .operators import dedupe, highlight, ranking, scoring
 from .plans import fetch, search, video
 from .sources import html
 from .sources import video as video_source
@@ -34,6 +34,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def token_rows(docs: DataFrame) -> DataFrame:
+    """A row (token) for each token of ``text``."""
+    return docs.select(F.explode(t.token_parts(F.col("text"))).alias("token")).filter(t.is_token(F.col("token")))
+
+
 # SQL fragments
 
 
@@ -159,13 +164,14 @@ def registered(oracle: str | None = None):
 
 @registered(f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select(F.explode(t.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return token_rows(texts(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @registered(f"SELECT {stem_sql('w')} AS stem, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS w FROM documents) GROUP BY 1")
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = texts(spark, sf_dir).select(F.explode(t.tokens(F.col("text"))).alias("w"))
-    return words.groupBy(t.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+    """Words are counted before they are stemmed: there are far fewer different ones."""
+    words = token_rows(texts(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
+    return words.groupBy(t.stem(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 @registered(
@@ -326,12 +332,9 @@ SELECT doc_id, source, place, CASE WHEN place <= ceil(n / 2) THEN 3000 ELSE 1500
 )
 def tiered_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source as one result list."""
-    from pyspark.sql import Window
-
-    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    rows = page_score(spark, sf_dir).join(sources, "doc_id")
-    by = Window.partitionBy("source")
-    rows = rows.withColumn("place", F.row_number().over(by.orderBy(F.col("score").desc(), "doc_id"))).withColumn("n", F.count("*").over(by))
+    score = scoring.page_score(t.tokens(F.coalesce("text", F.lit(""))), t.tokens(F.lit(QUERY)))
+    rows = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", F.round(score, 6).alias("score"))
+    rows = ranking.places(rows, "source", ["-score", "doc_id"])
     budget = F.when(F.col("place") <= F.ceil(F.col("n") / 2), F.lit(c.TOP_BUDGET)).otherwise(F.lit(c.REST_BUDGET))
     return rows.select("doc_id", "source", F.col("place").cast("long").alias("place"), budget.alias("budget"))
 
