@@ -118,7 +118,7 @@ def test_search(spark):
 
 def test_fetch(spark):
     requests = spark.createDataFrame([(1, {"https://b": 0, "https://a": 5}), (2, {})], "request_id int, urls map<string,int>")
-    pages = spark.createDataFrame([("https://a", PAGE), ("https://a", "zzz")], "url string, html string")
+    pages = spark.createDataFrame([("https://a", PAGE, None, 1), ("https://a", "zzz", "timed out", 2), (None, "x", None, 3)], "url string, html string, error string, limit int")
     got = {r.request_id: r.text for r in fetch.fetch(requests, pages).collect()}
     assert got[2] == "no url provided"
     assert got[1].startswith("# Mill") and got[1].endswith("\n\n---\n\nFetch failed: no page\n\n(from https://b)")
