@@ -2,59 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable, remove, shared_dir  # noqa: F401  used by the operators
+
 #: ``[\x20\x09-\x0D]``, the white space of every word-based operator here.  It
 #: is also exactly what ``bytes.split()`` and ``bytes.isspace()`` use.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(first row, end, values as UTF-8 bytes) of blocks of a string column of about ``most`` bytes, one row at least.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where none is set (tests) a temporary one is made.
+    Blocks are cut by the column's offsets, so of a batch of many megabytes no more
+    than a block is held as Python objects.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="verbatrix-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A path that the driver and all executors share, for written tables."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="verbatrix-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """The values of a string column as UTF-8 bytes."""
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
-
-
-def blocks(values: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` bytes each, one row at least."""
-    start, held = 0, 0
-    for i, v in enumerate(values):
-        held += len(v or b"")
-        if held >= most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+    data = column.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset) if len(data) else np.zeros(1, np.int64)
+    start = 0
+    while start < len(data):
+        end = min(len(data), max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1))
+        yield start, end, data.slice(start, end - start).to_pylist()
+        start = end
 
 
 def normalise_space(text: bytes) -> bytes:
@@ -67,11 +41,6 @@ def normalise_space(text: bytes) -> bytes:
     return (b" " if text[:1].isspace() else b"") + words + (b" " if text[-1:].isspace() else b"")
 
 
-def arrow_map(df: DataFrame, columns: Iterable[str], fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over the named columns only, so the scan reads no others."""
-    return df.select(*columns).mapInArrow(fn, schema)
-
-
 def distinct_name(df_columns: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores added until it clashes with no column."""
     taken = {c.lower() for c in df_columns}
@@ -93,25 +62,30 @@ def held_out(doc_id: str = "doc_id"):
 class WordTable:
     """Rows of numbers computed once for each distinct word.
 
-    Holds ``most`` words; what doesn't fit makes it start anew, so memory stays
-    bounded however many distinct words a partition has.
+    Holds ``most`` words and ``most_bytes`` bytes of them; what doesn't fit makes
+    it start anew, so memory stays bounded however many and long a partition's
+    words are.
     """
 
-    def __init__(self, compute, width: int, most: int):
-        self.compute, self.most, self.at = compute, most, {}
+    def __init__(self, compute, width: int, most: int, most_bytes: int = 16 << 20):
+        self.compute, self.most, self.most_bytes, self.at, self.held = compute, most, most_bytes, {}, 0
         self.values = np.zeros((1024, width))
 
     def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """For each text, given as its words, the rows of its words in order."""
         words = set().union(*texts) if texts else set()
         new = words - self.at.keys()
-        if len(self.at) + len(new) > self.most:
+        size = sum(map(len, new))
+        if self.at and (len(self.at) + len(new) > self.most or self.held + size > self.most_bytes):
             self.at.clear()
-            new = words
+            self.values = np.zeros((1024, self.values.shape[1]))
+            new, self.held = words, 0
+            size = sum(map(len, new))
         if new:
             new, start = list(new), len(self.at)
             if start + len(new) > len(self.values):
-                self.values = np.concatenate([self.values[:start], np.zeros((start + 2 * len(new), self.values.shape[1]))])
+                self.values = np.concatenate([self.values[:start], np.zeros((start // 2 + len(new), self.values.shape[1]))])
             self.values[start : start + len(new)] = self.compute(new)
             self.at.update(zip(new, range(start, start + len(new))))
+            self.held += size
         return [self.values[list(map(self.at.__getitem__, t))] for t in texts]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct_name, durable, normalise_space, utf8
+from .common import distinct_name, durable, normalise_space, text_blocks
 
 WINDOW = 32
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
@@ -73,9 +73,8 @@ def chunk_ends(candidates: list[int], start: int, end: int) -> list[int]:
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = utf8(batch.column(1))
-        for low, high in blocks(texts, BLOCK_BYTES):
-            part = [normalise_space(t or b"") for t in texts[low:high]]
+        for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+            part = [normalise_space(t or b"") for t in texts]
             data = part[0] if len(part) == 1 else b"".join(part)
             cuts = cut_candidates(data)
             ids, digests, sizes, shas, at = [], [], [0], [], 0
@@ -158,22 +157,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its exact copies, with all its columns.
 
-    Rows are found again by id; where several rows share an id, by the digest of
-    the normalised text as well, and one row of each such pair stays.
+    The identifiers of dropped rows are taken away, which are fewer than those that
+    stay and seldom need the texts to move.  Where an identifier, or none, names
+    several rows and not all of them go, they are told apart by the digest of
+    their normalised text, and one row of each stays.  An empty table gives an
+    empty one.
     """
     marked = durable(exact_dedup(docs, id_col, text_col))
-    flag, key = distinct_name(docs.columns, "n_same"), distinct_name(docs.columns, "kept_key")
-    ids = marked.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(flag), F.max(F.col("kept").cast("int")).alias("any_kept"))
-    single = ids.filter((F.col(flag) == 1) & (F.col("any_kept") == 1)).select(key)
-    out = docs.join(single, docs[id_col].eqNullSafe(F.col(key)), "left_semi")
-    shared = ids.filter((F.col(flag) > 1) & (F.col("any_kept") == 1)).select(key)
-    if shared.limit(1).count():
-        sha = distinct_name(docs.columns, "kept_sha")
-        wanted_sha = distinct_name(docs.columns, "wanted_sha")
-        wanted = marked.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(wanted_sha))
-        digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-        rest = docs.withColumn(sha, digest)
-        rest = rest.join(shared, rest[id_col].eqNullSafe(F.col(key)), "left_semi")
-        rest = rest.join(wanted, rest[id_col].eqNullSafe(F.col(key)) & (rest[sha] == F.col(wanted_sha)), "left_semi")
-        out = out.unionByName(rest.dropDuplicates([id_col, sha]).drop(sha))
-    return out
+    key, sha, wanted = (distinct_name(docs.columns, c) for c in ("gone_key", "kept_sha", "wanted_sha"))
+    ids = marked.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+    gone = ids.filter("n_kept < n")
+    same_id = lambda df: df[id_col].eqNullSafe(F.col(key))
+    out = docs.join(gone.select(key), same_id(docs), "left_anti")
+    mixed = durable(gone.filter("n_kept > 0").select(key))
+    if not mixed.limit(1).count():
+        return out
+    kept = marked.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(wanted)).join(mixed, key, "left_semi")
+    kept = kept.unionAll(marked.filter(F.col("kept") & F.col(id_col).isNull()).select(F.lit(None).alias(key), "text_sha256")).distinct()
+    some = docs.join(mixed, same_id(docs), "left_semi")
+    some = some.withColumn(sha, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+    some = some.join(kept, same_id(some) & (F.col(sha) == F.col(wanted)), "left_semi")
+    return out.unionByName(some.dropDuplicates([id_col, sha]).drop(sha))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import distinct_name, text_blocks
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -340,9 +340,8 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compiled(shared.value)
         for batch in batches:
-            texts = utf8(batch.column(at))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                ids = _lists(made.encode_all([(t or b"").decode() for t in texts[low:high]]))
+            for low, high, texts in text_blocks(batch.column(at), BLOCK_BYTES):
+                ids = _lists(made.encode_all([(t or b"").decode() for t in texts]))
                 yield batch.slice(low, high - low).set_column(at, out_col, ids)
 
     return docs.mapInArrow(run, ", ".join(fields))
@@ -375,9 +374,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compiled(shared.value)
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                part = [(t or b"").decode() for t in texts[low:high]]
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                part = [(t or b"").decode() for t in texts]
                 made_ids = made.encode_all(part)
                 columns = [
                     pa.array([len(ids) // 4 for ids in made_ids], pa.int64()),

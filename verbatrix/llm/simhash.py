@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct_name, durable, utf8
+from .common import distinct_name, durable, text_blocks
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -73,11 +73,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                fps = np.array([fingerprint(t or b"", n) for t in texts[low:high]], np.uint64).view(np.int64)
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                fps = np.array([fingerprint(t or b"", n) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(fps)], ["id", "fp"])
 
+    if id_col.lower() == "fp":
+        raise ValueError("an identifier named fp clashes with the fingerprint; rename it")
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
     return out.withColumnRenamed("id", id_col)
@@ -102,12 +103,34 @@ def free_chain(max_bits: int, m: int) -> int:
     return max(length for length in range(m) if length * max_bits < m)
 
 
+def halves(max_bits: int, m: int) -> list[tuple[int, int]]:
+    """For every start, two masks of what follows the free chain as far as one bit is allowed.
+
+    The longest chain whose share is below two bits may differ in one bit beyond
+    its free beginning, so one half of the rest is equal.  (0, 0) where there is
+    no such rest.
+    """
+    masks, free = _masks(m), free_chain(max_bits, m)
+    longest = max(length for length in range(m) if length * max_bits < 2 * m)
+    out = []
+    for s in range(m):
+        bits = [b for k in range(free, longest) for b in range(64) if masks[(s + k) % m] >> b & 1]
+        cut = len(bits) // 2
+        out.append((sum(1 << b for b in bits[:cut]), sum(1 << b for b in bits[cut:])))
+    return out
+
+
 def chain_keys(fp: Column, max_bits: int, m: int) -> Column:
-    """For every start on the ring, the bits of the longest chain that must be equal."""
+    """For every start on the ring and each half of what follows the free chain, the bits that must be equal.
+
+    Five segments and two bits give keys of 38 bits, so what a key brings together
+    grows slowly even with billions of fingerprints.
+    """
     masks, length = _masks(m), free_chain(max_bits, m)
     if length < 1:
         raise ValueError(f"{m} segments are too few for {max_bits} bits")
-    return F.array(*(fp.bitwiseAND(F.lit(_signed(sum(masks[(s + k) % m] for k in range(length))))) for s in range(m)))
+    free = [sum(masks[(s + k) % m] for k in range(length)) for s in range(m)]
+    return F.array(*(fp.bitwiseAND(F.lit(_signed(free[s] | half))) for s, pair in enumerate(halves(max_bits, m)) for half in pair))
 
 
 def first_start(differences: Column, max_bits: int, m: int) -> Column:
@@ -127,14 +150,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, m: int = SEGMENTS) -> DataFr
     """(a, b): the pairs of different fingerprints, a < b, that differ in ``max_bits`` or fewer bits.
 
     ``fps`` has one row (fp) for each distinct fingerprint.  Every pair comes once,
-    from the first start on the ring that admits it.
+    from the first start on the ring that admits it and its first half that is equal.
     """
-    keyed = fps.select("fp", F.posexplode(chain_keys(F.col("fp"), max_bits, m)).alias("start", "key"))
+    keyed = fps.select("fp", F.posexplode(chain_keys(F.col("fp"), max_bits, m)).alias("place", "key"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
+    second = F
+    for s, (half, _) in enumerate(halves(max_bits, m)):
+        second = second.when(F.col("place") < 2 * s + 2, x.bitwiseAND(F.lit(_signed(half))) != 0)
+    place = 2 * first_start(x, max_bits, m) + second.cast("int")
     return (
-        left.join(right, ["start", "key"])
-        .filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & (first_start(x, max_bits, m) == F.col("start")))
+        left.join(right, ["place", "key"])
+        .filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & (place == F.col("place")))
         .select("a", "b")
     )
 
@@ -221,12 +248,12 @@ def near_duplicates(
     never a component's id, unless it has no other.  Rows that repeat are
     returned each; an empty table gives an empty one.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, n))
-    distinct = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+    rows = durable(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", n))
+    distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
     # written, so that the join reads both sides from exchanges and a hot fingerprint's rows can be split over tasks
     named = durable(classes(distinct, links(distinct.select("fp"), max_bits, m)))
     return rows.join(named, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
@@ -252,9 +279,8 @@ def _named(n: int):
         counts, kind = np.zeros(1 << CELL_BITS, np.int32), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = utf8(batch.column(2))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                sets = [shingle_set(t or b"", n) for t in texts[low:high]]
+            for low, high, texts in text_blocks(batch.column(2), BLOCK_BYTES):
+                sets = [shingle_set(t or b"", n) for t in texts]
                 np.add.at(counts, cells(np.concatenate(sets)), 1)
                 nodes = [set_node(x) if len(x) else None for x in sets]
                 size = high - low
@@ -291,9 +317,8 @@ def cell_counts(written: DataFrame) -> np.ndarray:
 def _prefixes(n: int, similarity: float, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                sets = [x for x in (shingle_set(t or b"", n) for t in texts[low:high]) if len(x)]
+            for _, _, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+                sets = [x for x in (shingle_set(t or b"", n) for t in texts) if len(x)]
                 firsts = []
                 for x in sets:
                     length = len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1
@@ -307,9 +332,8 @@ def _prefixes(n: int, similarity: float, counts: np.ndarray):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                values = [shingle_set(t or b"", n).view(np.int64) for t in texts[low:high]]
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                values = [shingle_set(t or b"", n).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(values, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
