@@ -83,23 +83,43 @@ def test_mixing_nothing(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.mix(void).collect()] == [(0, 0.0, 0)]
 
 
-def test_many_sources_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
-    rows, docs = mixture(spark, 3)
-    assert len(mixing.mix(docs).collect()) == len(rows)
+def test_plans_too_large_for_a_broadcast(spark, monkeypatch):
+    _, docs = mixture(spark, 3)
+    rows, applied = (sorted(map(str, f(docs).collect())) for f in (mixing.mix, mixing.apply))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 2)
+    assert sorted(map(str, mixing.mix(docs).collect())) == rows and sorted(map(str, mixing.apply(docs).collect())) == applied
 
 
-def test_larger_budgets_take_supersets(spark):
+def test_thresholds(spark):
     rng = np.random.default_rng(5)
-    sizes = spark.createDataFrame([("s", int(h), int(n)) for h, n in zip(rng.integers(0, 1 << 60, 500), rng.integers(1, 30, 500))], "source string, h long, size long")
-    cuts = []
-    for budget in (50.0, 700.0, 4000.0):
-        r = mixing.thresholds(sizes, spark.createDataFrame([("s", budget)], "source string, budget double"), 1).first()
-        below = sizes.filter(F.col("h") < r.threshold).agg(F.sum("size")).first()[0] or 0
-        at = sizes.filter(F.col("h") == r.threshold).agg(F.sum("size")).first()[0]
-        assert below <= budget < below + at and r.left == budget - below
-        cuts.append(r.threshold)
-    assert cuts == sorted(cuts)
+    rows = [("s", int(h), int(n)) for h, n in zip(rng.integers(0, 1 << 60, 500), rng.integers(1, 30, 500))] + [("s", 1 << 59, 40)] * 3
+    sizes = spark.createDataFrame(rows, "source string, h long, size long")
+    ends = []
+    for budget in (50.0, 700.0, 4000.0, 1e6):
+        budgets = spark.createDataFrame([("s", budget)], "source string, budget double")
+        first = mixing.thresholds(sizes, budgets.withColumns({"above": F.lit(-1), "longest": F.lit(1000)}), True).first()
+        below = sum(n for _, h, n in rows if first.threshold is None or h < first.threshold)
+        at = sum(n for _, h, n in rows if h == first.threshold)
+        assert first.left == budget - below and (first.threshold is None or below <= budget < below + at)
+        ends.append(first.threshold if first.threshold is not None else 1 << 60)
+        # the nested ones, by walking up the hashes
+        left, above, longest, want = budget, -1, 10**9, 0
+        while True:
+            over = None
+            for h in sorted({h for _, h, n in rows if h > above and n <= longest}):
+                group = sum(n for _, g, n in rows if g == h)
+                if group > left:
+                    over = h
+                    break
+                left -= group
+                want += group
+            if over is None or left < 1:
+                break
+            above, longest = over, int(left)
+        made = mixing.cuts(sizes, budgets, True).first().cuts
+        taken = sum(n for _, h, n in rows if any(c.above < h < c.below and n <= c.longest for c in made))
+        assert taken == want and (budget > 10**5 or budget - taken < 2)
+    assert ends == sorted(ends)
 
 
 # quality

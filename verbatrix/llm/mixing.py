@@ -3,8 +3,10 @@
 Every document has a fixed hash.  A source's words are summed by hash bucket; the
 bucket in which the running sum crosses the source's budget is the boundary, and
 only that bucket is cut into finer ones, until one hash value is left.  What the
-mix takes is then a filter on the hash: no document is sorted, and a larger
-budget takes a superset of a smaller one.
+document there is too long for is a smaller budget, whose threshold is found in
+the same way above the first one, among documents no longer than it; and so on
+until no document fits.  What the mix takes is then a filter on the hash and the
+size: no document is sorted.
 """
 
 from __future__ import annotations
@@ -12,16 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, distinct_name, durable
+from .common import distinct_name, durable
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Bits of the hash that one level of the histogram tells apart.
 LEVEL_BITS = 10
-#: From which share of a target on what the boundary leaves is filled by single documents, and by how many.
-FILL_FROM, FILL_ROUNDS = 0.001, 3
-#: Sources up to this number are joined by broadcast.
-BROADCAST_SOURCES = 50_000
+#: Plans of sources up to so many bytes (names and numbers, as counted) are joined by broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -35,8 +35,8 @@ def mix_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
 
 
-def _hinted(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def ranked(sources: DataFrame) -> tuple[DataFrame, int]:
@@ -59,8 +59,8 @@ def ranked(sources: DataFrame) -> tuple[DataFrame, int]:
     return parts.withColumn("place", place).drop("part", "within"), before
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> tuple[DataFrame, int]:
-    """(source, source_size, target) from (source, source_size), and the number of sources.
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> tuple[DataFrame, bool]:
+    """(source, source_size, target) from (source, source_size), and whether all of them may be broadcast.
 
     Weights repeat over the sources in order.  All sizes are shared by weight; a
     target stops at ``most`` times its source's size and its excess is shared
@@ -69,8 +69,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     rows, n = ranked(sources)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     rows = durable(rows.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most))
-    total = rows.agg(F.sum("source_size")).first()[0] or 0
-    left, share = total, rows.agg(F.sum("weight")).first()[0] or 1
+    total, share, names = rows.agg(F.sum("source_size"), F.sum("weight"), F.sum(F.octet_length("source"))).first()
+    total, share = total or 0, share or 1
+    left = total
     while True:
         free = F.col("cap").cast("double") * share >= F.col("weight").cast("double") * left
         capped, open_weight = rows.agg(F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight")))).first()
@@ -80,76 +81,81 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         left, share = now
     fair = F.col("weight").cast("double") * left / share
     target = F.when(F.col("cap").cast("double") * share >= F.col("weight").cast("double") * left, fair).otherwise(F.col("cap").cast("double"))
-    return rows.select("source", "source_size", target.alias("target")), n
+    return rows.select("source", "source_size", target.alias("target")), 128 * n + 2 * (names or 0) <= BROADCAST_BYTES
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
-    """(source, threshold, left): of a source's documents those with a smaller hash are taken.
+def thresholds(sizes: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
+    """(source, threshold, left): the hash at which the running sum of a source's sizes exceeds its budget.
 
-    ``sizes`` has (source, h, size), ``budgets`` (source, budget) with budgets
-    below the source's size.  Goes down the histogram one level at a time; at the
-    end the boundary is one hash, and ``left`` what its document is too long for.
+    ``sizes`` has (source, h, size), ``budgets`` (source, budget, above, longest):
+    only documents of a hash over ``above`` and a size up to ``longest`` count.
+    Goes down the histogram one level at a time; at the end the boundary is one
+    hash, whose documents aren't taken, and ``left`` what is then left of the
+    budget.  ``threshold`` is null where all documents that count fit in.
     """
-    state = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    state = budgets.select(F.col("source").alias("s"), F.col("budget").alias("left"), "above", "longest", F.lit(0).cast("long").alias("prefix"))
+    ends = None
     for used in range(0, 60, LEVEL_BITS):
-        shift = 60 - used - LEVEL_BITS
-        bucket = F.shiftright("h", shift)
-        here = sizes.join(_hinted(state.withColumnRenamed("source", "s"), n_sources), F.col("source").eqNullSafe(F.col("s")))
+        bucket = F.shiftright("h", 60 - used - LEVEL_BITS)
+        here = sizes.join(_hinted(state, small), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("h") > F.col("above")) & (F.col("size") <= F.col("longest")) & (F.col("size") > 0))
         if used:
             here = here.filter(F.shiftright("h", 60 - used) == F.col("prefix"))
-        sums = here.groupBy("source", "left", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"))
+        sums = here.groupBy("source", "left", "above", "longest", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"))
         run = Window.partitionBy("source").orderBy("bucket")
         upto = F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, 0))
-        state = durable(
+        found = durable(
             sums.withColumn("upto", upto)
-            .filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")) & (F.col("words") > 0))
-            .select("source", (F.col("left") - (F.col("upto") - F.col("words"))).alias("left"), F.col("bucket").alias("prefix"), "words", "low", "high")
+            .groupBy("source", "above", "longest")
+            .agg(
+                F.min(F.when(F.col("upto") > F.col("left"), F.struct(F.col("bucket").alias("prefix"), (F.col("left") - (F.col("upto") - F.col("words"))).alias("left"), "low", "high"))).alias("b"),
+                F.min(F.col("left") - F.col("upto")).alias("rest"),
+            )
+            .select("source", "above", "longest", "b.*", F.coalesce("b.left", "rest").alias("now"))
         )
-        if used + LEVEL_BITS >= 60 or not state.filter("low <> high").limit(1).count():
+        done = found.filter(F.col("low").isNull() | (F.col("low") == F.col("high"))).select("source", F.col("low").alias("threshold"), F.col("now").alias("left"))
+        ends = done if ends is None else ends.unionAll(done)
+        open_ = found.filter(F.col("low") < F.col("high"))
+        if used + LEVEL_BITS >= 60 or not open_.limit(1).count():
             break
-    return state.select("source", F.col("low").alias("threshold"), "left")
+        state = open_.select(F.col("source").alias("s"), "left", "above", "longest", "prefix")
+    return ends
 
 
-def fills(sizes: DataFrame, cuts: DataFrame, goals: DataFrame, n_sources: int, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """(source, threshold, fills): ``cuts`` with the hashes of single documents that bring the sum nearer to the budget.
+def cuts(sizes: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
+    """(source, cuts): for every source its nested thresholds as structs (above, below, longest).
 
-    Only where more than FILL_FROM of the target is left, which in a large source
-    a single document isn't.  Each round takes, of the documents above the
-    threshold, the one whose size is nearest to what is left, if that helps.
+    A document is taken once more if its hash is over ``above`` and under ``below``,
+    and its size at most ``longest``, of one of them.  Each next budget is what the
+    last one left; ends where nothing is left or no longer document fits.
     """
-    goal = goals.select(F.col("source").alias("g"), "target")
-    state = durable(
-        cuts.join(_hinted(goal, n_sources), F.col("source").eqNullSafe(F.col("g"))).select("source", "threshold", "left", "target", F.array().cast("array<bigint>").alias("fills"))
-    )
-    for _ in range(rounds):
-        short = state.filter(F.col("left") > FILL_FROM * F.col("target"))
-        if not short.limit(1).count():
-            break
-        there = sizes.join(_hinted(short.withColumnRenamed("source", "s"), n_sources), F.col("source").eqNullSafe(F.col("s")))
-        there = there.filter((F.col("h") >= F.col("threshold")) & ~F.array_contains("fills", F.col("h")) & (F.abs(F.col("left") - F.col("size")) < F.col("left")))
-        best = there.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "size", "h")).alias("best"))
-        state = durable(
-            state.join(_hinted(best, n_sources), F.col("source").eqNullSafe(F.col("s")), "left").select(
-                "source",
-                "threshold",
-                (F.col("left") - F.coalesce(F.col("best.size"), F.lit(0))).alias("left"),
-                "target",
-                F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.col("best.h"))).alias("fills"),
+    start = budgets.filter("budget > 0").select("source", F.col("budget").cast("double").alias("budget"), F.lit(-1).cast("long").alias("above"), F.lit((1 << 62) - 1).cast("long").alias("longest"))
+    found = None
+    while True:
+        step = thresholds(sizes, start, small)
+        last = start.select(F.col("source").alias("s"), "above", "longest")
+        made = durable(
+            step.join(_hinted(last, small), F.col("source").eqNullSafe(F.col("s"))).select(
+                "source", "left", "threshold", F.struct("above", F.coalesce("threshold", F.lit((1 << 62) - 1)).alias("below"), "longest").alias("cut")
             )
         )
-    return state.select("source", "threshold", "fills")
+        found = made if found is None else found.unionAll(made)
+        start = made.filter(F.col("threshold").isNotNull() & (F.col("left") >= 1)).select("source", F.col("left").alias("budget"), F.col("threshold").alias("above"), F.floor("left").alias("longest"))
+        if not start.limit(1).count():
+            break
+    # as many rows for a source as it has nested budgets, a few tens at most: each is under the size of one document
+    return found.groupBy("source").agg(F.collect_list("cut").alias("cuts"))
 
 
 def _document_hash(id_col: str, text_col: str) -> Column:
     return F.shiftrightunsigned(mix_hash(id_col, text_col), 4)
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
-    """(documents, sources, number of sources).
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, bool]:
+    """(documents, sources, whether sources may be broadcast).
 
     Documents are (id, source, size, h); sources are (plan_source, source_size,
-    target, times, threshold, fills): every document of a source is taken
-    ``times``, and once more if its hash is below the threshold or among the fills.
+    target, times, cuts): every document of a source is taken ``times``, and once
+    more if one of the cuts has it.
     """
     kept = durable(
         docs.select(
@@ -159,18 +165,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             _document_hash(id_col, text_col).alias("h"),
         )
     )
-    goals, n = targets(kept.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goals, small = targets(kept.groupBy("source").agg(F.sum("size").alias("source_size")))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = durable(goals.withColumn("times", times.cast("int")).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")))
-    cut = fills(kept, thresholds(kept, goals.filter("budget > 0").select("source", "budget"), n), goals, n).withColumnRenamed("source", "cut_source")
-    sources = goals.join(_hinted(cut, n), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "budget")
-    return kept, sources.withColumnRenamed("source", "plan_source"), n
+    cut = durable(cuts(kept, goals.select("source", "budget"), small).withColumnRenamed("source", "cut_source"))
+    sources = durable(goals.join(_hinted(cut, small), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "budget"))
+    return kept, sources.withColumnRenamed("source", "plan_source"), small
 
 
-def repeats(h: Column) -> Column:
-    """How often the mix takes a document of hash ``h``, beside the columns of its source's plan."""
-    once_more = (h < F.col("threshold")) | F.array_contains("fills", h)
-    return F.col("times") + F.coalesce(once_more, F.lit(False)).cast("int")
+def repeats(h: Column, size: Column, times: Column, cuts: Column) -> Column:
+    """How often the mix takes a document, by the plan of its source."""
+    once_more = F.exists(cuts, lambda c: (h > c.above) & (h < c.below) & (size <= c.longest))
+    return times + F.coalesce(once_more, F.lit(False)).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -179,26 +185,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` is the number of words, ``target`` that of the source and ``taken``
     the words that the mix takes of the document: whole repeats of it, at most
     MAX_REPEATS.  A source below its target gives all documents as often as they
-    fit and some once more; one above it gives some documents once.  What the
-    document at the boundary is too long for, a few others fill.  Which documents are taken depends on their hashes alone, so reruns
-    agree, and rows that repeat exactly share their fate.  Null texts have size
-    0; null is a source of its own; an empty table gives an empty one.
+    fit and some once more; one above it gives some documents once.  Which
+    documents are taken depends on their hashes and sizes alone, so reruns agree,
+    and rows that repeat exactly share their fate.  Null texts have size 0; null is
+    a source of its own; an empty table gives an empty one.
     """
-    kept, sources, n = plan(docs, id_col, text_col, source_col)
-    return kept.join(_hinted(sources, n), F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * repeats(F.col("h"))).alias("taken")
+    kept, sources, small = plan(docs, id_col, text_col, source_col)
+    return kept.join(_hinted(sources, small), F.col("source").eqNullSafe(F.col("plan_source"))).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * repeats(F.col("h"), F.col("size"), F.col("times"), F.col("cuts"))).alias("taken")
     )
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs`` as often as it takes them, with all their columns and no shuffle of texts."""
-    _, sources, n = plan(docs, id_col, text_col, source_col)
-    names = {c: distinct_name(docs.columns, c) for c in sources.columns}
-    key = distinct_name(docs.columns, "mix_copies")
-    packed = sources.select(F.col("plan_source").alias(names["plan_source"]), F.struct("times", "threshold", "fills").alias(key))
-    joined = docs.join(_hinted(packed, n), docs[source_col].eqNullSafe(F.col(names["plan_source"])))
-    h, p = _document_hash(id_col, text_col), F.col(key)
-    once_more = (h < p.threshold) | F.array_contains(p.fills, h)
-    copies = F.array_repeat(F.lit(1), p.times + F.coalesce(once_more, F.lit(False)).cast("int"))
+    """The mix itself: the rows of ``docs`` as often as it takes them, with all their columns and no shuffle of texts.
+
+    (Sources whose plans are over BROADCAST_BYTES are joined by a shuffle.)
+    """
+    _, sources, small = plan(docs, id_col, text_col, source_col)
+    name, key = distinct_name(docs.columns, "plan_source"), distinct_name(docs.columns, "mix_copies")
+    packed = sources.select(F.col("plan_source").alias(name), F.struct("times", "cuts").alias(key))
+    joined = docs.join(_hinted(packed, small), docs[source_col].eqNullSafe(F.col(name)))
+    p = F.col(key)
+    copies = F.array_repeat(F.lit(1), repeats(_document_hash(id_col, text_col), word_count(F.col(text_col)), p.times, p.cuts))
     out = [F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*out, F.explode(copies).alias(key)).select(*out)
