@@ -15,41 +15,68 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, blocks, crc_mod4, utf8
+from .common import WordTable, crc_mod4, durable, text_blocks
 from .sentencepiece_fst import DEFAULT_MODEL, NORMAL, SPACE, _fields
 from .toxicity import split_words
 
 #: Bound, in expectation, of the sample of documents of each language that is learned from.
 SAMPLE_PER_LANG = 600
-#: Most distinct words of a language that are learned from, the most frequent ones.
-WORDS_PER_LANG = 30_000
-MAX_PIECE, MAX_WORD = 8, 40
+#: Bounds of what is learned from the sample: distinct words of a language (the most frequent
+#: ones), those of all languages together, characters of a word, and languages (those of most documents).
+WORDS_PER_LANG, WORDS_IN_ALL, LEARNED_WORD, MAX_LANGS = 30_000, 400_000, 1024, 400
 ROUNDS, SMOOTHING, UNKNOWN = 4, 0.05, 1e-7
-CACHE_WORDS, BLOCK_BYTES = 250_000, 1 << 20
+#: Words up to this length are summed in plain numbers, scaled by SCALE for each character;
+#: longer ones in logarithms, in windows of WINDOW characters.
+SHORT, SCALE, WINDOW = 64, 1e3, 1024
+#: Scores and bytes of words that a worker holds.
+CACHE_VALUES, BLOCK_BYTES = 1 << 20, 1 << 20
 UNDETERMINED = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def vocabulary(path: str = DEFAULT_MODEL) -> list[str]:
-    """The vocabulary's pieces of up to MAX_PIECE characters, lower-cased and sorted."""
+    """The vocabulary's pieces, lower-cased and sorted."""
     with open(path, "rb") as f:
         data = f.read()
     entries = (dict(_fields(v)) for number, v in _fields(data) if number == 1)
     pieces = {e[1].decode().lower() for e in entries if e.get(3, NORMAL) == NORMAL}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE)
+    return sorted(p for p in pieces if p)
 
 
-def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``n`` code points."""
-    h = np.zeros(len(codes) - n + 1, np.uint64)
-    for k in range(n):
-        h = (h ^ codes[k : k + len(h)]) * _BASE
-        h ^= h >> np.uint64(32)
-    return h
+@dataclass
+class Pieces:
+    """A vocabulary to look runs of characters up in: sorted hashes, their numbers, and the longest length."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    longest: int
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[str]) -> Pieces:
+        keys = np.array([int(_hash(p)) for p in pieces], np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], order, max(map(len, pieces), default=1), np.array([*map(len, pieces), 1]))
+
+
+def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    h = (h ^ codes) * _BASE
+    return h ^ h >> np.uint64(32)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _hash(piece: str) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for code in _codes(piece):
+        h = _mix(h, code)
+    return h[0]
 
 
 class Lattice:
@@ -58,21 +85,25 @@ class Lattice:
     A character that begins no arc of its own gets an arc of piece -1.
     """
 
-    def __init__(self, words: list[str], keys: np.ndarray, ids: np.ndarray):
+    def __init__(self, words: list[str], pieces: Pieces):
         self.n = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        codes = _codes("".join(words))
         sizes = np.fromiter(map(len, words), np.int64, self.n)
         begin = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(self.n), sizes)
         place = np.arange(len(codes)) - begin[owner]
-        parts = []
-        for length in range(1, MAX_PIECE + 1):
+        left = sizes[owner] - place
+        keys, ids, parts, h = pieces.keys, pieces.ids, [], np.zeros(len(codes), np.uint64)
+        for length in range(1, pieces.longest + 1):
             if len(codes) < length:
                 break
-            at = np.flatnonzero(place[: len(codes) - length + 1] + length <= sizes[owner[: len(codes) - length + 1]])
-            h = _hashes(codes, length)[at]
-            found = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[found] == h if len(keys) else np.zeros(len(h), bool)
+            h = _mix(h[: len(codes) - length + 1], codes[length - 1 :])
+            at = np.flatnonzero(left[: len(h)] >= length)
+            if not len(at):
+                break
+            here = h[at]
+            found = np.minimum(np.searchsorted(keys, here), max(len(keys) - 1, 0))
+            hit = keys[found] == here if len(keys) else np.zeros(len(here), bool)
             piece = np.where(hit, ids[found] if len(keys) else -1, -1)
             use = hit | (length == 1)
             parts.append((piece[use], owner[at[use]], place[at[use]], np.full(use.sum(), length)))
@@ -83,21 +114,30 @@ class Lattice:
         self.size = sizes
         self.longest = int(sizes.max(initial=0))
 
-    def forward(self, weights: np.ndarray) -> np.ndarray:
-        """(longest + 1, words, languages): the sum over all paths to each place; row -1 of ``weights`` is the fallback's."""
-        alpha = np.zeros((self.longest + 1, self.n, weights.shape[1]))
-        alpha[0] = 1
+    def forward(self, weights: np.ndarray, begin: np.ndarray | None = None, log: bool = False) -> np.ndarray:
+        """(longest + 1, words, languages): the sum over all paths to each place; row -1 of ``weights`` is the fallback's.
+
+        ``begin`` are the sums at the first places, if they are known.
+        """
+        add, times, none = (np.logaddexp, np.add, -np.inf) if log else (np.add, np.multiply, 0.0)
+        alpha = np.full((self.longest + 1, self.n, weights.shape[1]), none)
+        alpha[0] = 0 if log else 1
+        known = 1 if begin is None else len(begin)
+        if begin is not None:
+            alpha[:known] = begin
         cuts = np.searchsorted(self.end, np.arange(self.longest + 2))
-        for e in range(1, self.longest + 1):
+        for e in range(known, self.longest + 1):
             a = slice(cuts[e], cuts[e + 1])
             word = self.word[a]
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            alpha[e, word[first]] = np.add.reduceat(alpha[self.start[a], word] * weights[self.piece[a]], first, axis=0)
+            alpha[e, word[first]] = add.reduceat(times(alpha[self.start[a], word], weights[self.piece[a]]), first, axis=0)
         return alpha
 
-    def backward(self, weights: np.ndarray) -> np.ndarray:
-        beta = np.zeros((self.longest + 1, self.n))
-        beta[self.size, np.arange(self.n)] = 1
+    def backward(self, weights: np.ndarray, log: bool = False) -> np.ndarray:
+        """(longest + 1, words): the sum over all paths from each place to the end, in one language."""
+        add, times, none = (np.logaddexp, np.add, -np.inf) if log else (np.add, np.multiply, 0.0)
+        beta = np.full((self.longest + 1, self.n), none)
+        beta[self.size, np.arange(self.n)] = 0 if log else 1
         order = np.lexsort((self.word, self.start))
         piece, word, start, end = (x[order] for x in (self.piece, self.word, self.start, self.end))
         cuts = np.searchsorted(start, np.arange(self.longest + 1))
@@ -105,28 +145,38 @@ class Lattice:
             a = slice(cuts[s], cuts[s + 1])
             first = np.flatnonzero(np.diff(word[a], prepend=-1))
             if len(first):
-                beta[s, word[a][first]] += np.add.reduceat(beta[end[a], word[a]] * weights[piece[a]], first)
+                at = s, word[a][first]
+                beta[at] = add(beta[at], add.reduceat(times(beta[end[a], word[a]], weights[piece[a]]), first))
         return beta
 
+    def expected(self, p: np.ndarray, times: np.ndarray, pieces: Pieces, log: bool) -> np.ndarray:
+        """How often each piece is used in all segmentations, weighed by their probabilities."""
+        w = np.log(p) if log else p * SCALE**pieces.lengths
+        alpha, beta = self.forward(w[:, None], log=log)[:, :, 0], self.backward(w, log)
+        total, known = alpha[self.size, np.arange(self.n)], self.piece >= 0
+        ends = alpha[self.start, self.word], beta[self.end, self.word]
+        if log:
+            share = np.exp(ends[0] + w[self.piece] + ends[1] - total[self.word])
+        else:
+            share = ends[0] * w[self.piece] * ends[1] / total[self.word]
+        return np.bincount(self.piece[known], weights=(share * times[self.word])[known], minlength=len(p) - 1)
+
 
-def learn(counts: Counter, keys: np.ndarray, ids: np.ndarray, n_pieces: int, rounds: int = ROUNDS) -> np.ndarray:
+def learn(counts: dict[str, int], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """The probabilities of the pieces, the fallback's last, by expectation maximisation over counted words."""
-    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:WORDS_PER_LANG]]
-    times = np.array([counts[w] for w in words], float)
-    lattice = Lattice(words, keys, ids)
-    known = lattice.piece >= 0
+    words = sorted(counts, key=lambda w: (len(w), w))
+    short = sum(len(w) <= SHORT for w in words)
+    groups = [(words[:short], False)] if short else []
+    groups += [(words[low : low + 128], True) for low in range(short, len(words), 128)]
+    lattices = [(Lattice(group, pieces), np.array([counts[w] for w in group], float), log) for group, log in groups]
+    n = len(pieces.ids)
 
     def normal(expected: np.ndarray) -> np.ndarray:
-        p = (expected + SMOOTHING) / (expected.sum() + SMOOTHING * n_pieces)
-        return np.append(p, UNKNOWN)
+        return np.append((expected + SMOOTHING) / (expected.sum() + SMOOTHING * n), UNKNOWN)
 
-    p = normal(np.bincount(lattice.piece[known], weights=times[lattice.word[known]], minlength=n_pieces))
+    p = normal(sum((np.bincount(x.piece[x.piece >= 0], weights=times[x.word][x.piece >= 0], minlength=n) for x, times, _ in lattices), np.zeros(n)))
     for _ in range(rounds):
-        alpha, beta = lattice.forward(p[:, None])[:, :, 0], lattice.backward(p)
-        total = alpha[lattice.size, np.arange(lattice.n)]
-        share = alpha[lattice.start, lattice.word] * p[lattice.piece] * beta[lattice.end, lattice.word]
-        share *= (times / np.maximum(total, 1e-300))[lattice.word]
-        p = normal(np.bincount(lattice.piece[known], weights=share[known], minlength=n_pieces))
+        p = normal(sum((x.expected(p, times, pieces, log) for x, times, log in lattices), np.zeros(n)))
     return p
 
 
@@ -137,28 +187,60 @@ def marked(word: bytes) -> str:
 
 @dataclass
 class LanguageModel:
-    """``langs`` in order of code points, and a row of their probabilities for each used piece, the fallback's last."""
+    """``langs`` in order of code points, and a row of their probabilities for each piece, the fallback's last."""
 
     langs: list[str]
-    keys: np.ndarray
-    ids: np.ndarray
+    pieces: Pieces
     weights: np.ndarray
 
+    def __post_init__(self):
+        self.scaled = self.weights * (SCALE**self.pieces.lengths)[:, None]
+
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """The log probability of each word in each language; words over MAX_WORD characters count in parts."""
-        parts, owner = [], []
-        for i, w in enumerate(map(marked, words)):
-            for k in range(0, len(w), MAX_WORD):
-                parts.append(w[k : k + MAX_WORD])
-                owner.append(i)
-        out, owner = np.zeros((len(words), len(self.langs))), np.array(owner)
-        for low in range(0, len(parts), 20_000):
-            lattice = Lattice(parts[low : low + 20_000], self.keys, self.ids)
-            last = lattice.forward(self.weights)[lattice.size, np.arange(lattice.n)]
-            np.add.at(out, owner[low : low + 20_000], np.log(np.maximum(last, 1e-300)))
+        """The log probability of each word in each language, over all segmentations of the whole word."""
+        out, texts = np.zeros((len(words), len(self.langs))), list(map(marked, words))
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        short = sum(len(t) <= SHORT for t in texts)
+        for low in range(0, short, 10_000):
+            group = order[low : min(low + 10_000, short)]
+            lattice = Lattice([texts[i] for i in group], self.pieces)
+            last = lattice.forward(self.scaled)[lattice.size, np.arange(lattice.n)]
+            out[group] = np.log(last) - lattice.size[:, None] * np.log(SCALE)
+        for low in range(short, len(order), 128):
+            group = order[low : low + 128]
+            out[group] = self.long_scores([texts[i] for i in group])
+        return out
+
+    def long_scores(self, words: list[str]) -> np.ndarray:
+        """The same in logarithms, a window of characters after the other; a window begins with
+        the sums at the places where the window before it ended."""
+        out, alive, at, begin, logs = np.zeros((len(words), len(self.langs))), np.arange(len(words)), 0, None, np.log(self.weights)
+        while len(alive):
+            lead = min(at, self.pieces.longest)
+            lattice = Lattice([words[i][at - lead : at + WINDOW] for i in alive], self.pieces)
+            alpha = lattice.forward(logs, begin, log=True)
+            over = np.array([len(words[i]) <= at + WINDOW for i in alive])
+            ended = np.flatnonzero(over)
+            out[alive[ended]] = alpha[lattice.size[ended], ended]
+            alive, at = alive[~over], at + WINDOW
+            lead = min(at, self.pieces.longest)
+            begin = alpha[len(alpha) - 1 - lead :, ~over]
         return out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n): the words of (lang, text), counted in blocks; those of over LEARNED_WORD characters aren't learned from."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for low, _, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+            counts = Counter()
+            for k, t in enumerate(texts):
+                counts.update((langs[low + k], w) for w in map(marked, split_words(t or b"")) if len(w) <= LEARNED_WORD)
+            if counts:
+                pairs = list(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs]), pa.array([w for _, w in pairs]), pa.array([counts[x] for x in pairs])], ["lang", "word", "n"])
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -170,25 +252,29 @@ def train(
     """Learn from a sample of the rows that aren't held out and have a language and an identifier.
 
     Of each language a row is taken if its identifier's hash is below
-    ``per_lang`` / (rows of that language): one pass, no sorting.
+    ``per_lang`` / (rows of that language): one pass, no sorting; rows that repeat
+    count each.  Words are counted where they are; the driver gets each language's
+    most frequent ones, of equal counts those of the least hash.  Without rows the
+    model has no language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (crc_mod4("id") != 2))
-    langs = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
-    pieces = vocabulary(model)
-    keys = np.array([int(_hashes(np.array([ord(c) for c in p], np.uint64), len(p))[0]) for p in pieces], np.uint64)
-    order = np.argsort(keys)
+    langs = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect())
+    pieces = Pieces.of(vocabulary(model))
     if not langs:
-        return LanguageModel([], keys[:0], np.zeros(0, np.int64), np.zeros((1, 0)))
+        return LanguageModel([], pieces, np.zeros((len(pieces.ids) + 1, 0)))
+    # at most MAX_LANGS rows
     shares = docs.sparkSession.createDataFrame([(lang, per_lang / n) for lang, n in langs], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
-    counts: dict[str, Counter] = {lang: Counter() for lang, _ in langs}
-    for r in sample.select("lang", "text").toLocalIterator():
-        counts[r.lang].update(m[:MAX_WORD] for m in map(marked, split_words((r.text or "").lower().encode())))
-    columns = [learn(counts[lang], keys[order], order, len(pieces)) for lang, _ in langs]
-    weights = np.stack(columns, axis=1)
-    return LanguageModel([lang for lang, _ in langs], keys[order], order, weights)
+    counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.xxhash64("word"), "word"))
+    most = min(WORDS_PER_LANG, WORDS_IN_ALL // len(langs))
+    counts: dict[str, dict[str, int]] = {lang: {} for lang, _ in langs}
+    for r in counted.withColumn("place", place).filter(F.col("place") <= most).select("lang", "word", "n").collect():
+        counts[r.lang][r.word] = r.n
+    columns = [learn(counts[lang], pieces) for lang, _ in langs]
+    return LanguageModel([lang for lang, _ in langs], pieces, np.stack(columns, axis=1))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,19 +282,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     ``score`` is the language's share of the probability over all languages, all
     equally likely before.  A null text, one without a letter, or a model without
-    languages gives ``und`` and 0; of equal scores the first language wins.
+    languages gives ``und`` and 0; of equal scores the first language wins.  Rows
+    that repeat are scored each, an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = WordTable(model.word_scores, len(model.langs), CACHE_WORDS)
+        known = WordTable(model.word_scores, len(model.langs), CACHE_VALUES // max(len(model.langs), 1))
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for low, high in blocks(texts, BLOCK_BYTES):
-                part = [(t or b"").decode().lower() for t in texts[low:high]]
+            for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                part = [(t or b"").decode() for t in texts]
                 names, scores = [], []
-                for t, rows in zip(part, known.rows([split_words(t.encode()) for t in part])):
+                for t, rows in zip(part, known.rows([split_words(t or b"") for t in texts])):
                     if not model.langs or not any(m[0].isalpha() for m in _LETTER.finditer(t)):
                         names.append(UNDETERMINED)
                         scores.append(0.0)
