@@ -6,6 +6,13 @@ hold must parse before it is reported: a private key in DER, whose nested
 lengths fill the bytes exactly; an OpenSSH key, likewise; PEM armour around
 either; a signed token, whose header names an algorithm and whose claims are an
 object.
+
+A candidate may begin wherever no letter or digit stands before it, as slashes,
+dashes and underscores are both separators and digits of base64.  The first
+bytes say whether it can be a key and how long that is, so each place costs
+little, and a key that is wrapped in lines or followed by something is found.
+Decoded text is searched in turn, as deep as it goes: each level is a quarter
+shorter.
 """
 
 from __future__ import annotations
@@ -20,22 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_blocks
 
-
+BLOCK_BYTES = 1 << 20
 #: In the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CANDIDATE = 6, 20, 24, 24
-#: How often a decoded candidate may hold another one.
-MAX_NESTING = 2
-
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # The value's class is of both cases already, so ignoring case changes the names only.
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{%d,}|[A-Za-z0-9_-]{%d,})={0,2}(?![A-Za-z0-9+/_=-])|(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}(?![0-9A-Fa-f])" % ((MIN_CANDIDATE,) * 3))
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+TOKEN_HINT = re.compile(r"(?<![A-Za-z0-9])e[yw][A-Za-z0-9_-]{6,}\.")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE)
+HEX_DIGITS = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}(?![0-9A-Fa-f])" % MIN_CANDIDATE)
+DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Where digits of base64 go on in the next line; line ends may be escaped, as in JSON.
+WRAP = re.compile(r"[ \t]*(?:(?:\\+r)?\\+n|\r?\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))[A-Za-z0-9]")
+SSH_MAGIC = b"openssh-key-v1\x00"
 _RUNS = bytes(49 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
 _HEX_RUNS = bytes(49 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN, _HEX_RUN = b"1" * MIN_CANDIDATE, b"1" * MIN_HEX
@@ -84,28 +96,38 @@ def is_der_key(data: bytes) -> bool:
     return (len(inner) >= 9 or len(inner) == 6) and set(tags) == {0x02} and len(inner[1][1]) >= 32  # numbers of an RSA or DSA key
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key whose nested lengths fill it."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+def der_size(head: bytes) -> int:
+    """How long the element is that begins with ``head``, if a private key can begin so; else 0."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 3 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def ssh_size(data: bytes) -> int:
+    """How long the OpenSSH private key is that ``data`` begins with, by its nested lengths; 0 if there is none."""
+    if not data.startswith(SSH_MAGIC):
+        return 0
+    at = len(SSH_MAGIC)
 
-    def field() -> bytes | None:
+    def field() -> bool:
         nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
         at += 4 + size
-        return data[at - size : at]
+        return at <= len(data)
 
-    if any(field() is None for _ in range(3)):  # cipher, derivation, its options
-        return False
+    if not all(field() for _ in range(3)):  # cipher, derivation, its options
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    if not 1 <= keys <= 64 or any(field() is None for _ in range(keys + 1)):
-        return False
-    return at == len(data)
+    return at if 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether ``data`` is an OpenSSH private key whose nested lengths fill it."""
+    return 0 < ssh_size(data) == len(data)
 
 
 def decoded(text: str) -> list[bytes]:
@@ -124,6 +146,8 @@ def decoded(text: str) -> list[bytes]:
 
 def is_token(header: str, claims: str, signature: str) -> bool:
     try:
+        if not re.match(rb"\{\s*[\"}]", unarmoured(header[:24])):
+            return False
         head, body = (json.loads(decoded(x)[-1]) for x in (header, claims))
     except (ValueError, IndexError, RecursionError):
         return False
@@ -144,33 +168,122 @@ def armoured(label: str, body: str) -> bool:
     return any(is_der_key(d) or is_ssh_key(d) for d in data)
 
 
-def confirm(data: bytes, depth: int = 1) -> str | None:
-    """The kind of secret that decoded bytes are, if they parse as one."""
-    if is_der_key(data):
-        return "der"
-    if is_ssh_key(data):
-        return "ssh"
-    if depth < MAX_NESTING and data.isascii():
-        for _, _, kind in structural(data.decode(), depth + 1):
-            return kind
-    return None
+def unarmoured(digits: str) -> bytes:
+    """The bytes of base64 digits of either alphabet; a last one that fills no byte is left out."""
+    digits = digits[: len(digits) - (len(digits) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return binascii.a2b_base64(digits + "=" * (-len(digits) % 4))
+
+
+def gathered(text: str, at: int, most: int) -> tuple[str, int]:
+    """Up to ``most`` digits of base64 from ``at`` on, over line ends, and where they end."""
+    parts, held = [], 0
+    while True:
+        m = DIGITS.match(text, at)
+        parts.append(text[at : min(m.end(), at + most - held)])
+        held += len(parts[-1])
+        more = WRAP.match(text, m.end()) if held < most else None
+        if more is None:
+            return "".join(parts), at + len(parts[-1])
+        at = more.end()
+
+
+def _end(text: str, at: int) -> int | None:
+    """Where a candidate ends whose digits end at ``at``: after its padding; None if letters or digits follow."""
+    end = at
+    while end < len(text) and end < at + 2 and text[end] == "=":
+        end += 1
+    return None if end == at and at < len(text) and text[at].isascii() and text[at].isalnum() else end
+
+
+def key_at(text: str, at: int) -> tuple[int, int, str] | None:
+    """The private key in base64 that begins at ``at``."""
+    if text[at] == "M":  # the first byte is 0x30
+        kind, size = "der", der_size(unarmoured(gathered(text, at, 12)[0]))
+    elif text.startswith("b3BlbnNzaC1rZXktdjEA", at):
+        kind, size = "ssh", ssh_size(unarmoured(gathered(text, at, len(text))[0]))
+    else:
+        return None
+    digits = -(-8 * size // 6)
+    if digits < MIN_CANDIDATE or digits > len(text) - at:
+        return None
+    body, end = gathered(text, at, digits)
+    end = _end(text, end)
+    if len(body) < digits or end is None:
+        return None
+    data = unarmoured(body)[:size]
+    return (at, end, kind) if (is_der_key if kind == "der" else is_ssh_key)(data) else None
+
+
+def text_at(text: str, at: int, end: int) -> tuple[int, int, str] | None:
+    """The candidate of base64 that begins at ``at`` and holds text with a secret that parses."""
+    if not unarmoured(text[at : at + MIN_CANDIDATE]).translate(None, _PLAIN) == b"":
+        return None
+    data = unarmoured(text[at:end])
+    odd = _ODD.search(data)
+    if odd:  # what follows the text isn't part of it
+        cut = at + odd.start() * 8 // 6
+        end = max((k for k in range(max(at, cut - 4), cut + 1) if not text[k].isalnum()), default=0)
+        data = unarmoured(text[at:end]) if end - at >= MIN_CANDIDATE else b""
+    inner = structural(data.decode("ascii")) if data and _ODD.search(data) is None else []
+    stop = _end(text, end)
+    return (at, end if stop is None else stop, inner[0][2]) if inner else None
+
+
+_PLAIN = bytes([9, 10, 13, *range(32, 127)])
+_ODD = re.compile(rb"[^\t\n\r\x20-\x7e]")
+
+
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    """The signed tokens of a text."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(len(parts) - 2):
+            end = at + len(parts[k])
+            for s in START.finditer(text, at, end) if at >= (out[-1][1] if out else 0) else ():
+                begin = s.start()
+                if text[begin : begin + 2] in ("ey", "ew") and is_token(text[begin:end], parts[k + 1], parts[k + 2]):
+                    out.append((begin, end + len(parts[k + 1]) + len(parts[k + 2]) + 2, "jwt"))
+                    break
+            at = end + 1
+    return out
 
 
-def structural(text: str, depth: int = 1) -> list[tuple[int, int, str]]:
+def structural(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of tokens and keys that parse, in order of start; none lies in another."""
     out = []
     if "-----BEGIN " in text:
         out += [(*m.span(), "pem") for m in PEM.finditer(text) if armoured(m[1], m[2])]
-    if "ey" in text or "ew" in text:
-        out += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_token(*m.groups())]
-    taken = sorted(out)
-    for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+    if TOKEN_HINT.search(text):
+        out += tokens(text)
+    taken, found = sorted(out), []
+
+    def free(a: int, b: int) -> bool:
+        return not any(x < b and a < y for x, y, _ in taken)
+
+    last = 0
+    for run in RUN.finditer(text):
+        if not free(*run.span()):
+            continue
+        for s in START.finditer(text, run.start(), run.end()):
+            at = s.start()
+            if at < last:
+                continue
+            hit = key_at(text, at) or (text_at(text, at, run.end()) if run.end() - at >= MIN_CANDIDATE else None)
+            if hit and free(*hit[:2]):
+                found.append(hit)
+                last = hit[1]
+    taken = sorted(out + found)
+    for m in HEX_DIGITS.finditer(text):
+        if len(m[0]) % 2 or not free(*m.span()):
             continue
-        kind = next(filter(None, (confirm(d, depth) for d in decoded(m[0]))), None)
+        data = bytes.fromhex(m[0])
+        kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+        if kind is None and _ODD.search(data) is None:
+            kind = next((k for _, _, k in structural(data.decode("ascii"))), None)
         if kind:
-            out.append((*m.span(), kind))
-    return sorted(out)
+            found.append((*m.span(), kind))
+    return sorted(out + found)
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -184,7 +297,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     if _HEX_RUN in raw.translate(_HEX_RUNS):
         out += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    if _RUN in raw.translate(_RUNS) or "-----BEGIN " in text or TOKEN.search(text):
+    if _RUN in raw.translate(_RUNS) or "-----BEGIN " in text or TOKEN_HINT.search(text):
         out += structural(text)
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -195,9 +308,9 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW)], ["id", "spans"])
+        for low, high, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan((t or b"").decode("utf-8", "replace"))] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spans, _ARROW)], ["id", "spans"])
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,14 +331,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(where).to_pylist():
-                parts, at, last = [], 0, -1
-                for a, b, _ in scan(t or ""):
-                    if a >= last:
-                        parts += [t[at:a], mark]
-                    at = last = max(b, last)
-                out.append("".join(parts) + t[at:] if parts else t)
-            yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
+            for low, high, texts in text_blocks(batch.column(where), BLOCK_BYTES):
+                out = []
+                for t in (None if t is None else t.decode("utf-8", "replace") for t in texts):
+                    parts, at, last = [], 0, -1
+                    for a, b, _ in scan(t or ""):
+                        if a >= last:
+                            parts += [t[at:a], mark]
+                        at = last = max(b, last)
+                    out.append("".join(parts) + t[at:] if parts else t)
+                field = batch.schema.field(where)
+                yield batch.slice(low, high - low).set_column(where, field, pa.array(out, field.type))
 
     return docs.mapInArrow(run, docs.schema)
