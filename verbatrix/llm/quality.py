@@ -19,8 +19,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.7
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1000.0)
-#: Hosts up to this number are joined by broadcast.
-BROADCAST_HOSTS = 50_000
+#: Rejected hosts are joined by broadcast up to so many bytes, as counted.
+BROADCAST_BYTES = 16 << 20
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -37,35 +37,29 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in 3-word windows that are found twice or more in ``words``.
 
-    Each window's hash gives its upper bits, and its position the lower ones, to
-    one number; sorting brings equal windows together.  Neighbours count as equal
-    only if their words are.
+    Windows are hashed; where all hashes differ no window repeats.  Else the
+    windows of hashes that repeat, usually few, are sorted by their words, so that
+    equal ones are neighbours whatever their hashes have in common.
     """
 
-    def of_windows(ws: Column, bits: Column) -> Column:
-        n = F.size(ws) - 2
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1)
+    def window(ws: Column, i: Column) -> list[Column]:
+        return [F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)]
 
-        def packed(i: Column) -> Column:
-            return F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+    def neighbours(sorted_: Column, same) -> Column:
+        return F.filter(sorted_, lambda x, k: F.coalesce(same(x, F.get(sorted_, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(sorted_, k + 1)), F.lit(False)))
 
-        def same(s: Column, x: Column, k: Column) -> Column:
-            y = F.get(s, k)
-            p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-            near = y.isNotNull() & ((x.bitwiseXOR(y)) <= low) & ((x.bitwiseXOR(y)) >= 0)
-            for j in range(3):
-                near = near & (F.get(ws, p + j) == F.get(ws, q + j))
-            return near
+    def repeats(ws: Column, hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        near = let(by_hash, lambda s: neighbours(s, lambda x, y: x.h == y.h))
+        by_words = F.sort_array(F.transform(near, lambda x: F.struct(F.concat_ws(" ", *window(ws, x.i)).alias("w"), x.i.alias("i"))))
+        twice = let(by_words, lambda s: neighbours(s, lambda x, y: x.w == y.w))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
 
-        def covered(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1))
-            at = F.transform(twice, lambda x: x.bitwiseAND(low).cast("int"))
-            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
+    def of_windows(ws: Column) -> Column:
+        hashes = F.transform(F.slice(ws, F.lit(1), F.size(ws) - 2), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+        return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(repeats(ws, hs)))
 
-        return let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), packed)), covered)
-
-    bits = F.ceil(F.log2(F.size(words) + F.lit(1.0))).cast("int")
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(of_windows(words, bits)).cast("long")
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(of_windows(words)).cast("long")
 
 
 def text_figures(text: Column) -> Column:
@@ -86,8 +80,8 @@ def text_figures(text: Column) -> Column:
 
 
 def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id_col, host, the five figures, base_failed) for every row."""
-    rows = docs.select(F.col(id_col), F.col(host_col).alias("host"), text_figures(F.col(text_col)).alias("f")).select(id_col, "host", "f.*")
+    """(id, host, the five figures, base_failed) for every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_figures(F.col(text_col)).alias("f")).select("id", "host", "f.*")
     return rows.withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     )
@@ -122,12 +116,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     that repeat count each; extra columns aren't read.
     """
     rows = durable(document_figures(docs, id_col, text_col, host_col))
-    rejected = host_verdicts(rows).filter(~F.col("host_ok")).select("host", "host_ok")
-    n = rejected.limit(BROADCAST_HOSTS + 1).count()
-    if n <= BROADCAST_HOSTS:
+    rejected = durable(host_verdicts(rows).filter(~F.col("host_ok")).select("host", "host_ok"))
+    n, names = rejected.agg(F.count("*"), F.sum(F.octet_length("host"))).first()
+    if 128 * n + 2 * (names or 0) <= BROADCAST_BYTES:
         rejected = F.broadcast(rejected)
     return rows.join(rejected, "host", "left").select(
-        id_col,
+        F.col("id").alias(id_col),
         "n_words",
         "word_chars",
         "n_symbols",
