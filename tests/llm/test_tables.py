@@ -155,6 +155,21 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_windows_whose_hashes_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    texts = ["a b c d e f a b c x", "a b c d", "q " * 9, "a b c b c d a b d", "ab c d a bc d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality.repeated_words(quality.words_of(F.col("t"))).alias("n"))
+    assert [r.n for r in df.collect()] == [figures(t)[4] for t in texts]
+
+
+def test_rejected_hosts_too_large_for_a_broadcast(spark, monkeypatch):
+    rows = [(i, "one two" if i % 9 else "w " * 60 + " ".join(f"x{k}" for k in range(80)), f"h{i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, quality.quality(docs).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, quality.quality(docs).collect())) == want
+
+
 def test_hosts_are_shrunk(spark):
     # a host of one failed page isn't rejected among good hosts, a large bad one is
     rows = [(f"good{h}", k < 3) for h in range(20) for k in range(60)] + [("bad", k < 195) for k in range(200)] + [("new", True)] + [(None, True)]
@@ -287,6 +302,54 @@ def test_a_broken_batch_is_applied_again(spark, monkeypatch):
     assert totals(rollup) == {("s", "en", "v1"): (1, 11)}
 
 
+def test_compaction(spark):
+    rollup = token_counts.TokenRollup(spark, shared_dir(spark, "tokens-test"), buckets=3)
+    rng, alive = np.random.default_rng(2), {}
+    for k in range(6):
+        rows = []
+        for key in {f"d{x}" for x in rng.integers(0, 30, 12)}:
+            op = str(rng.choice(["insert", "revise", "delete"]))
+            rows.append((key, op, f"s{rng.integers(0, 2)}", None, f"v{k % 2}", int(rng.integers(0, 9))))
+            if op == "delete":
+                alive.pop(key, None)
+            else:
+                alive[key] = rows[-1]
+        assert rollup.apply(f"b{k}", changes(spark, rows))
+        if k in (2, 4):
+            assert rollup.compact() and not rollup.compact()
+            rollup.vacuum()
+        want = defaultdict(lambda: (0, 0))
+        for _, _, source, lang, tokenizer, n in alive.values():
+            docs, tokens = want[source, lang, tokenizer]
+            want[source, lang, tokenizer] = docs + 1, tokens + n
+        assert totals(rollup) == dict(want)
+        assert {r.doc_key: r.n_tokens for r in rollup.ledger().filter("alive").collect()} == {key: r[5] for key, r in alive.items()}
+    again = token_counts.TokenRollup(spark, rollup.path, buckets=3)
+    assert not again.apply("b0", changes(spark, [("z", "insert", "s", "en", "v", 1)])) and totals(again) == totals(rollup)
+
+
+def test_two_writers(spark, monkeypatch):
+    path = shared_dir(spark, "tokens-test")
+    one, two = token_counts.TokenRollup(spark, path), token_counts.TokenRollup(spark, path)
+    real, calls = one._commit, []
+
+    def late(seq, marker):
+        # another writer commits a batch while this one has its own ready
+        if not calls:
+            calls.append(seq)
+            assert two.apply("other", changes(spark, [("a", "insert", "s", "en", "v", 5), ("b", "insert", "s", "en", "v", 1)]))
+        return real(seq, marker)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.apply("mine", changes(spark, [("a", "revise", "s", "en", "v", 7)]))
+    assert totals(one) == totals(two) == {("s", "en", "v"): (2, 8)} and one.batches() == {"other": 1, "mine": 2}
+    # a marker that its writer didn't finish is passed over
+    fs, p = one._fs(f"{path}/commits/0000000003")
+    fs.create(p, False).close()
+    assert totals(two) == {("s", "en", "v"): (2, 8)} and two.apply("more", changes(spark, [("b", "delete", None, None, None, None)]))
+    assert totals(two) == {("s", "en", "v"): (1, 7)} and two.batches()["more"] == 4
+
+
 def test_counts(spark):
     with open(token_counts.DEFAULT_RANKS, "rb") as f:
         encode = token_counts.encoding(f.read()).encode_ordinary
