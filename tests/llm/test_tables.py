@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -224,8 +226,8 @@ def test_warc_rows_of_one_id_or_none_stay_apart(spark, tmp_path):
         want[f"<urn:page:{'null' if i is None else i}>", u or "", "revisit" if i == 3 else "response", "<urn:page:8>" if i == 3 else None, len(h), hashlib.sha1(h.encode()).hexdigest()] += 1
     assert Counter((r.record_id, r.target_uri, r.type, r.refers_to, r.payload_bytes, r.payload_sha1) for r in got) == want
     assert all(r.valid for r in got)
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
-    heads = [h for h, _ in warc.parse(data)]
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("part-*")))
+    heads = [h for _, h, _, _ in warc.parse(data)]
     ids = {h["warc-record-id"] for h in heads}
     assert len(ids) == len(heads) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= ids
 
@@ -234,10 +236,18 @@ def test_warc_files_are_standard(spark, tmp_path):
     _, df = pages(spark)
     path = str(tmp_path / "w")
     warc.write(df.coalesce(1), path)
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
+    files = sorted((tmp_path / "w").glob("part-*"))
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in files)
     seen = list(warc.parse(data))
     assert data.endswith(b"\r\n\r\n") and len(seen) == data.count(b"\r\nWARC-Record-ID: ")
-    assert {h["warc-type"] for h, _ in seen} == {"response", "revisit", "continuation"}
+    assert {h["warc-type"] for _, h, _, _ in seen} == {"response", "revisit", "continuation"} and not any(p for *_, p in seen)
+    # every record is a member of its own
+    members, rest = [], b"".join(f.read_bytes() for f in files)
+    while rest:
+        inner = zlib.decompressobj(31)
+        members.append(inner.decompress(rest))
+        rest = inner.unused_data
+    assert [m for m in members if m] == [data[a:b] for a, b in zip([o for o, *_ in seen], [*[o for o, *_ in seen][1:], len(data)])]
 
 
 def test_broken_archives(spark):
@@ -249,7 +259,55 @@ def test_broken_archives(spark):
     assert [r.valid for r in lost if r.record_id == "<urn:page:9>"] == [False] and sum(r.valid for r in lost) == len(rows) - 1
     assert warc.dechunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.dechunked(b"4\r\nabc\r\n0\r\n\r\n") is None
     assert warc.dechunked(b"zz\r\n") is None and warc.dechunked(b"") is None
-    assert list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")) == []
+    assert [x[1:] for x in warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")] == [({"content-length": "9"}, b"", "the block ends too early")]
+
+
+def foreign(kind, name, block, version=b"WARC/1.0", **headers):
+    head = b"".join(b"%s: %s\r\n" % (k.replace("_", "-").encode(), v if isinstance(v, bytes) else v.encode()) for k, v in headers.items())
+    return version + b"\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:%s>\r\n%sContent-Length: %d\r\n\r\n" % (kind.encode(), name.encode(), head, len(block)) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"<html>\xff\x00 body</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    framed = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n5;x=1\r\n" + body[:5] + b"\r\n%X\r\n" % len(body[5:]) + body[5:] + b"\r\n0\r\n\r\n"
+    sha1 = hashlib.sha1(body)
+    b32, is_http = base64.b32encode(sha1.digest()).decode(), {"Content_Type": "application/http; msgtype=response"}
+    pieces = [framed[:40], framed[40:70], framed[70:]]
+    records = [
+        foreign("warcinfo", "info", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("response", "hex", http + body, WARC_Payload_Digest="sha1:" + sha1.hexdigest().upper(), **is_http),
+        foreign("response", "b32", framed, WARC_Payload_Digest="SHA1:" + b32.lower(), **is_http),
+        foreign("response", "sha256", http + body, b"WARC/1.1", WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest(), **is_http),
+        foreign("response", "wrong", http + body, WARC_Payload_Digest="sha1:" + "0" * 40, **is_http),
+        foreign("response", "odd", http + body, WARC_Payload_Digest="what:ever", Other_=b"\xff\xfe", **is_http),
+        foreign("resource", "plain", body, Content_Type="text/html", WARC_Payload_Digest="sha1:" + b32),
+        foreign("revisit", "again", b"", WARC_Refers_To="<urn:uuid:hex>", WARC_Payload_Digest="sha1:" + b32, **is_http),
+        foreign("response", "nohttp", b"", **is_http),
+        foreign("response", "badframe", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n", **is_http),
+        foreign("response", "seg", pieces[0], WARC_Segment_Number="1", WARC_Payload_Digest="sha1:" + b32, **is_http),
+        foreign("continuation", "seg3", pieces[2], WARC_Segment_Number="3", WARC_Segment_Origin_ID="<urn:uuid:seg>", WARC_Segment_Total_Length=str(len(framed))),
+        foreign("continuation", "seg2", pieces[1], WARC_Segment_Number="2", WARC_Segment_Origin_ID="<urn:uuid:seg>"),
+        *[foreign("response", "twice", b"x", WARC_Segment_Number="1", **is_http)] * 3,
+    ]
+    bad = [
+        b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc\r\n\r\n",
+        b"garbage between records\r\n\r\n",
+        foreign("continuation", "n", b"x", WARC_Segment_Number="two"),
+        b"WARC/1.0\r\n\xff\xfe: \xff\r\n\r\n",
+    ]
+    data = records[0] + b"".join(r + bad[i % 4] * (i < 8) for i, r in enumerate(records[1:]))
+    (tmp_path / "plain.warc").write_bytes(data.replace(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n", b"WARC/1.0\nWARC-Type: warcinfo\r\n") + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut")
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(foreign("resource", "zipped", body)) + gzip.compress(foreign("resource", "lost", body * 50))[:40])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc.records(spark, str(tmp_path))
+    assert Counter(r.problem for r in warc.broken(found).collect()) == {"no length is stated": 4, "no record begins here": 2, "the segment's number is none": 2, "the block ends too early": 1, "the headers don't end": 1}
+    got = {re.sub(r"<urn:uuid:(.*)>", r"\1", r.record_id): r for r in warc.read(spark, str(tmp_path)).collect()}
+    good = {"hex", "b32", "sha256", "odd", "plain", "seg", "zipped"}
+    assert {k for k, r in got.items() if r.valid} == good | {"info", "again", "nohttp"} and set(got) == good | {"info", "again", "nohttp", "wrong", "badframe", "twice"}
+    assert all(bytes(got[k].payload) == body and got[k].payload_sha1 == sha1.hexdigest() for k in good | {"wrong"})
+    assert (got["again"].payload, got["again"].payload_bytes, got["again"].payload_sha1, got["again"].refers_to) == (None, None, sha1.hexdigest(), "<urn:uuid:hex>")
+    assert warc.dechunked(b"-3\r\nabc\r\n0\r\n\r\n") is None and warc.stated_digest("sha1:zz") is None is warc.stated_digest(None)
 
 
 def test_no_pages(spark):

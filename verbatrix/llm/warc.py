@@ -2,17 +2,20 @@
 
 Written are response records with an HTTP head and a body in chunked transfer
 framing; what exceeds a segment goes on in continuation records.  Of equal large
-payloads one is written, the others are revisit records.  The reader parses the
-files by their lengths, groups continuation records by the identifier of their
-origin (which is each written row's own), puts segments in order, verifies the total length, takes off the framing
-and verifies the digest.
+payloads one is written, the others are revisit records.  The reader parses
+files of any writer by their lengths, passes over broken records and reports
+them, groups continuation records by the identifier of their origin (which is
+each written row's own), puts segments in order, verifies the total length,
+takes off the framing and verifies the digest.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,10 @@ VERSION = b"WARC/1.1"
 DEDUP_BYTES = 1000
 #: Block bytes of one segment, and payload bytes of one chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
+#: Bytes of blocks or payloads that a reader passes on at a time.
+BATCH_BYTES = 4 << 20
+#: Hexadecimal digits of a digest that say which cell it is in; the cells of repeated payloads are broadcast.
+CELL_DIGITS = 5
 #: Records of one file at most, so that a file is a bounded piece of work for a reader.
 RECORDS_PER_FILE = 1_000
 _DATE = b"2000-01-01T00:00:00Z"
@@ -108,167 +115,277 @@ def revisit(name: bytes, url: bytes, size: int, sha1: str, refers_to: bytes) ->
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write a record or more for each row of ``pages`` to gzip files under ``path``.
+    """Write a record or more for each row of ``pages`` to files under ``path``, each record in a gzip member of its own.
 
     Null html counts as empty.  Of rows whose payloads are equal (by SHA-1 and
     size) and at least DEDUP_BYTES long the one with the largest id is a
     response, the others are revisits; rows that repeat this id too are responses
     each, and revisits refer to one of them.  A null id is written as ``null`` and
     never referred to.  Every record's identifier is the page's with a number of the
-    row's own, so rows that repeat an id or have none stay apart.
+    row's own, so rows that repeat an id or have none stay apart.  Repeated digests
+    are found on digests alone; payloads move only where their digest is in a cell
+    of a repeated one.  An empty table gives an archive without records.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(
         F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(";row="), F.monotonically_increasing_id()).alias("name"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1")
-    ).withColumn("size", F.length("payload"))
+    ).withColumns({"size": F.length("payload"), "cell": F.conv(F.left("sha1", F.lit(CELL_DIGITS)), 16, 10).cast("int")})
     same = durable(
-        rows.filter(F.col("size") >= DEDUP_BYTES).groupBy("sha1", "size").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("id", "name"))).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        rows.filter(F.col("size") >= DEDUP_BYTES).groupBy("sha1", "size").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("id", "name"))).alias("first"), F.count("*").alias("n"), F.max("cell").alias("same_cell")).filter("n > 1").drop("n")
     )
-    joined = rows.join(same.withColumnsRenamed({"sha1": "same_sha1", "size": "same_size"}), (F.col("sha1") == F.col("same_sha1")) & (F.col("size") == F.col("same_size")), "left")
+    # a number for each cell at most, of which there are 16 ** CELL_DIGITS
+    cells = F.broadcast(same.select("same_cell").distinct())
+    perhaps = rows.join(cells, F.col("cell") == F.col("same_cell"), "left_semi")
+    alone = rows.join(cells, F.col("cell") == F.col("same_cell"), "left_anti").select("name", "url", "payload", "sha1", "size", F.lit(None).cast("string").alias("refers_to"))
+    joined = perhaps.join(same.drop("same_cell").withColumnsRenamed({"sha1": "same_sha1", "size": "same_size"}), (F.col("sha1") == F.col("same_sha1")) & (F.col("size") == F.col("same_size")), "left")
     refers = F.when(F.col("first.id") > F.col("id"), F.col("first.name"))
-    slim = joined.select("name", "url", "payload", "sha1", F.length("payload").alias("size"), refers.alias("refers_to"))
+    slim = alone.unionAll(joined.select("name", "url", "payload", "sha1", "size", refers.alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
+            for k in range(len(batch)):
+                r = {name: column[0].as_py() for name, column in zip(batch.schema.names, batch.slice(k, 1).columns)}
                 name, url = r["name"].encode(), header_value(r["url"])
                 if r["refers_to"] is not None:
-                    out.append(revisit(name, url, r["size"], r["sha1"], r["refers_to"].encode()))
+                    out = [revisit(name, url, r["size"], r["sha1"], r["refers_to"].encode())]
                 else:
-                    out += response(name, url, r["payload"])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    out = response(name, url, r["payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([member(x) for x in out], pa.binary())], ["value"])
 
-    # the text writer ends every row with the two line ends that end a record
+    # the text writer ends every row with a separator: a member without content
     records = slim.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     (
-        records.write.option("lineSep", _END.decode())
-        .option("compression", "gzip")
+        records.write.option("lineSep", member(b"", b"").decode("latin-1"))
+        .option("encoding", "ISO-8859-1")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .mode("overwrite")
         .text(path)
     )
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of the records of a file; ends at the first one that is broken."""
+def member(record: bytes, end: bytes = _END) -> bytes:
+    """A record and the line ends after it as a gzip member, the same for the same record."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return made.compress(record + end) + made.flush()
+
+
+_RECORD = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r?\n")
+_BLANK = re.compile(rb"\r?\n\r?\n")
+
+
+def headers_of(head: bytes) -> dict[str, str]:
+    """Headers by lower-case name; lines that begin with white space go on the one before."""
+    lines = re.split(rb"\r?\n", re.sub(rb"\r?\n[ \t]+", b" ", head))
+    return {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, colon, v in (x.partition(b":") for x in lines) if colon}
+
+
+def number(text: str | None) -> int | None:
+    """A header's number; None where it is none."""
+    return int(text) if text is not None and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """(offset, headers by lower-case name, block, problem) of the records of a file, of any version of the format.
+
+    A record without a problem has None there.  After a broken one reading goes on
+    at the next line that begins a record.
+    """
     at = 0
-    while data.startswith(VERSION + b"\r\n", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at + len(VERSION) + 2 : end].split(b"\r\n")
-        headers = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
-        size = int(headers.get("content-length", "-1"))
-        block = data[end + 4 : end + 4 + size]
-        if size < 0 or len(block) < size:
-            return
-        yield headers, block
-        at = end + 4 + size + len(_END)
+    while at < len(data):
+        begin = _RECORD.match(data, at)
+        if begin is None:
+            following = re.compile(rb"^WARC/[0-9]+\.[0-9]+[ \t]*\r?$", re.M).search(data, at)
+            end = following.start() if following else len(data)
+            if data[at:end].strip():
+                yield at, {}, b"", "no record begins here"
+            at = end
+            continue
+        end = _BLANK.search(data, begin.end() - 2)
+        headers = headers_of(data[begin.end() : end.start()]) if end else {}
+        size = number(headers.get("content-length"))
+        problem = None
+        if end is None:
+            problem = "the headers don't end"
+        elif size is None:
+            problem = "no length is stated"
+        elif end.end() + size > len(data):
+            problem = "the block ends too early"
+        elif "warc-segment-number" in headers and not number(headers["warc-segment-number"]):
+            problem = "the segment's number is none"
+        if problem:
+            yield at, headers, b"", problem
+            at = begin.end()
+            # what follows is passed over up to the next record
+            following = re.compile(rb"^WARC/[0-9]+\.[0-9]+[ \t]*\r?$", re.M).search(data, at)
+            at = following.start() if following else len(data)
+            continue
+        yield at, headers, data[end.end() : end.end() + size], None
+        at = end.end() + size
+        while data[at : at + 2] == b"\r\n" or data[at : at + 1] == b"\n":
+            at += 2 if data[at : at + 1] == b"\r" else 1
 
 
 def _inflate(data: bytes) -> bytes:
-    import zlib
-
+    """All members; of one that is broken what can be read, and nothing after it."""
     out = []
     while data:
-        member = zlib.decompressobj(31)
-        out += [member.decompress(data), member.flush()]
-        data = member.unused_data
+        inner = zlib.decompressobj(31)
+        try:
+            out += [inner.decompress(data), inner.flush()]
+        except zlib.error:
+            break
+        data = inner.unused_data.lstrip(b"\x00")
     return b"".join(out)
 
 
+RECORDS = (
+    "file string, offset bigint, type string, record_id string, origin string, row string, segment int, segmented boolean, total bigint, "
+    "target_uri string, refers_to string, digest string, content_type string, block binary, problem string"
+)
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(type, record_id, origin, row, segment, total, target_uri, refers_to, digest, block) of all records under ``path``.
+    """All records under ``path``, as RECORDS says.
 
     ``origin`` is the identifier that a record's segments share, its own for one
     that isn't a continuation.  Identifiers are those of pages; ``row`` is what
     tells the origin from other rows of its page, null in files of other writers.
+    A broken record has its ``problem``, null for others; nothing of it is used.
+    ``offset`` counts the bytes of the file as it is after inflating.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for file, content in zip(batch.column(0), batch.column(1)):
                 data = content.as_py()
-                rows = [
-                    {
-                        "type": h.get("warc-type"),
-                        "record_id": split_identifier(h.get("warc-record-id"))[0],
-                        "origin": split_identifier(h.get("warc-segment-origin-id", h.get("warc-record-id")))[0],
-                        "row": split_identifier(h.get("warc-segment-origin-id", h.get("warc-record-id")))[1],
-                        "segment": int(h.get("warc-segment-number", 1)),
-                        "segmented": "warc-segment-number" in h,
-                        "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                        "target_uri": h.get("warc-target-uri"),
-                        "refers_to": split_identifier(h.get("warc-refers-to"))[0],
-                        "digest": h.get("warc-payload-digest"),
-                        "block": block,
-                    }
-                    for h, block in parse(_inflate(data) if data[:2] == b"\x1f\x8b" else data)
-                ]
+                rows, held = [], 0
+                for offset, h, block, problem in parse(_inflate(data) if data[:2] == b"\x1f\x8b" else data):
+                    origin, row = split_identifier(h.get("warc-segment-origin-id", h.get("warc-record-id")))
+                    rows.append(
+                        {
+                            "file": file.as_py(),
+                            "offset": offset,
+                            "type": h.get("warc-type"),
+                            "record_id": split_identifier(h.get("warc-record-id"))[0],
+                            "origin": origin,
+                            "row": row,
+                            "segment": (number(h.get("warc-segment-number")) or 1) & 0x7FFFFFFF,
+                            "segmented": "warc-segment-number" in h and "warc-record-id" in h,
+                            "total": number(h.get("warc-segment-total-length")),
+                            "target_uri": h.get("warc-target-uri"),
+                            "refers_to": split_identifier(h.get("warc-refers-to"))[0],
+                            "digest": h.get("warc-payload-digest"),
+                            "content_type": h.get("content-type"),
+                            "block": block,
+                            "problem": problem,
+                        }
+                    )
+                    held += len(block)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    text = pa.string()
-    schema = pa.schema(
-        [("type", text), ("record_id", text), ("origin", text), ("row", text), ("segment", pa.int32()), ("segmented", pa.bool_()), ("total", pa.int64()), ("target_uri", text), ("refers_to", text), ("digest", text), ("block", pa.binary())]
-    )
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(
-        run,
-        "type string, record_id string, origin string, row string, segment int, segmented boolean, total bigint, target_uri string, refers_to string, digest string, block binary",
-    )
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, RECORDS.split(", "))])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
+
+
+def broken(found: DataFrame) -> DataFrame:
+    """(file, offset, record_id, problem) of the records that aren't whole."""
+    return found.filter("problem IS NOT NULL").select("file", "offset", "record_id", "problem")
 
 
 def reassembled(found: DataFrame) -> DataFrame:
-    """Records with their segments joined in order, and ``complete``.
+    """Records with their segments in order in ``blocks``, and ``complete``; broken ones are left out.
 
-    Only segmented records are shuffled.  A record is complete if its segments
-    are numbered from 1 without a gap or a repeat and their length is the total
-    that the last one states.
+    A record is complete if its segments are numbered from 1 without a gap or a
+    repeat and their length is the total that the last one states.  That is found
+    out on numbers and lengths; only blocks of complete records are then brought
+    together, so an identifier that a file repeats gathers nothing.  One that isn't
+    complete has no blocks.  Only segmented records are shuffled.
     """
-    whole = found.filter(~F.col("segmented")).drop("segmented", "total", "segment").withColumn("complete", F.lit(True))
-    parts = found.filter("segmented").groupBy("origin", "row").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        F.max("total").alias("total"),
-        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("type", "record_id", "target_uri", "refers_to", "digest")),
+    columns = ["type", "record_id", "target_uri", "refers_to", "digest", "content_type"]
+    found = found.filter("problem IS NULL")
+    whole = found.filter(~F.col("segmented")).select(*columns, F.array("block").alias("blocks"), F.lit(True).alias("complete"))
+    parts = found.filter("segmented").withColumn("row", F.coalesce("row", F.lit("")))
+    each = parts.groupBy("origin", "row", "segment").agg(
+        F.count("*").alias("n"), F.sum(F.length("block").cast("long")).alias("size"), F.max("total").alias("total"), *(F.max(c).alias(c) for c in columns)
+    )
+    heads = each.groupBy("origin", "row").agg(
+        (F.coalesce(F.max("n") == 1, F.lit(False)) & (F.max("segment") == F.count("*")) & (F.min("segment") == 1) & (F.sum("size") == F.max("total"))).alias("complete"),
+        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in columns),
     )
-    numbered = F.transform("parts", lambda p: p.segment) == F.sequence(F.lit(1), F.size("parts"))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p.block)), ""))
-    out = parts.withColumn("block", joined).withColumn("complete", F.coalesce(numbered & (F.length("block") == F.col("total")), F.lit(False)))
-    return whole.unionByName(out.drop("parts", "total"))
+    heads = durable(heads.withColumn("complete", F.coalesce("complete", F.lit(False))))
+    good = heads.filter("complete").withColumnsRenamed({"origin": "o", "row": "r"}).drop("complete")
+    held = parts.select("origin", "row", "segment", "block").join(good.select("o", "r"), (F.col("origin") == F.col("o")) & (F.col("row") == F.col("r")), "left_semi")
+    ordered = held.groupBy("origin", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "block"))), lambda p: p.block).alias("blocks"))
+    joined = good.join(ordered, (F.col("origin") == F.col("o")) & (F.col("row") == F.col("r"))).select(*columns, "blocks", F.lit(True).alias("complete"))
+    lost = heads.filter("NOT complete").select(*columns, F.lit(None).cast("array<binary>").alias("blocks"), "complete")
+    return whole.unionAll(joined).unionAll(lost)
+
+
+def stated_digest(text: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a header's value, in base32 or hexadecimal digits; None where it is neither."""
+    name, _, value = (text or "").strip().partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    try:
+        size = hashlib.new(name).digest_size
+        data = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (ValueError, binascii.Error, TypeError):
+        return None
+    return (name, data) if len(data) == size else None
+
+
+def payload_of(block: bytes, content_type: str | None, kind: str | None) -> tuple[dict[str, str], bytes | None]:
+    """(HTTP headers, payload) of a record's block; None where its framing is broken."""
+    http = content_type is None and kind in ("response", "request", "revisit") or (content_type or "").lower().startswith("application/http")
+    if not http:
+        return {}, block
+    end = _BLANK.search(block)
+    if end is None:
+        return headers_of(block.partition(b"\n")[2]), b""
+    headers, body = headers_of(block[: end.start()].partition(b"\n")[2]), block[end.end() :]
+    codings = [c.strip() for c in headers.get("transfer-encoding", "").lower().split(",")]
+    return headers, dechunked(body) if codings[-1] == "chunked" else body
 
 
 def payloads(found: DataFrame) -> DataFrame:
     """(record_id, type, target_uri, refers_to, payload, payload_bytes, payload_sha1, valid) of reassembled records.
 
-    The framing is taken off as the HTTP head says.  A revisit has no payload; its
-    size and digest are those that it states.  ``valid`` is whether the record is
-    complete, its framing intact and its digest as stated.
+    The framing is taken off as the HTTP head says; a block that isn't HTTP is the
+    payload itself.  A revisit has no payload; its size and digest are those that it
+    states, null where it states none.  ``valid`` is whether the record is complete,
+    its framing intact and its digest as stated; a digest that isn't stated, or of
+    no known kind, can't be wrong.
     """
     text = pa.string()
     schema = pa.schema([("record_id", text), ("type", text), ("target_uri", text), ("refers_to", text), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha1", text), ("valid", pa.bool_())])
 
+    def one(r: dict) -> dict:
+        http, payload = payload_of(b"".join(r["blocks"] or []), r["content_type"], r["type"])
+        stated = stated_digest(r["digest"])
+        row = {k: r[k] for k in ("record_id", "type", "target_uri", "refers_to")}
+        if r["type"] == "revisit":
+            sha1 = stated[1].hex() if stated and stated[0] == "sha1" else None
+            return row | {"payload_bytes": number(http.get("content-length")), "payload_sha1": sha1, "valid": r["complete"]}
+        if not r["complete"] or payload is None:
+            return row | {"payload": None, "payload_bytes": 0, "payload_sha1": hashlib.sha1(b"").hexdigest(), "valid": False}
+        agrees = stated is None or hashlib.new(stated[0], payload).digest() == stated[1]
+        return row | {"payload": payload, "payload_bytes": len(payload), "payload_sha1": hashlib.sha1(payload).hexdigest(), "valid": agrees}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                head, _, body = (r["block"] or b"").partition(b"\r\n\r\n")
-                http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-                stated = base64.b32decode((r["digest"] or "").removeprefix("sha1:")).hex()
-                row = {k: r[k] for k in ("record_id", "type", "target_uri", "refers_to")}
-                if r["type"] == "revisit":
-                    size = int(http.get(b"content-length", b"-1"))
-                    rows.append(row | {"payload_bytes": size, "payload_sha1": stated, "valid": r["complete"] and size >= 0})
-                    continue
-                payload = dechunked(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body
-                sha1 = hashlib.sha1(payload or b"").hexdigest()
-                rows.append(
-                    row | {"payload": payload, "payload_bytes": len(payload or b""), "payload_sha1": sha1, "valid": r["complete"] and payload is not None and sha1 == stated}
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return found.select("record_id", "type", "target_uri", "refers_to", "digest", "block", "complete").mapInArrow(
+            rows, held = [], 0
+            for k in range(len(batch)):
+                rows.append(one({name: column[0].as_py() for name, column in zip(batch.schema.names, batch.slice(k, 1).columns)}))
+                held += len(rows[-1].get("payload") or b"")
+                if held > BATCH_BYTES or k == len(batch) - 1:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+
+    return found.select("record_id", "type", "target_uri", "refers_to", "digest", "content_type", "blocks", "complete").mapInArrow(
         run, "record_id string, type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_sha1 string, valid boolean"
     )
 
