@@ -55,8 +55,8 @@ def test_memory_stays_bounded(models, monkeypatch):
     assert [ids(e) for e in made.encode_all(texts[:1]) + made.encode_all(texts[1:])] == [library.encode(t) for t in texts]
 
 
-def unigram_model(pieces):
-    """A model file of the other kind, with byte pieces."""
+def unigram_model(pieces, spec=b"\x18\x01\x20\x00", with_bytes=True):
+    """A model file of the other kind."""
 
     def varint(n):
         out = b""
@@ -69,9 +69,9 @@ def unigram_model(pieces):
     def field(k, v):
         return varint(k << 3 | 2) + varint(len(v)) + v
 
-    rows = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(p, s, 1) for p, s in pieces]
+    rows = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if with_bytes] + [(p, s, 1) for p, s in pieces]
     data = b"".join(field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + b"\x18" + varint(t)) for p, s, t in rows)
-    return data + field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00")
+    return data + field(2, b"\x18\x01" + b"\x98\x02\x01" * with_bytes) + field(3, spec)
 
 
 def test_unigram_shortest_path():
@@ -90,6 +90,40 @@ def test_unigram_shortest_path():
     assert made.decode(made.encode("a é")) == "a é"
 
 
+SPECIAL = ["Ａｂｃ　ﬁn ½", "a\u0301 e\u0301", "\u00ad soft\u200bhyphen", "① Ⅷ ㍿", "  x \t y\n\nz  ", "", "漢字カナ", "\x00\x01", "가각힣", "ǆ Å Ω", "\ufeffab", "…"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_character_maps(rule, with_bytes):
+    normaliser = spm.SentencePieceNormalizer(rule_name=rule)
+    spec = normaliser.serialized_normalizer_spec()
+    rng = random.Random(4)
+    pieces = {"▁": -2.0, **{c: -4.0 - k / 10 for k, c in enumerate("abcdeinxyz123ア")}, "ab": -3.5, "▁a": -3.2, "fi": -3.9, "▁fi": -4.4, "in": -4.5}
+    model = unigram_model(list(pieces.items()), spec, with_bytes)
+    made, library = fst.PieceTransducer(model), spm.SentencePieceProcessor(model_proto=model)
+    assert len(made.map) > 1000
+    texts = SPECIAL + ["".join(rng.choice("abｱﾞ①ﬁ é\u0301\u3000x½ K\t") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    assert [ids(e) for e in made.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
+def test_merging_long_chunks(models):
+    made, library = models
+    rng = random.Random(6)
+    for text in ("a" * 50_000, "".join(rng.choice("abcdeth") for _ in range(30_000)), "ab" * 20_000):
+        assert made.merged(text) == [i for i in library.encode("\n" + text)][-len(made.merged(text)) :]
+        assert ids(made.encode(text)) == library.encode(text)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Piece_Ids int")
+    with pytest.raises(ValueError, match="already"):
+        fst.encode(docs)
+    assert fst.encode(docs, out_col="text").columns == docs.columns
+    with pytest.raises(ValueError, match="already"):
+        fst.decode(fst.encode(docs, out_col="ids"), "ids", "Piece_Ids")
+
+
 def test_encode_and_decode_tables(spark, models):
     rows = [(1, "Hello  world", 5), (2, None, 6), (2, None, 6), (3, "", None), (None, "x" * 100_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece_ids_2 int")

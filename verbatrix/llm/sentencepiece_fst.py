@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-A model file is compiled to a transducer: the normaliser (escaped spaces and a
-prefix), an arc for every piece, and byte arcs for characters that no piece has.
+A model file is compiled to a transducer: the normaliser (its character map,
+escaped spaces and a prefix), an arc for every piece, and byte arcs for
+characters that no piece has.
 Composed with a text it gives a lattice, whose shortest path in the tropical
 semiring (weights add along a path, the least total wins) is the encoding.
 
@@ -15,6 +16,7 @@ all its neighbours are such pairs, so one path is left to every position.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_name, text_blocks
+from .common import text_blocks
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker holds the encodings of, and pairs whose merging it knows.
-CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 400_000, 400_000, 64
-BLOCK_BYTES = 4 << 20
+CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 150_000, 300_000, 64
+BLOCK_BYTES = 1 << 20
 _INF = float("inf")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -63,6 +65,30 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def character_map(data: bytes) -> dict[str, str]:
+    """What a normaliser's compiled character map replaces, and by what.
+
+    The map is a trie in a double array: a unit has a label, an offset to its
+    children and whether a value follows; values are places of strings that end
+    in a zero byte.  The trie is walked a level at a time.
+    """
+    size = int.from_bytes(data[:4], "little")
+    units, strings = np.frombuffer(data, "<u4", size // 4, 4).astype(np.int64), data[4 + size :]
+    places, prefixes, out, labels = np.zeros(1, np.int64), [b""], {}, np.arange(1, 256)
+    while len(places):
+        unit = units[places]
+        base = places ^ (unit >> 10 << ((unit & 512) >> 6))
+        children = base[:, None] ^ labels
+        there = units[np.minimum(children, len(units) - 1)]
+        rows, which = np.nonzero((children < len(units)) & (there & 0x800000FF == labels))
+        places, prefixes = children[rows, which], [prefixes[r] + bytes([c]) for r, c in zip(rows.tolist(), labels[which].tolist())]
+        unit = units[places]
+        for k in np.flatnonzero(unit >> 8 & 1).tolist():
+            at = int(units[places[k] ^ (unit[k] >> 10 << ((unit[k] & 512) >> 6))]) & 0x7FFFFFFF
+            out[prefixes[k].decode("utf-8", "replace")] = strings[at : strings.index(b"\0", at)].decode("utf-8", "replace")
+    return out
+
+
 class Memo(dict):
     """A dict that computes what is missing and holds two generations of ``most`` / 2 entries."""
 
@@ -98,8 +124,11 @@ class PieceTransducer:
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and merge models can be compiled")
-        if normaliser.get(2):
-            raise ValueError("character maps in a model's normaliser aren't supported; normalise before")
+        self.map = character_map(normaliser[2]) if normaliser.get(2) else {}
+        #: For a first character, how long what is replaced there can be.
+        self.reach: dict[str, int] = {}
+        for key in self.map:
+            self.reach[key[0]] = max(self.reach.get(key[0], 0), len(key))
         self.prefix, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER_DEFINED)}
         self.unknown = self.types.index(UNKNOWN)
@@ -123,7 +152,25 @@ class PieceTransducer:
 
     # normaliser
 
+    def mapped(self, text: str) -> str:
+        """``text`` through the character map: the longest that is replaced at each place, from the left."""
+        reach, out, done, at = self.reach, [], 0, 0
+        if not reach or reach.keys().isdisjoint(text):
+            return text
+        while at < len(text):
+            for n in range(min(reach.get(text[at], 0), len(text) - at), 0, -1):
+                new = self.map.get(text[at : at + n])
+                if new is not None:
+                    out += (text[done:at], new)
+                    at = done = at + n
+                    break
+            else:
+                at += 1
+        out.append(text[done:])
+        return "".join(out)
+
     def normalise(self, text: str) -> str:
+        text = self.mapped(text)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -136,17 +183,34 @@ class PieceTransducer:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 
     def merged(self, text: str) -> list[int]:
-        """The encoding by merging itself: the best neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = -_INF, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.scores[piece] > best:
-                    best, at = self.scores[piece], i
-            if at < 0:
-                return [i for p in parts for i in ((self.ids[p],) if p in self.ids else self.fallback(p))]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The encoding by merging itself: the best neighbours first, the leftmost of equals.
+
+        Neighbours wait in a heap and those that are gone are passed over, so a text
+        of any length takes little more than linear time.
+        """
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if 0 <= i and after[i] < len(parts):
+                both = parts[i] + parts[after[i]]
+                if both in self.ids:
+                    heapq.heappush(heap, (-self.scores[self.ids[both]], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            k = after[i]
+            if parts[i] is None or k >= len(parts) or parts[i] + parts[k] != both:
+                continue
+            parts[i], parts[k], after[i] = both, None, after[k]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [i for p in parts if p is not None for i in ((self.ids[p],) if p in self.ids else self.fallback(p))]
 
     def _compile_merges(self) -> None:
         """How every piece was merged last, and which pieces merging can make at all.
@@ -281,7 +345,14 @@ class PieceTransducer:
         Chunks that aren't known yet are encoded together, in order; what is known
         is dropped when it is too much, so memory doesn't grow with the texts.
         """
-        texts = list(map(self.normalise, texts))
+        out = self._encode_all(list(map(self.normalise, texts)))
+        if self.byte_ids:
+            return out
+        # unknown characters that follow each other are one piece
+        ids = [np.frombuffer(x, "<i4") for x in out]
+        return [x[(x != self.unknown) | (np.concatenate([[-1], x[:-1]]) != self.unknown)].tobytes() if len(x) else b"" for x in ids]
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [next(self._encoded([t])) if t else b"" for t in texts]
         known, split = self.encoded, list(map(self.chunk.findall, texts))
@@ -325,6 +396,11 @@ def _model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _free(df: DataFrame, name: str, replaced: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns if c != replaced}:
+        raise ValueError(f"there is a column {name} already")
+
+
 def _lists(encoded: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(encoded) + 1, np.int32)
     np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
@@ -332,7 +408,12 @@ def _lists(encoded: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """``docs`` with ``out_col`` (array<int>) in the place of ``text_col``; null text counts as empty and has no pieces."""
+    """``docs`` with ``out_col`` (array<int>) in the place of ``text_col``; null text counts as empty and has no pieces.
+
+    Rows that repeat are encoded each, an empty table stays one; another column
+    of the name ``out_col`` is an error.
+    """
+    _free(docs, out_col, text_col)
     shared, at = _model(docs, model), docs.columns.index(text_col)
     fields = [f"`{c}` {t}" for c, t in docs.dtypes]
     fields[at] = f"`{out_col}` array<int>"
@@ -348,7 +429,11 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """``df`` with the decoded text in the place of ``ids_col``; null counts as no pieces, ids must be the model's."""
+    """``df`` with the decoded text in the place of ``ids_col``; null counts as no pieces, ids must be the model's.
+
+    Another column of the name ``out_col`` is an error.
+    """
+    _free(df, out_col, ids_col)
     shared, at = _model(df, model), df.columns.index(ids_col)
     fields = [f"`{c}` {t}" for c, t in df.dtypes]
     fields[at] = f"`{out_col}` string"
@@ -356,7 +441,7 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compiled(shared.value)
         for batch in batches:
-            texts = [made.decode(np.array(ids or [], "<i4").tobytes()) for ids in batch.column(at).to_pylist()]
+            texts = [made.decode(ids.values.to_numpy().astype("<i4").tobytes() if ids.is_valid else b"") for ids in batch.column(at)]
             yield batch.set_column(at, out_col, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, ", ".join(fields))
@@ -366,7 +451,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, n_pieces, ids_sha256, decoded_equal) for every row: encoded, decoded and compared in one pass.
 
     ``ids_sha256`` is of the ids as little-endian 32-bit numbers.  Null text counts
-    as empty.  Texts that have U+2581 themselves don't come back equal, as the
+    as empty; rows that repeat count each.  Texts that have U+2581 themselves don't come back equal, as the
     model writes a space so; all others do.
     """
     shared = _model(docs, model)
