@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, mixing, quality, secrets, sentencepiece_fst, simhash, token_counts, toxicity, warc
-from .common import held_out, shared_dir
+from .common import durable, held_out, remove, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +56,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer's counts; that batch is delivered twice; documents without a word go."""
     docs = table(spark, sf_dir, "documents")
     keyed = docs.select(token_counts.doc_key().alias("doc_key"), "source", "lang", "text")
-    rollup = token_counts.TokenRollup(spark, shared_dir(spark, "token-counts"))
+    path = shared_dir(spark, "token-counts")
+    rollup = token_counts.TokenRollup(spark, path)
     words = keyed.withColumn("n_tokens", mixing.word_count(F.col("text"))).drop("text")
     rollup.apply("load", words.withColumns({"op": F.lit("insert"), "tokenizer": F.lit("words_1")}))
     revised = token_counts.bpe_counts(keyed).withColumns({"op": F.lit("revise"), "tokenizer": F.lit("byte_bpe_50k")})
     rollup.apply("retokenise", revised)
     rollup.apply("retokenise", revised)
     rollup.apply("withdraw", words.filter("n_tokens = 0").withColumns({"op": F.lit("delete"), "tokenizer": F.lit("byte_bpe_50k")}))
-    return rollup.totals()
+    totals = durable(rollup.totals())
+    remove(spark, path)
+    return totals
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,14 +116,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named(uri: str):
         return F.regexp_extract(uri, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
-    return warc.read(spark, path).select(
-        named("record_id").alias("page_id"),
-        "payload_bytes",
-        F.col("payload_sha1").alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        named("refers_to").alias("refers_to"),
-        "valid",
+    rows = durable(
+        warc.read(spark, path).select(
+            named("record_id").alias("page_id"),
+            "payload_bytes",
+            F.col("payload_sha1").alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            named("refers_to").alias("refers_to"),
+            "valid",
+        )
     )
+    remove(spark, path)
+    return rows
 
 
 OP8_SQL = """
