@@ -33,7 +33,7 @@ def select_sentences(scored: Column, budget: Column, by_tokens: bool) -> Column:
 
     Scores of 0 and less are never taken; of equal ones the first comes first.
     """
-    best = F.array_sort(F.transform(F.filter(scored, lambda r: r.score > 0), lambda r: F.struct((-r.score).alias("k"), r.idx.alias("idx"), r.s.alias("s"))))
+    best = F.array_sort(F.transform(F.filter(scored, lambda r: r.score > 0), lambda r: F.struct(F.round(-r.score, 9).alias("k"), r.idx.alias("idx"), r.s.alias("s"))))
     taken = t.let(best, lambda rs: t.let(truncate_sentences(F.transform(rs, lambda r: r.s), budget, by_tokens), lambda ss: F.slice(rs, F.lit(1), F.size(ss))))
     return F.transform(F.array_sort(F.transform(taken, lambda r: F.struct(r.idx.alias("idx"), r.s.alias("s")))), lambda r: r.s)
 

@@ -32,7 +32,7 @@ def ranked_results(
 
     ``queries`` has (query_id, query, max_results); other columns, there or in
     ``results``, aren't read.  Each page is cut to
-    ``page_limit`` bytes and scored; results go by score, then by rank; the first
+    ``page_limit`` bytes and scored; results go by score (to nine places, as sums may differ in the last), then by rank; the first
     half, rounded up, has the larger budget.  A page that failed scores 0 and
     keeps its place.
     """
@@ -45,7 +45,7 @@ def ranked_results(
     found = asked.join(texts, "url", "left").withColumn("text", F.coalesce("text", F.lit(""))).repartition(tasks, "query_id")
     scored = found.withColumn("score", page_score(t.tokens(F.col("text")), t.tokens(F.col("query"))))
     by_query = Window.partitionBy("query_id")
-    placed = scored.withColumn("place", F.row_number().over(by_query.orderBy(F.col("score").desc(), "rank"))).withColumn("n", F.count("*").over(by_query))
+    placed = scored.withColumn("place", F.row_number().over(by_query.orderBy(F.round("score", 9).desc(), "rank"))).withColumn("n", F.count("*").over(by_query))
     budget = F.when(F.col("place") <= F.ceil(F.col("n") / 2), F.lit(top_budget)).otherwise(F.lit(rest_budget))
     return placed.select(
         "query_id", "place", "rank", "title", "url", "snippet", "score", token_highlights(F.col("text"), F.col("query"), budget).alias("highlights")

@@ -85,64 +85,91 @@ def noise_sql(s: str) -> str:
     return f"(regexp_matches(lower({s}), {NOISE_SQL}) OR length(trim({s}, {SPACES_SQL})) < 15)"
 
 
-#: Sentences with keys, exact repeats gone, then those that resemble an earlier one.
-DEDUPED_SQL = f"""
-raw AS (SELECT doc_id, {sentences_sql("coalesce(text, '')")} AS ss FROM documents),
-each AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM raw),
-keyed AS (SELECT doc_id, s, pos, {key_sql("s")} AS k FROM each),
-firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) = 1),
-longs AS (SELECT doc_id, list(k ORDER BY pos) AS ks FROM firsts WHERE strlen(k) >= 100 GROUP BY doc_id),
+def truncated_sql(text: str, limit: str) -> str:
+    """``text`` cut to ``limit`` bytes with a notice; a cut code point becomes U+FFFD."""
+    most = f"least({limit}, length({text}))"
+    k = f"list_max(list_filter(range(greatest(0, {most} - (strlen(left({text}, {limit})) - {limit})), {most} + 1), lambda k: strlen(left({text}, k)) <= {limit}))"
+    return (
+        f"CASE WHEN {limit} <= 0 OR strlen({text}) <= {limit} THEN {text} ELSE left({text}, {k}) || CASE WHEN strlen(left({text}, {k})) < {limit} THEN chr(65533) ELSE '' END "
+        f"|| chr(10) || chr(10) || '---' || chr(10) || '*Content truncated to ' || {limit} || ' characters (original: ' || strlen({text}) || ' characters)*' END"
+    )
+
+
+def limit_sql(n: str) -> str:
+    return f"CASE WHEN {n} <= 0 THEN 0 ELSE (least(greatest({n}, 2000), 64000) + 500) // 1000 * 1000 END"
+
+
+def deduped_sql(rows: str, repaired: bool = True) -> str:
+    """CTEs up to ``deduped`` (key, idx, n, s) for the sentences of ``rows`` (key, text): exact repeats gone, then those that resemble an earlier one.
+
+    If ``repaired`` those with U+FFFD go before, as they can't be read again.
+    """
+    sentences = f"list_filter({sentences_sql('text')}, lambda s: NOT contains(s, chr(65533)))" if repaired else sentences_sql("text")
+    return f"""
+raw AS (SELECT key, {sentences} AS ss FROM {rows}),
+each AS (SELECT key, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM raw),
+keyed AS (SELECT key, s, pos, {key_sql("s")} AS k FROM each),
+firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key, k ORDER BY pos) = 1),
+longs AS (SELECT key, list(k ORDER BY pos) AS ks FROM firsts WHERE strlen(k) >= 100 GROUP BY key),
 kept_longs AS (
-  SELECT doc_id, list_reduce(list_transform(ks, lambda k: [k]), lambda acc, x:
+  SELECT key, list_reduce(list_transform(ks, lambda k: [k]), lambda acc, x:
     CASE WHEN len(list_filter(acc, lambda k: greatest(strlen(k), strlen(x[1])) > 100
       AND abs(strlen(k) - strlen(x[1])) * 100 < greatest(strlen(k), strlen(x[1]))
       AND levenshtein(k, x[1]) * 100 < greatest(strlen(k), strlen(x[1])))) > 0 THEN acc ELSE list_concat(acc, x) END) AS ks
   FROM longs),
 deduped AS (
-  SELECT f.doc_id, s, row_number() OVER (PARTITION BY f.doc_id ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY f.doc_id) AS n
-  FROM firsts f LEFT JOIN kept_longs USING (doc_id) WHERE strlen(k) < 100 OR list_contains(ks, k))"""
-
-
-def scored_sql(query: str) -> str:
-    """CTEs up to ``scored`` (doc_id, idx, n, s, score) for one query."""
-    return f"""{DEDUPED_SQL},
-q AS (SELECT {tokens_sql(lit(query))} AS qt),
-terms AS (SELECT DISTINCT unnest(qt) AS term FROM q),
-qstems AS (SELECT {stem_sql("w")} AS stem, count(*) AS mult FROM (SELECT unnest(qt) AS w FROM q) GROUP BY 1),
-qpairs AS (SELECT pair, count(*) AS mult FROM (SELECT unnest(list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1])) AS pair FROM q) GROUP BY 1),
-toks AS (SELECT doc_id, idx, n, s, {tokens_sql("s")} AS ts FROM deduped),
-words AS (SELECT doc_id, idx, unnest(ts) AS w FROM toks),
-tf AS (SELECT doc_id, idx, w AS term, count(*) AS tf FROM words WHERE w IN (SELECT term FROM terms) GROUP BY ALL),
-df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
-mean AS (SELECT doc_id, greatest(1, sum(len(ts)) // count(*)) AS mean FROM toks GROUP BY ALL),
+  SELECT f.key, s, row_number() OVER (PARTITION BY f.key ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY f.key) AS n
+  FROM firsts f LEFT JOIN kept_longs USING (key) WHERE strlen(k) < 100 OR list_contains(ks, k))"""
+
+
+DOCUMENT_ROWS = "SELECT doc_id AS key, coalesce(text, '') AS text FROM documents"
+
+
+def scored_sql(rows: str) -> str:
+    """CTEs up to ``scored`` (key, idx, n, s, score) for ``rows`` (key, text, query)."""
+    return f"""{deduped_sql(rows)},
+q AS (SELECT key, {tokens_sql("query")} AS qt FROM {rows}),
+terms AS (SELECT DISTINCT key, unnest(qt) AS term FROM q),
+qstems AS (SELECT key, {stem_sql("w")} AS stem, count(*) AS mult FROM (SELECT key, unnest(qt) AS w FROM q) GROUP BY ALL),
+qpairs AS (SELECT key, pair, count(*) AS mult FROM (SELECT key, unnest(list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1])) AS pair FROM q) GROUP BY ALL),
+toks AS (SELECT key, idx, n, s, {tokens_sql("s")} AS ts FROM deduped),
+words AS (SELECT key, idx, unnest(ts) AS w FROM toks),
+tf AS (SELECT words.key, idx, term, count(*) AS tf FROM words JOIN terms ON words.key = terms.key AND w = term GROUP BY ALL),
+df AS (SELECT key, term, count(*) AS df FROM tf GROUP BY ALL),
+mean AS (SELECT key, greatest(1, sum(len(ts)) // count(*)) AS mean FROM toks GROUP BY ALL),
 bm AS (
-  SELECT doc_id, idx, count(*) AS hits, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE
+  SELECT key, idx, count(*) AS hits, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE
     / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / mean))) AS bm
-  FROM tf JOIN df USING (doc_id, term) JOIN mean USING (doc_id) JOIN toks USING (doc_id, idx) GROUP BY ALL),
-alike AS (SELECT doc_id, idx, sum(mult) AS alike FROM (SELECT doc_id, idx, {stem_sql("w")} AS stem FROM words) JOIN qstems USING (stem) GROUP BY ALL),
+  FROM tf JOIN df USING (key, term) JOIN mean USING (key) JOIN toks USING (key, idx) GROUP BY ALL),
+alike AS (SELECT key, idx, sum(mult) AS alike FROM (SELECT key, idx, {stem_sql("w")} AS stem FROM words) JOIN qstems USING (key, stem) GROUP BY ALL),
 pairs AS (
-  SELECT doc_id, idx, sum(mult) AS pairs
-  FROM (SELECT doc_id, idx, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS pair FROM toks) JOIN qpairs USING (pair) GROUP BY ALL),
+  SELECT key, idx, sum(mult) AS pairs
+  FROM (SELECT key, idx, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS pair FROM toks) JOIN qpairs USING (key, pair) GROUP BY ALL),
 scored AS (
-  SELECT doc_id, idx, n, s, coalesce(bm, 0) + 0.5::DOUBLE * coalesce(pairs, 0) + 0.3::DOUBLE * coalesce(alike, 0) + 0.3::DOUBLE * coalesce(hits, 0)
+  SELECT key, idx, n, s, coalesce(bm, 0) + 0.5::DOUBLE * coalesce(pairs, 0) + 0.3::DOUBLE * coalesce(alike, 0) + 0.3::DOUBLE * coalesce(hits, 0)
     + 0.2::DOUBLE * (1 - 0.5::DOUBLE * idx / n) + CASE WHEN contains(s, '```') THEN 0.1::DOUBLE ELSE 0 END
     - CASE WHEN {noise_sql("s")} THEN 0.3::DOUBLE ELSE 0 END AS score
-  FROM toks LEFT JOIN bm USING (doc_id, idx) LEFT JOIN alike USING (doc_id, idx) LEFT JOIN pairs USING (doc_id, idx))"""
+  FROM toks LEFT JOIN bm USING (key, idx) LEFT JOIN alike USING (key, idx) LEFT JOIN pairs USING (key, idx))"""
 
 
-def highlights_sql(query: str, budget: int, by_tokens: bool) -> str:
+def highlights_sql(rows: str, by_tokens: bool) -> str:
+    """CTEs up to ``shown`` (key, highlights) for ``rows`` (key, text, query, budget)."""
     cost = estimate_sql("s") if by_tokens else "length(s)"
-    return f"""WITH {scored_sql(query)},
-costs AS (SELECT *, {cost} AS cost FROM scored),
+    return f"""{scored_sql(rows)},
+costs AS (SELECT *, {cost} AS cost FROM scored JOIN (SELECT key, budget FROM {rows}) USING (key) JOIN (SELECT key, len(qt) AS asked FROM q) USING (key)),
 runs AS (
-  SELECT *, sum(cost) OVER (PARTITION BY doc_id, score > 0 ORDER BY round(score, 9) DESC, idx ROWS UNBOUNDED PRECEDING) AS best_sum,
-         sum(cost) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS lead_sum FROM costs),
+  SELECT *, sum(cost) OVER (PARTITION BY key, score > 0 ORDER BY round(score, 9) DESC, idx ROWS UNBOUNDED PRECEDING) AS best_sum,
+         sum(cost) OVER (PARTITION BY key ORDER BY idx ROWS UNBOUNDED PRECEDING) AS lead_sum FROM costs),
 flags AS (
-  SELECT *, score > 0 AND best_sum <= {budget} AS chosen, lead_sum <= {budget} AS lead FROM runs),
+  SELECT *, score > 0 AND best_sum <= budget AS chosen, lead_sum <= budget AS lead FROM runs),
 picked AS (
-  SELECT *, CASE WHEN n <= 2 OR NOT bool_or(chosen) OVER (PARTITION BY doc_id) THEN lead ELSE chosen END AS taken FROM flags)
-SELECT d.doc_id, coalesce(string_agg(s, chr(10) ORDER BY idx) FILTER (taken), '') AS highlights
-FROM documents d LEFT JOIN picked USING (doc_id) GROUP BY d.doc_id"""
+  SELECT *, CASE WHEN n <= 2 OR asked = 0 OR NOT bool_or(chosen) OVER (PARTITION BY key) THEN lead ELSE chosen END AS taken FROM flags),
+shown AS (SELECT i.key, coalesce(string_agg(s, chr(10) ORDER BY idx) FILTER (taken), '') AS highlights FROM {rows} i LEFT JOIN picked USING (key) GROUP BY i.key)"""
+
+
+def document_highlights_sql(query: str, budget: int, by_tokens: bool) -> str:
+    return f"""WITH asked_rows AS (SELECT doc_id AS key, coalesce(text, '') AS text, {lit(query)} AS query, {budget} AS budget FROM documents),
+{highlights_sql("asked_rows", by_tokens)} SELECT key AS doc_id, highlights FROM shown"""
 
 
 QUERIES: dict = {}
@@ -204,25 +231,44 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", t.measure(F.col("text"), True).alias("n_tokens"), t.measure(F.col("text"), False).cast("long").alias("n_chars"))
 
 
+ODD_SQL = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN left(text, 50) || chr(65533) WHEN 2 THEN repeat(chr(133), 20) || left(text, 20) WHEN 3 THEN repeat(chr(1), 5) || left(text, 20)
+  WHEN 4 THEN repeat(chr(133), 20) || '漢' || left(text, 20) WHEN 5 THEN '```' || left(text, 40) || '```' ELSE left(text, 5) || ' COOKIE policy' END AS text FROM documents"""
+
+
+def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, most of them made odd by a rule: mis-read, with controls, code or page furniture."""
+    text = F.col("text")
+    forms = [
+        text,
+        F.concat(F.left(text, F.lit(50)), F.lit("\ufffd")),
+        F.concat(F.lit("\x85" * 20), F.left(text, F.lit(20))),
+        F.concat(F.lit("\x01" * 5), F.left(text, F.lit(20))),
+        F.concat(F.lit("\x85" * 20 + "漢"), F.left(text, F.lit(20))),
+        F.concat(F.lit("```"), F.left(text, F.lit(40)), F.lit("```")),
+        F.concat(F.left(text, F.lit(5)), F.lit(" COOKIE policy")),
+    ]
+    return texts(spark, sf_dir).select("doc_id", F.element_at(F.array(*forms), (F.col("doc_id") % 7 + 1).cast("int")).alias("text"))
+
+
 @registered(
-    f"""SELECT 'document' AS kind, doc_id AS id, {noise_sql('text')} AS noise, contains(text, '```') AS code FROM documents
+    f"""SELECT 'document' AS kind, doc_id AS id, {noise_sql('text')} AS noise, contains(text, '```') AS code FROM ({ODD_SQL})
 UNION ALL SELECT 'page', page_id, {noise_sql('html')}, contains(html, '```') FROM pages"""
 )
 def noise_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flags(df: DataFrame, kind: str, key: str, col: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), t.is_noise(F.col(col)).alias("noise"), t.has_code(F.col(col)).alias("code"))
 
-    return flags(texts(spark, sf_dir), "document", "doc_id", "text").unionAll(flags(table(spark, sf_dir, "pages", "page_id", "html"), "page", "page_id", "html"))
+    return flags(odd_texts(spark, sf_dir), "document", "doc_id", "text").unionAll(flags(table(spark, sf_dir, "pages", "page_id", "html"), "page", "page_id", "html"))
 
 
-GARBLED_SQL = r"""SELECT doc_id, length(text) > 0 AND (contains(text, chr(65533))
-  OR (length(text) - length(regexp_replace(text, '[\x{80}-\x{9F}]', '', 'g')) > 0.3 * length(text) AND NOT regexp_matches(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]'))
-  OR length(text) - length(regexp_replace(text, '[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]', '', 'g')) > 0.1 * length(text)) AS garbled FROM documents"""
+GARBLED_SQL = rf"""SELECT doc_id, length(text) > 0 AND (contains(text, chr(65533))
+  OR (length(text) - length(regexp_replace(text, '[\x{{80}}-\x{{9F}}]', '', 'g')) > 0.3 * length(text) AND NOT regexp_matches(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]'))
+  OR length(text) - length(regexp_replace(text, '[\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}]', '', 'g')) > 0.1 * length(text)) AS garbled FROM ({ODD_SQL})"""
 
 
 @registered(GARBLED_SQL)
 def garbled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", t.is_garbled(F.col("text")).alias("garbled"))
+    return odd_texts(spark, sf_dir).select("doc_id", t.is_garbled(F.col("text")).alias("garbled"))
 
 
 @registered(f"WITH d AS (SELECT doc_id, unnest({sentences_sql('text')}) AS s FROM documents) SELECT doc_id, {key_sql('s')} AS key, count(*) AS n FROM d GROUP BY ALL")
@@ -231,15 +277,57 @@ def dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", t.dedupe_key(F.col("sentence")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@registered(f"WITH {DEDUPED_SQL} SELECT doc_id, pos AS idx, s AS sentence FROM firsts")
+@registered(f"WITH d AS ({DOCUMENT_ROWS}), {deduped_sql('d', False)} SELECT key AS doc_id, pos AS idx, s AS sentence FROM firsts")
 def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedupe.document_sentences(texts(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
     return dedupe.dedupe_exact(rows, "doc_id", "idx", "sentence")
 
 
-@registered(f"WITH {DEDUPED_SQL} SELECT doc_id, idx, s AS sentence FROM deduped")
+_LONG_SQL = "left(regexp_replace(coalesce(text, ''), '[^\\p{L} ]', '', 'g'), 200)"
+
+
+@registered(
+    f"""WITH l AS (SELECT doc_id, coalesce(text, '') AS text, {_LONG_SQL} AS long FROM documents),
+d AS (SELECT doc_id AS key, text || chr(10) || 'zzzzzzzzzz ' || long || chr(10) || 'yzzzzzzzzz ' || long || chr(10) || 'yyyyzzzzzz ' || long || chr(10) || 'zzzzzzzzz ' || long AS text FROM l),
+{deduped_sql("d", False)} SELECT key AS doc_id, idx, s AS sentence FROM deduped"""
+)
 def dedupe_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.document_sentences(texts(spark, sf_dir), near=True).select("doc_id", F.col("idx").cast("long").alias("idx"), "sentence")
+    """Every document with four lines more that differ in one to four letters."""
+    long = F.left(F.regexp_replace("text", r"[^\p{L} ]", ""), F.lit(200))
+    lines = [F.concat(F.lit(f"\n{k} "), long) for k in ("zzzzzzzzzz", "yzzzzzzzzz", "yyyyzzzzzz", "zzzzzzzzz")]
+    rows = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text", F.concat("text", *lines))
+    return dedupe.document_sentences(rows, near=True).select("doc_id", F.col("idx").cast("long").alias("idx"), "sentence")
+
+
+MIS_READ = "ひらがなの文がここにあります".encode("cp932").decode("latin-1")
+
+
+@registered(
+    f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN [{lit(MIS_READ.encode("latin-1").decode("gbk", "replace"))}] WHEN 1 THEN ['as it is'] WHEN 2 THEN ['first', {lit(MIS_READ.encode("latin-1").decode("gbk", "replace"))}] ELSE [] END AS items
+FROM documents"""
+)
+def repair_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that have a mis-read sentence, none, both, and one that can't be read again."""
+    lists = [[MIS_READ], ["as it is"], ["first", MIS_READ], ["lost \ufffd"]]
+    items = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in lists)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents", "doc_id").select("doc_id", items.alias("v"))
+    return rows.select("doc_id", t.repair_sentences(F.col("v"), F.array_join("v", " ")).alias("items"))
+
+
+_FENCED_SQL = "left(regexp_replace(coalesce(text, ''), '[^\\p{L} ]', '', 'g'), 40)"
+
+
+@registered(
+    f"""WITH d AS (SELECT doc_id, 'begin ' || {_FENCED_SQL} || ' end' AS w FROM documents),
+parts AS (SELECT doc_id, w, [w || '.', 'Then ' || w, '```py' || chr(10) || w || '. Not cut' || chr(10) || '```', w || '。', 'Next ' || w, '```' || chr(10) || 'open to the end. Not cut ' || w] AS ps FROM d)
+SELECT doc_id, unnest(range(6)) AS idx, unnest(ps) AS sentence FROM parts"""
+)
+def fenced_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a fenced block, an open one, and ends of sentences of two scripts."""
+    w = F.concat(F.lit("begin "), F.left(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L} ]", ""), F.lit(40)), F.lit(" end"))
+    text = F.concat(w, F.lit(". Then "), w, F.lit("\r\n```py\n"), w, F.lit(". Not cut\n```\nshort\n"), w, F.lit("。Next "), w, F.lit("\n```\nopen to the end. Not cut "), w)
+    rows = dedupe.document_sentences(texts(spark, sf_dir).select("doc_id", text.alias("text")))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "sentence")
 
 
 # scores
@@ -294,28 +382,28 @@ def corpus_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.corpus_scores(texts(spark, sf_dir), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@registered(f"WITH {scored_sql(REPEATED_QUERY)} SELECT doc_id, idx, round(score, 6) AS score FROM scored")
+@registered(f"WITH d AS (SELECT *, {lit(REPEATED_QUERY)} AS query FROM ({DOCUMENT_ROWS})), {scored_sql('d')} SELECT key AS doc_id, idx, round(score, 6) AS score FROM scored")
 def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = t.let(highlight.page_sentences(F.col("text")), lambda items: scoring.scored_sentences(items, t.tokens(F.lit(REPEATED_QUERY))))
     rows = texts(spark, sf_dir).select("doc_id", F.explode(scored).alias("r"))
     return rows.select("doc_id", F.col("r.idx").cast("long").alias("idx"), F.round("r.score", 6).alias("score"))
 
 
-@registered(highlights_sql(QUERY, 120, True))
+@registered(document_highlights_sql(QUERY, 120, True))
 def highlights_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", highlight.token_highlights(F.col("text"), F.lit(QUERY), F.lit(120)).alias("highlights"))
 
 
-@registered(highlights_sql(REPEATED_QUERY, 400, False))
+@registered(document_highlights_sql(REPEATED_QUERY, 400, False))
 def highlights_char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", highlight.char_highlights(F.col("text"), F.lit(REPEATED_QUERY), F.lit(400)).alias("highlights"))
 
 
 @registered(
-    f"""WITH {DEDUPED_SQL},
-runs AS (SELECT doc_id, idx, s, sum({estimate_sql('s')}) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS spent FROM deduped)
-SELECT d.doc_id, count(s) FILTER (spent <= 200) AS n, coalesce(string_agg(s, chr(10) ORDER BY idx) FILTER (spent <= 200), '') AS lead
-FROM documents d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id"""
+    f"""WITH d AS ({DOCUMENT_ROWS}), {deduped_sql("d")},
+runs AS (SELECT key, idx, s, sum({estimate_sql('s')}) OVER (PARTITION BY key ORDER BY idx ROWS UNBOUNDED PRECEDING) AS spent FROM deduped)
+SELECT d.key AS doc_id, count(s) FILTER (spent <= 200) AS n, coalesce(string_agg(s, chr(10) ORDER BY idx) FILTER (spent <= 200), '') AS lead
+FROM d LEFT JOIN runs USING (key) GROUP BY d.key"""
 )
 def truncate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir).select("doc_id", highlight.page_sentences(F.col("text")).alias("items"))
@@ -353,21 +441,9 @@ def limit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", t.normalize_limit(lim).alias("lim"), t.clamp_results(most).alias("most"))
 
 
-@registered(
-    """WITH d AS (SELECT doc_id, text, CAST((doc_id % 5) * 500 AS INTEGER) AS lim FROM documents)
-SELECT doc_id, strlen(text) AS n_bytes, lim > 0 AND strlen(text) > lim AS cut,
-       CASE WHEN lim > 0 AND strlen(text) > lim THEN '*Content truncated to ' || lim || ' characters (original: ' || strlen(text) || ' characters)*' ELSE '' END AS notice
-FROM d"""
-)
+@registered(f"WITH d AS (SELECT doc_id, text, CAST((doc_id % 5) * 501 AS INTEGER) AS lim FROM documents) SELECT doc_id, {truncated_sql('text', 'lim')} AS out FROM d")
 def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = texts(spark, sf_dir).withColumn("lim", ((F.col("doc_id") % 5) * 500).cast("int")).withColumn("out", t.truncate(F.col("text"), F.col("lim")))
-    cut = (F.col("lim") > 0) & (F.octet_length("text") > F.col("lim"))
-    return rows.select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        (F.col("out") != F.col("text")).alias("cut"),
-        F.when(cut, F.regexp_extract("out", r"(\*Content truncated to \d+ characters \(original: \d+ characters\)\*)$", 1)).otherwise(F.lit("")).alias("notice"),
-    )
+    return texts(spark, sf_dir).select("doc_id", t.truncate(F.col("text"), ((F.col("doc_id") % 5) * 501).cast("int")).alias("out"))
 
 
 @registered(
@@ -382,23 +458,79 @@ def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages
 
 
+#: The content selectors' elements, one that comes too late, and one that is too short.
+REGIONS = [
+    ("<main>", "</main>"), ("<article class=x>", "</article>"), ('<div role="main">', "</div>"), ('<div class="a post-content">', "</div>"), ("<section class=entry-content>", "</section>"),
+    ("<div class='article-content b'>", "</div>"), ("<div class=content>", "</div>"), ("<div id=content>", "</div>"), ("<div id=main-content>", "</div>"), ("<article>short</article><div class=content>", "</div>"), ("<div class=other>", "</div>"),
+]
+_REGION_SQL = ["CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {lit(r[k])}" for i, r in enumerate(REGIONS)) + " END" for k in (0, 1)]
+INNER_SQL = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+
+
+def inner(html_col: str = "html"):
+    return F.regexp_extract(html_col, "(?s)<article[^>]*>(.*?)</article>", 1)
+
+
 @registered(
-    r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS inner_html FROM pages)
-SELECT page_id, CASE WHEN strlen(inner_html) > 200 THEN inner_html ELSE html END AS content FROM p"""
+    f"""WITH p AS (SELECT page_id, {INNER_SQL} AS held, '<html><body><p>before</p>' || {_REGION_SQL[0]} || {INNER_SQL} || {_REGION_SQL[1]} || '<p>after</p></body></html>' AS whole FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 < 10 AND strlen(held) > 200 THEN held ELSE whole END AS content FROM p"""
 )
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.main_content("html").alias("content"))
+    """Each page's article in an element of one of the selectors, or of none."""
+    at = (F.col("page_id") % len(REGIONS) + 1).cast("int")
+    begin, end = (F.element_at(F.array(*(F.lit(r[k]) for r in REGIONS)), at) for k in (0, 1))
+    whole = F.concat(F.lit("<html><body><p>before</p>"), begin, inner(), end, F.lit("<p>after</p></body></html>"))
+    rows = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", whole.alias("html"))
+    return rows.select("page_id", html.main_content("html").alias("content"))
+
+
+def markdown_sql(content: str) -> str:
+    """Markdown of what the pages' articles have: a heading, paragraphs, and bold ones that aren't closed."""
+    steps = [
+        (r"[ \t\r\n\f]+", " "), (r"<h1>(.*?)</h1>", r"\n\n# \1\n\n"), (r"<p><b>(.*?)<br><p>", r"\n\n**\1  \n**\n\n"), (r"</?p>", r"\n\n"), (r"\n +", r"\n"), (r"([^ ]) \n", r"\1\n"), (r"\n{3,}", r"\n\n"),
+    ]
+    out = content
+    for pattern, new in steps:
+        out = f"regexp_replace({out}, '{pattern}', {_escaped(new)}, 'g')"
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return f"trim({out}, {SPACES_SQL})"
+
+
+def _escaped(new: str) -> str:
+    return " || ".join("chr(10)" if part == r"\n" else lit(part) for part in re.split(r"(\\n)", new) if part)
+
+
+#: Pages whose main content is their article, however short it is.
+ARTICLE_SQL = f"SELECT page_id, url, {INNER_SQL} || '<p>' || repeat('closing words ', 20) || '</p>' AS held FROM pages"
+
+
+def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.concat(F.lit("<nav>x</nav><main>"), inner(), F.lit("<p>" + "closing words " * 20 + "</p></main><p>y</p>"))
+    return table(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", "url", held.alias("html"))
 
 
-@registered()
+@registered(f"SELECT page_id, {markdown_sql('held')} AS markdown FROM ({ARTICLE_SQL})")
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.page_markdown("html").alias("markdown"))
+    return article_pages(spark, sf_dir).select("page_id", html.page_markdown("html").alias("markdown"))
 
 
-@registered("SELECT page_id, html AS text FROM pages")
+@registered(
+    r"""SELECT page_id, CASE page_id % 5 WHEN 1 THEN regexp_replace(html, '[^\x{0}-\x{FF}]', '?', 'g') WHEN 4 THEN html || chr(65533) || ' end' ELSE html END AS text FROM pages"""
+)
 def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes in several character sets, some with a mark, some not valid."""
+    text, kind = F.col("html"), F.col("page_id") % 5
+    data = (
+        F.when(kind == 1, F.encode(text, "ISO-8859-1"))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .when(kind == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .when(kind == 4, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit(" end"), "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    header = F.element_at(F.array(*map(F.lit, ["text/html; charset=utf-8", "text/html;charset=\"iso-8859-1\"", "text/html; charset=utf-8", "text/html; charset=latin1", "text/html"])), (kind + 1).cast("int"))
     rows = table(spark, sf_dir, "pages", "page_id", "html")
-    return rows.select("page_id", html.decoded(F.col("html").cast("binary"), F.lit("text/html; charset=utf-8")).alias("text"))
+    return rows.select("page_id", html.decoded(data, header).alias("text"))
 
 
 @registered(
@@ -438,13 +570,13 @@ def video_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n, string_agg(url, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY encode(url)) AS urls
-FROM (SELECT DISTINCT url FROM pages) GROUP BY 1"""
+    """SELECT page_id // 8 AS request_id, count(DISTINCT url) AS n, string_agg(DISTINCT url, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY url) AS urls
+FROM (SELECT page_id, url COLLATE C AS url FROM pages) GROUP BY 1"""
 )
 def url_sort_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages", "url").distinct()
-    by = rows.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
-    return by.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("url")), c.SEPARATOR).alias("urls"))
+    """Requests of up to eight pages, as a caller makes them."""
+    rows = table(spark, sf_dir, "pages", "page_id", "url").groupBy(F.floor(F.col("page_id") / 8).alias("request_id")).agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    return rows.select("request_id", F.size("urls").cast("long").alias("n"), F.array_join("urls", c.SEPARATOR).alias("urls"))
 
 
 # video records
@@ -484,28 +616,54 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as video records: every URL a video's, the page's text its subtitles."""
+    """Pages as video records: every URL a video's, the page's text its subtitles; parts are missing by a rule."""
     rows = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    title, kind = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.col("page_id") % 6
     comment = F.struct(F.lit("reader").alias("author"), title.alias("text"), F.col("page_id").cast("double").alias("like_count"), F.lit(False).alias("is_pinned"))
+    details = F.to_json(F.struct(F.struct((F.col("page_id") * 7).cast("string").alias("lengthSeconds"), F.col("page_id").cast("string").alias("viewCount"), F.lit("").alias("publishDate")).alias("videoDetails")))
+    channel = F.when(kind == 2, F.concat(F.lit("https://c.example/"), F.col("page_id"))).otherwise(F.lit(""))
     return rows.select(
         F.concat(F.lit("https://youtu.be/"), F.lpad(F.col("page_id").cast("string"), 11, "a")).alias("url"),
-        F.lit(3000).alias("limit"),
-        F.to_json(F.struct(title.alias("title"), F.lit("someone").alias("author_name"), F.lit("").alias("author_url"))).alias("oembed_json"),
-        F.lit('var ytInitialPlayerResponse = {"videoDetails":{"lengthSeconds":"65","viewCount":"9"}};').alias("watch_html"),
-        F.regexp_replace("html", "<[^>]*>", "\n").alias("srt"),
-        F.to_json(F.struct(F.lit("about").alias("description"), F.array(comment).alias("comments"))).alias("info_json"),
+        (F.col("page_id") % 7 * 700).cast("int").alias("limit"),
+        F.when(kind != 5, F.to_json(F.struct(title.alias("title"), F.lit("someone").alias("author_name"), channel.alias("author_url")))).alias("oembed_json"),
+        F.when(kind == 1, F.lit("<html>nothing here</html>")).otherwise(F.concat(F.lit("<script>var ytInitialPlayerResponse = "), details, F.lit(";</script>"))).alias("watch_html"),
+        F.when(~kind.isin(3, 4), F.regexp_replace("html", "<[^>]*>", "\n")).alias("srt"),
+        F.when(kind != 4, F.to_json(F.struct(F.lit("about").alias("description"), F.array(comment).alias("comments")))).alias("info_json"),
+        F.when(F.col("page_id") % 12 == 6, F.lit("The extractor failed.")).alias("failure"),
+        F.when(F.col("page_id") % 24 == 6, F.concat(F.lit("  "), F.repeat(title, F.lit(9)))).alias("stderr"),
     )
 
 
-@registered()
+_TITLE_SQL = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+_LINES_SQL = rf"""list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), {SPACES_SQL})),
+  lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$') AND NOT contains(x, '-->') AND NOT starts_with(x, 'WEBVTT'))"""
+_SAID_SQL = f"trim(repeat(title, 9), {SPACES_SQL})"
+_STDERR_SQL = f"CASE WHEN strlen({_SAID_SQL}) <= 300 THEN {_SAID_SQL} ELSE {truncated_sql(_SAID_SQL, '300').split(' THEN ' + _SAID_SQL + ' ELSE ', 1)[1].split(' || chr(10) || chr(10)')[0]} END"
+
+
+@registered(
+    f"""WITH p AS (SELECT page_id, page_id % 6 AS kind, (page_id % 7) * 700 AS lim, {_TITLE_SQL} AS title, {_LINES_SQL} AS ls, 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') AS url FROM pages),
+asked AS (SELECT page_id AS key, array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), chr(10)) AS text, title || ' about' AS query, CASE WHEN lim <= 0 THEN 2147483647 ELSE lim * 2 // 3 END AS budget FROM p),
+{highlights_sql("asked", False)},
+parts AS (
+  SELECT page_id, url, lim, kind, title, 'Title: ' || title || chr(10) || 'Author: someone' || chr(10) || CASE WHEN kind = 2 THEN 'Channel URL: https://c.example/' || page_id || chr(10) ELSE '' END
+    || CASE WHEN kind = 1 THEN '' ELSE 'Duration: ' || page_id * 7 || 's' || chr(10) || 'Views: ' || page_id || chr(10) END || 'URL: ' || url || chr(10) AS header,
+    '- reader: ' || title || ' (likes: ' || page_id || ')' AS said, lim // 3 AS room, highlights
+  FROM p JOIN shown ON key = page_id)
+SELECT url, CAST(lim AS INTEGER) AS "limit", CASE WHEN kind = 5 THEN NULL
+    WHEN page_id % 12 = 6 THEN header || chr(10) || chr(10) || '---' || chr(10) || 'The extractor failed.' || CASE WHEN page_id % 24 = 6 AND {_SAID_SQL} <> '' THEN chr(10) || 'stderr: ' || {_STDERR_SQL} ELSE '' END
+    WHEN kind = 4 THEN header || chr(10) || chr(10) || '---' || chr(10) || {lit(video.NO_ASSETS)}
+    ELSE header || CASE WHEN kind = 3 THEN '' ELSE chr(10) || chr(10) || 'Transcript:' || chr(10) || highlights END || chr(10) || chr(10) || 'Discussion:' || chr(10) || {truncated_sql("said", "room")} END AS text,
+  CASE WHEN kind = 5 THEN 'no metadata' END AS error
+FROM parts"""
+)
 def video_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.video_texts(_assets(spark, sf_dir))
 
 
 @registered(
-    r"""SELECT 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') AS url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, 'someone' AS author,
- '65' AS seconds, 'about' AS description, 1 AS n_comments FROM pages"""
+    f"""SELECT 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') AS url, CASE WHEN page_id % 6 <> 5 THEN {_TITLE_SQL} END AS title, CASE WHEN page_id % 6 <> 5 THEN 'someone' END AS author,
+ CASE WHEN page_id % 6 <> 1 THEN CAST(page_id * 7 AS VARCHAR) END AS seconds, CASE WHEN page_id % 6 <> 4 THEN 'about' END AS description, CASE WHEN page_id % 6 <> 4 THEN 1 END AS n_comments FROM pages"""
 )
 def video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assets(spark, sf_dir)
@@ -519,42 +677,78 @@ def video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, listings): every benchmark text asks for the pages whose identifiers follow its own."""
-    asked = table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 20).cast("int").alias("max_results"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    n = 12
-    slots = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).withColumn("page_id", F.col("query_id") + F.col("k"))
+    """(queries, listings): all pages are dealt to the benchmark texts' listings in turn."""
+    asked = table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 60 - 3).cast("int").alias("max_results"))
+    n = asked.count()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").withColumn("query_id", F.col("page_id") % max(n, 1))
     row = F.format_string('<tr><td><a class="result-link" href="//links.example/l/?uddg=%s">Page %d</a></td></tr><tr><td>about %d</td></tr>', F.url_encode("url"), "page_id", "page_id")
-    rows = slots.join(pages, "page_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))).alias("rs"))
+    rows = pages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("page_id", row.alias("row")))).alias("rs"))
     serp = rows.select("query_id", F.concat(F.lit("<html><table></table><table>"), F.array_join(F.transform("rs", lambda r: r.row), ""), F.lit("</table></html>")).alias("html"))
     return asked, serp
 
 
-@registered(
-    """SELECT item_id AS query_id, CAST(page_id - item_id AS INTEGER) AS rank, 'Page ' || page_id AS title, url, 'about ' || page_id AS snippet
-FROM benchmark JOIN pages ON page_id BETWEEN item_id AND item_id + 11"""
-)
+LISTED_SQL = """SELECT page_id % (SELECT count(*) FROM benchmark) AS query_id, CAST(row_number() OVER (PARTITION BY page_id % (SELECT count(*) FROM benchmark) ORDER BY page_id) - 1 AS INTEGER) AS rank,
+  'Page ' || page_id AS title, url, 'about ' || page_id AS snippet, page_id FROM pages"""
+
+#: CTEs up to ``results``: each listed page, cut, scored, placed and with its highlights.
+RANKED_SQL = f"""listed AS ({LISTED_SQL}),
+asked AS (SELECT item_id AS query_id, text AS query, item_id % 60 - 3 AS most FROM benchmark),
+bodies AS (SELECT page_id, {markdown_sql('held')} AS md FROM ({ARTICLE_SQL})),
+hits AS (
+  SELECT listed.*, query, {truncated_sql('md', '2000')} AS text, listed.query_id * 1000000 + rank AS hit FROM listed JOIN asked USING (query_id) JOIN bodies USING (page_id)
+  WHERE rank < CASE WHEN most <= 0 THEN 10 ELSE least(greatest(most, 5), 50) END),
+ptoks AS (SELECT hit, {tokens_sql('text')} AS ts, {tokens_sql('query')} AS qt FROM hits),
+pterms AS (SELECT DISTINCT hit, unnest(qt) AS w FROM ptoks),
+pstems AS (SELECT DISTINCT hit, {stem_sql('w')} AS stem FROM pterms),
+pwords AS (SELECT hit, unnest(ts) AS w FROM ptoks),
+ptf AS (SELECT hit, w, count(*) AS tf FROM pwords JOIN pterms USING (hit, w) GROUP BY ALL),
+pbm AS (SELECT hit, sum(ln(1 + 9.5::DOUBLE / 1.5::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / 200)) + 0.3::DOUBLE) AS bm FROM ptf JOIN ptoks USING (hit) GROUP BY ALL),
+palike AS (SELECT hit, count(*) AS alike FROM (SELECT hit, {stem_sql('w')} AS stem FROM pwords) JOIN pstems USING (hit, stem) GROUP BY ALL),
+page_scored AS (SELECT hits.*, CASE WHEN len(ts) = 0 THEN 0 ELSE coalesce(bm, 0) + 0.3::DOUBLE * coalesce(alike, 0) END AS score FROM hits JOIN ptoks USING (hit) LEFT JOIN pbm USING (hit) LEFT JOIN palike USING (hit)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS place, count(*) OVER (PARTITION BY query_id) AS of_query FROM page_scored),
+rows_asked AS (SELECT hit AS key, text, query, CASE WHEN place <= ceil(of_query / 2) THEN 3000 ELSE 1500 END AS budget FROM placed),
+{highlights_sql('rows_asked', True)},
+results AS (SELECT query_id, CAST(place AS INTEGER) AS place, rank, title, url, snippet, round(score, 6) AS score, highlights FROM placed JOIN shown ON key = hit)"""
+
+
+@registered(f"SELECT query_id, rank, title, url, snippet FROM ({LISTED_SQL})")
 def listing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.listed_results(_listings(spark, sf_dir)[1])
 
 
-@registered()
+@registered(f"WITH {RANKED_SQL} SELECT * FROM results")
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, serp = _listings(spark, sf_dir)
-    return search.ranked_results(asked, search.listed_results(serp), table(spark, sf_dir, "pages", "url", "html"))
+    rows = search.ranked_results(asked, search.listed_results(serp), article_pages(spark, sf_dir).select("url", "html"))
+    return rows.withColumn("score", F.round("score", 6))
+
+
+_BLOCK_SQL = (
+    "'Title: ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Snippet: ' || snippet || CASE WHEN highlights <> '' THEN chr(10) || 'Highlights:' || chr(10) || highlights ELSE '' END"
+)
+_BETWEEN_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
-@registered()
+@registered(
+    f"""WITH {RANKED_SQL}, joined AS (SELECT query_id, string_agg({_BLOCK_SQL}, {_BETWEEN_SQL} ORDER BY place) AS text FROM results GROUP BY query_id)
+SELECT query_id, coalesce(joined.text, 'No results found.') AS text FROM asked LEFT JOIN joined USING (query_id)"""
+)
 def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, serp = _listings(spark, sf_dir)
-    return search.search(asked, search.listed_results(serp), table(spark, sf_dir, "pages", "url", "html"))
+    return search.search(asked, search.listed_results(serp), article_pages(spark, sf_dir).select("url", "html"))
 
 
-@registered()
+@registered(
+    f"""WITH p AS (SELECT page_id, url, {markdown_sql('held')} AS md FROM ({ARTICLE_SQL})),
+r AS (SELECT page_id // 8 AS request_id, max((page_id % 7) * 700) AS lim, url FROM p GROUP BY ALL),
+l AS (SELECT request_id, url, {limit_sql('lim')} AS lim FROM r),
+t AS (SELECT DISTINCT request_id, l.url, CASE WHEN page_id IS NULL OR page_id % 9 = 4 THEN 'Fetch failed: timed out' || chr(10) || chr(10) || '(from ' || l.url || ')' ELSE {truncated_sql('md', 'lim')} END AS text
+  FROM l LEFT JOIN p USING (url))
+SELECT request_id, string_agg(text, {_BETWEEN_SQL} ORDER BY url COLLATE C) AS text FROM t GROUP BY request_id"""
+)
 def fetch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request for each host: all its pages, with limits that differ."""
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    each = pages.select(host.alias("request_id"), "url", (F.col("page_id") % 7 * 700).cast("int").alias("limit")).groupBy("request_id", "url").agg(F.max("limit").alias("limit"))
+    """Requests of up to eight pages, with limits that differ; some pages have failed."""
+    pages = article_pages(spark, sf_dir).withColumn("error", F.when(F.col("page_id") % 9 == 4, F.lit("timed out")))
+    each = pages.select(F.floor(F.col("page_id") / 8).alias("request_id"), "url", (F.col("page_id") % 7 * 700).cast("int").alias("limit")).groupBy("request_id", "url").agg(F.max("limit").alias("limit"))
     requests = each.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("url", "limit"))).alias("urls"))
-    return fetch.fetch(requests, pages.select("url", "html"))
+    return fetch.fetch(requests, pages.select("url", "html", "error"))
