@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as t
-from verbatrix.operators import highlight, scoring
+from verbatrix.operators import dedupe, highlight, ranking, scoring
 from verbatrix.plans import fetch, search, video
 from verbatrix.sources import html, video as video_source
 
@@ -70,6 +70,40 @@ def test_page_scores_by_rows_agree(spark):
     assert all(r.score == 0 for r in scoring.page_scores(docs, "the").collect())
 
 
+def test_rows_without_an_identifier_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "tide mill", 3), (1, "tide mill", 3), (None, "mill", 4), (None, "nets", 5), (2, None, 6)], "doc_id long, text string, score int")
+    assert sorted((r.doc_id or 0, r.score > 0) for r in scoring.page_scores(docs, "mill").collect()) == [(0, False), (0, True), (1, True), (1, True), (2, False)]
+    corpus = scoring.corpus_scores(docs, "tide mill").collect()
+    idf = {"tide": math.log(1 + (5 - 2 + 0.5) / 2.5), "mill": math.log(1 + (5 - 3 + 0.5) / 3.5)}
+
+    def bm25(words):
+        return sum(idf[w] * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(words) / (6 / 5))) for w in words if w in idf)
+
+    assert sorted(r.score for r in corpus) == pytest.approx(sorted(bm25(w) for w in (["tide", "mill"], ["tide", "mill"], ["mill"], ["nets"], [])))
+    assert scoring.corpus_scores(docs.limit(0), "mill").count() == 0 and all(r.score == 0 for r in scoring.corpus_scores(docs, "the").collect())
+
+
+def test_places(spark):
+    rows = [(i, "hot" if i % 3 else None, i * 7 % 5, "x") for i in range(200)] + [(200, "one", 1, None)]
+    df = spark.createDataFrame(rows, "id int, g string, v int, part string").repartition(6)
+    want = {}
+    for g in ("hot", None, "one"):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        want |= {r[0]: (k + 1, len(mine)) for k, r in enumerate(mine)}
+    placed = ranking.places(df, "g", ["-v", "id"])
+    assert placed.columns == ["id", "g", "v", "part", "place", "n"]
+    assert {r.id: (r.place, r.n) for r in placed.collect()} == want
+    assert ranking.places(df.limit(0), "g", ["v"]).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        ranking.places(df, "g", ["v"], place_col="PART")
+
+
+def test_other_columns_stay_as_they_are(spark):
+    rows = spark.createDataFrame([(1, 0, "A b c", 5, "k"), (1, 1, "a  B, c", 6, "k"), (None, 0, "x", 7, "k"), (None, 1, "x", 8, "k")], "g int, o int, s string, nth int, _nth string")
+    out = dedupe.dedupe_exact(rows, "g", "o", "s")
+    assert out.columns == rows.columns and sorted(r.nth for r in out.collect()) == [5, 7]
+
+
 PAGE = "<html><head><title>x</title></head><body><nav>menu</nav><article><h1>Mill</h1><p>The tide mill is <b>old</b>.<p>Second one<ul><li>a<li>b</ul>" + "word " * 60 + "</article></body></html>"
 
 
@@ -86,6 +120,22 @@ def test_main_content_and_markdown():
     assert html.to_markdown("") == ""
 
 
+def test_markdown_tables_and_quotes():
+    table = "<p>a</p><table><caption>Cap</caption><tr><th>x <b>y</b><th>z</tr>\n<tr><td>1</td><td>2|3</td><td><p>p</p><p>q</p></td></tr><tr><td>only</table>end"
+    assert html.to_markdown(table) == "a\n\nCap\n\n| x **y** | z |  |\n| --- | --- | --- |\n| 1 | 2\\|3 | p q |\n| only |  |  |\n\nend"
+    assert html.to_markdown("<blockquote><p>one</p><p>two<blockquote>in</blockquote></blockquote>after") == "> one\n>\n> two\n>\n> > in\n\nafter"
+    assert html.to_markdown("<blockquote></blockquote><table></table>") == "" and html.to_markdown("x<tr><td>loose</td></tr>y") == "x\n\nloose\n\ny"
+
+
+def test_listing_rows_after_an_inner_table():
+    link = "<a class='result-link' href='{0}'>{0}</a>"
+    inner = "<table><tr><td>" + link.format("in") + "</td></tr></table>"
+    page = f"<table><tr><td>{link.format('a')}</td></tr></table><table><tr><td>{link.format('b')}</td></tr><tr><td>about b</td></tr></table>"
+    assert [r["href"] for r in html.parse_listing(page)] == ["b"]
+    nested = f"<table><tr><td>{inner}</td></tr><tr><td>{link.format('late')}</td></tr></table>"
+    assert [r["href"] for r in html.parse_listing(nested)] == ["in"]
+
+
 def test_decoding():
     assert html.decode_bytes("é".encode("latin-1"), "text/html; charset=iso-8859-1") == "é"
     assert html.decode_bytes(b"\xef\xbb\xbfab", "x; charset=utf-16") == "ab"
@@ -107,7 +157,8 @@ def test_search(spark):
         (1, 0, "One", "https://a.b/1", "about one"),
         (1, 1, "Two", "https://a.b/2", "(no description available)"),
     ]
-    ranked = search.ranked_results(queries, results, pages).orderBy("place").collect()
+    clashing = results.withColumns({"text": F.lit("x"), "query": F.lit(1), "most": F.lit(0), "score": F.lit(0)})
+    ranked = search.ranked_results(queries.withColumn("url", F.lit(1)), clashing, pages.withColumn("text", F.lit(1))).orderBy("place").collect()
     assert [(r.place, r.rank, r.score > 0) for r in ranked] == [(1, 1, True), (2, 0, False)]
     texts = {r.query_id: r.text for r in search.search(queries, results, pages).collect()}
     assert texts[2] == "No results found."
@@ -136,6 +187,12 @@ def test_video(spark):
     )
     assert texts[bare[0]].text.startswith("Title: T\nAuthor: B\nURL: https://youtu.be/abcdefghij2\n\n\n---\n")
     assert texts["https://youtu.be/abcdefghij3"].error == "no metadata"
+    failed = videos.select("*", F.lit("No luck.").alias("failure"), F.when(F.col("url") == url, F.lit(" it said so ")).otherwise("").alias("stderr"))
+    told = {r.url: r.text for r in video.video_texts(failed.withColumn("limit", F.lit(0))).collect()}
+    assert told[url].endswith(f"URL: {url}\n\n\n---\nNo luck.\nstderr: it said so") and told[bare[0]].endswith("\n---\nNo luck.")
+    long = spark.range(1).select(t.extractor_error(F.lit("m"), F.lit("é" * 400)).alias("e")).first().e
+    assert long == "m\nstderr: " + "é" * 150
+    videos = videos.unionAll(videos)  # repeated rows count once
     requests = spark.createDataFrame([(1, {url: 0})], "request_id int, urls map<string,int>")
     pages = spark.createDataFrame([], "url string, html string")
     assert fetch.fetch(requests, pages, videos).first().text == texts[url].text

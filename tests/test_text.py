@@ -173,6 +173,21 @@ def test_dedupe(spark):
     assert column(spark, got, "array<string>", t.dedupe) == got
 
 
+def test_dedupe_of_many_repeats(spark):
+    items = [f"line number {i % 700} of the list" for i in range(3000)]
+    assert column(spark, [items], "array<string>", t.dedupe) == [items[:700]]
+
+
+def test_tally(spark):
+    got = column(spark, [["b", "a", "b"], []], "array<string>", t.tally)
+    assert got == [{"b": 2, "a": 1}, {}]
+    roots = [["c++", "a.b", "x\\Ey"], []]
+    words = [["c++11", "acb", "a.bc", "x\\Eyz", "xc++"], ["a"]]
+    df = spark.createDataFrame([(i, r, w) for i, (r, w) in enumerate(zip(roots, words))], "i int, r array<string>, w array<string>")
+    found = df.select("i", F.filter("w", lambda w: F.regexp_instr(w, t.beginning(F.col("r"))) == 1).alias("f")).orderBy("i").collect()
+    assert [r.f for r in found] == [["c++11", "a.bc", "x\\Eyz"], []]
+
+
 def test_comments(spark):
     df = spark.createDataFrame([([("ann", "hi", 3.9), ("bob", "yo", 0.0)],)], "c array<struct<author:string,text:string,like_count:double>>")
     assert df.select(t.format_comments(F.col("c"))).first()[0] == "- ann: hi (likes: 3)\n- bob: yo (likes: 0)"

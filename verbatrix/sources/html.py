@@ -18,7 +18,7 @@ from ..functions.constants import CONTENT_SELECTORS, MIN_REGION
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = {"script", "style", "head", "noscript", "template", "title"}
-BLOCKS = set("address article aside blockquote body details div dl dt dd fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tr ul".split())
+BLOCKS = set("address article aside blockquote body details div dl dt dd fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS | {"hr"}
 BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
@@ -110,7 +110,9 @@ class _Markdown(HTMLParser):
         self.stack: list[str] = []
         self.lists: list[list] = []
         self.links: list[str] = []
-        self.hidden = self.pre = self.quote = 0
+        self.tables: list[dict] = []
+        self.quotes: list[int] = []
+        self.hidden = self.pre = 0
 
     def text(self, s: str) -> None:
         if s:
@@ -122,6 +124,37 @@ class _Markdown(HTMLParser):
         if self.out and have < n:
             self.out.append("\n" * (n - have))
 
+    def taken(self, at: int) -> str:
+        """What was written from ``at`` on, taken back."""
+        held = "".join(self.out[at:])
+        del self.out[at:]
+        return held
+
+    def end_cell(self) -> None:
+        table = self.tables[-1]
+        if table["cell"] is not None:
+            table["rows"][-1].append(re.sub(r"\s+", " ", self.taken(table["cell"])).strip().replace("|", "\\|"))
+            table["cell"] = None
+
+    def end_table(self) -> None:
+        """Rows between bars, the first one as the head, in as many columns as the longest has."""
+        self.end_cell()
+        table = self.tables.pop()
+        loose, rows = self.taken(table["at"]).strip(), [r for r in table["rows"] if r]
+        if loose:  # a caption, say
+            self.text(loose)
+            self.brk()
+        if rows:
+            width = max(map(len, rows))
+            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+            self.text("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))
+        self.brk()
+
+    def end_quote(self) -> None:
+        inner = re.sub(r"\n{3,}", "\n\n", self.taken(self.quotes.pop())).strip()
+        self.text("\n".join(f"> {line}".rstrip() for line in inner.split("\n")) if inner else "")
+        self.brk()
+
     def close_tag(self, tag: str) -> None:
         if tag in self.stack:
             while self.stack:
@@ -168,7 +201,18 @@ class _Markdown(HTMLParser):
             self.pre += 1
         elif tag == "blockquote":
             self.brk()
-            self.text("> ")
+            self.quotes.append(len(self.out))
+        elif tag == "table":
+            self.brk()
+            self.tables.append({"at": len(self.out), "rows": [], "cell": None})
+        elif tag == "tr" and self.tables:
+            self.end_cell()
+            self.tables[-1]["rows"].append([])
+        elif tag in ("td", "th") and self.tables:
+            self.end_cell()
+            if not self.tables[-1]["rows"]:
+                self.tables[-1]["rows"].append([])
+            self.tables[-1]["cell"] = len(self.out)
         elif tag == "a":
             self.links.append(values.get("href") or "")
             self.text("[")
@@ -201,6 +245,12 @@ class _Markdown(HTMLParser):
             if self.lists:
                 self.lists.pop()
             self.brk(1 if self.lists else 2)
+        elif tag == "table" and self.tables:
+            self.end_table()
+        elif tag == "blockquote" and self.quotes:
+            self.end_quote()
+        elif tag in ("td", "th") and self.tables:
+            self.end_cell()
         elif tag in BLOCKS:
             self.brk(1 if tag == "li" else 2)
 
@@ -217,6 +267,8 @@ class _Markdown(HTMLParser):
             self.text(data)
             return
         flat = re.sub(r"[ \t\r\n\f]+", " ", data)
+        if flat == " " and self.tables and self.tables[-1]["cell"] is None:
+            return
         if not self.out or self.out[-1].endswith(("\n", " ")):
             flat = flat.lstrip(" ")
         self.text(flat)
@@ -228,7 +280,7 @@ class _Markdown(HTMLParser):
 
 
 def to_markdown(html: str) -> str:
-    """Headings, paragraphs, lists, links, images, emphasis, code, quotes and rules as Markdown.
+    """Headings, paragraphs, lists, links, images, emphasis, code, quotes, tables and rules as Markdown.
 
     Scripts, styles, heads and comments go; unclosed paragraphs, items and
     elements end where their container does.
@@ -266,21 +318,25 @@ def decoded(data: pd.Series, content_type: pd.Series) -> pd.Series:
 
 
 class _Listing(HTMLParser):
-    """Rows of the last table: links of results and the text of rows."""
+    """Rows of the last table that begins: links of results and the text of rows; a table inside has rows of its own."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
+        self.open: list[tuple[list[dict], dict | None]] = []
+        self.own: list[dict] = []
         self.row: dict | None = None
         self.in_link = False
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
         if tag == "table":
-            self.rows, self.row = [], None
+            self.open.append((self.own, self.row))
+            self.rows = self.own = []
+            self.row = None
         elif tag == "tr":
             self.row = {"href": None, "title": "", "text": ""}
-            self.rows.append(self.row)
+            self.own.append(self.row)
         elif tag == "a" and self.row is not None and self.row["href"] is None and "result-link" in (values.get("class") or "").split():
             self.row["href"], self.in_link = values.get("href") or "", True
 
@@ -289,6 +345,8 @@ class _Listing(HTMLParser):
             self.in_link = False
         elif tag == "tr":
             self.row = None
+        elif tag == "table" and self.open:
+            self.own, self.row = self.open.pop()
 
     def handle_data(self, data):
         if self.row is not None:
