@@ -36,6 +36,62 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2_secrets, which SQL can express."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _either_case(name: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_KINDS_SQL = f"""(VALUES (0, 'assign', '(?:{_NAMES})["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+', '^(?:{_NAMES})["'']?\\x20*[:=]\\x20*["'']?', 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', '^', 20), (2, 'hex', '[0-9a-f]+', '^', 24)) AS v(place, kind, pattern, before, least)"""
+
+#: Matches are marked, and what stands between the marks is counted.
+SECRETS_BASE_SQL = f"""
+WITH k AS (SELECT * FROM {_KINDS_SQL}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+marked AS (
+  SELECT r, place, kind, before, least, string_split(regexp_replace(t, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts
+  FROM d, k WHERE regexp_matches(t, pattern)),
+each AS (SELECT r, place, kind, before, least, unnest(range(1, len(parts))) AS i, parts FROM marked),
+found AS (
+  SELECT r, place, kind, list_sum(list_transform(parts[1:i], lambda x: length(replace(x, chr(2), '')))) AS a, string_split(parts[i + 1], chr(2))[1] AS m, before, least FROM each),
+spans AS (SELECT r, place, kind, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(m) AS b FROM found WHERE length(regexp_replace(m, before, '')) >= least),
+joined AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_mixing that don't depend on hashes, which SQL can express."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+#: Sources that are full leave the sharing, a round at a time.
+MIXING_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, place FROM s),
+rounds AS (
+  SELECT 0 AS k, (SELECT CAST(sum(source_size) AS DOUBLE) FROM w) AS left_, (SELECT CAST(sum(weight) AS DOUBLE) FROM w) AS share
+  UNION ALL
+  SELECT k + 1,
+    (SELECT sum(source_size) - coalesce(sum(3 * source_size) FILTER (weight * left_ / share > 3 * source_size), 0) FROM w),
+    (SELECT coalesce(sum(weight) FILTER (weight * left_ / share <= 3 * source_size), 0) FROM w)
+  FROM rounds WHERE k < 50 AND share > 0),
+last AS (SELECT left_, share FROM rounds WHERE share > 0 ORDER BY k DESC LIMIT 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(least(weight * left_ / share, 3.0 * source_size), 4) AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, last
+"""
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -166,10 +222,14 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "secrets_base": secrets_base,
+    "mixing_targets": mixing_targets,
 }
 
 ORACLES = {
     "op7_quality": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "secrets_base": SECRETS_BASE_SQL,
+    "mixing_targets": MIXING_TARGETS_SQL,
 }
