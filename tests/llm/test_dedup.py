@@ -247,3 +247,47 @@ def test_thousands_of_copies_of_one_original(spark):
     words = [f"w{x}" for x in rng.integers(0, 10**6, 130)]
     rows = [(9000, " ".join(words))] + [(i, edited(words, rng, rng.choice(np.arange(5, 125), 2, replace=False))) for i in range(3000)]
     assert [r.doc_id for r in sh.drop_similar(docs(spark, rows)).collect()] == [0]
+
+
+def test_every_pair_is_found_whatever_the_partitions(spark):
+    rng = np.random.default_rng(9)
+    rows, near, far = [], 0, 0
+    for g in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 10**5, 120)]
+        # each edit of a word changes five of 116 shingles
+        copy = edited(words, rng, rng.choice(np.arange(5, 115), int(rng.integers(1, 5)), replace=False))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, copy)]
+    rows += [(1000 + k, " ".join(f"b{x}" for x in rng.integers(0, 60, 40))) for k in range(60)]
+    want = grouped(rows)
+    assert 60 < len(rows) - len(want) < 120
+    for parts in (1, 7, 40):
+        assert {r.doc_id for r in sh.drop_similar(docs(spark, rows).repartition(parts)).collect()} == want
+
+
+def test_blocks_of_a_column():
+    import pyarrow as pa
+
+    from verbatrix.llm.common import text_blocks
+
+    values = ["a" * 10, None, "", "é" * 40, "b", "c" * 5, None]
+    for kind in (pa.string(), pa.large_string()):
+        for low in range(len(values) + 1):
+            column = pa.array(["x"] * 3 + values, kind).slice(3 + low)
+            for most in (1, 12, 1000):
+                got = list(text_blocks(column, most))
+                assert [v for _, _, part in got for v in part] == [None if v is None else v.encode() for v in values[low:]]
+                assert [a for a, _, _ in got] == [0, *(b for _, b, _ in got)][: len(got)]
+                assert all(len(part) == 1 or sum(len(v or b"") for v in part) <= most for _, _, part in got)
+
+
+def test_an_identifier_named_like_the_fingerprint(spark):
+    df = spark.createDataFrame([(1, "a b c", 2), (2, "A b  c", 3)], "fp long, text string, least int")
+    assert sorted(map(tuple, sh.near_duplicates(df, id_col="fp").collect())) == [(1, f"{reference_fingerprint('a b c'):016x}", 1), (2, f"{reference_fingerprint('a b c'):016x}", 1)]
+    with pytest.raises(ValueError, match="clashes"):
+        sh.fingerprints(df, id_col="fp")
+
+
+def test_rows_of_one_identifier(spark):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "b"), (None, "c"), (None, "a"), (None, "c"), (3, "c"), (0, "d d"), (0, "d  d")]
+    kept = sorted((r.doc_id is None, r.doc_id, spaced(r.text)) for r in ed.keep_first(docs(spark, rows)).collect())
+    assert kept == [(False, 0, "d d"), (False, 1, "a"), (False, 1, "b"), (False, 3, "c")]

@@ -446,30 +446,52 @@ def test_pipeline(spark, tmp_path):
         words = ["w" + str(x) for x in rng.integers(0, 10_000, 80)]
         if i % 6 == 0:
             words[3:9:2] = ["vermin", "wretch", "vermin"]
-        rows.append((i, " ".join(words), "en", f"s{i % 3}", 0))
-    rows += [(100, rows[1][1].replace(" ", "\n"), "en", "s1", 0), (101, rows[2][1] + " more", "en", "s1", 0), (102, None, None, None, None), (103, "", "en", "s1", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+        rows.append((i, " ".join(words), "en", f"s{i % 3}"))
+    long = " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60_000))
+    rows += [(100, rows[1][1].replace(" ", "\n"), "en", "s1"), (101, rows[2][1] + " more", "en", "s1"), (102, None, None, None), (103, "", "en", "s1")]
+    rows += [rows[4], rows[4], (104, long, "en", "s2"), (105, long + " more", None, "s2"), (None, rows[5][1], "en", "s0"), (None, "x y z", "en", None), (None, "x y z", "en", None), (106, " \t", "en", "s1")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h long, node long, y int, times int, n_kept string"
+    spark.createDataFrame([(*r, 0, 1, 2, 3, 4, "5") for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = {r[0] for r in rows}
+    kept = Counter(r[0] for r in rows)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / str(k)))
         out = spark.read.parquet(str(tmp_path / str(k)))
-        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        ids = Counter(r.doc_id for r in out.select("doc_id").collect())
         if name == "toxicity":
-            kept -= {i for i in range(60) if i % 6 == 0}
+            kept -= Counter(dict.fromkeys(range(0, 60, 6), 9))
         elif name == "exact_dedup":
-            kept -= {100, 103}
+            # 102 and 103 are empty, 106 is a space, a null identifier loses against 5, one "x y z" stays
+            kept = Counter(set(kept) - {100, 103})
         elif name == "simhash_near_dedup":
-            kept -= {101}
+            kept -= Counter([101, 105])
         if name in ("toxicity", "exact_dedup", "simhash_near_dedup"):
             assert ids == kept and out.columns == docs.columns
         elif name == "mixing":
-            assert ids <= kept and out.columns == docs.columns
+            assert set(ids) <= set(kept) and max(ids.values()) <= 3 and out.columns == docs.columns
         docs = out
-    assert "piece_ids" in docs.columns
+    assert "piece_ids" in docs.columns and docs.columns[2:] == [c.split()[0] for c in schema.split(", ")][2:]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_the_queries_sql(spark, tmp_path):
+    """The registered SQL against the queries, on rows that reach more than the tables do."""
+    import duckdb
+
+    from verbatrix.llm import queries
+
+    texts = ["Token: abcdef1 é AKIA" + "A" * 16 + " " + "0123456789abcdef" * 2, "apikey='x' API_KEY = \"1234567\" secretsecret:abcdefg", None, "", "a b " * 40, "passwd=abcde passwd:abcdef password=token=abcdefgh"]
+    rows = [(i, t, f"s{i % 4}" if i % 5 else None) for i, t in enumerate(texts * 3)] + [(99, "w " * 5000, "hot"), (99, "w " * 5000, "hot")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("secrets_base", "mixing_targets", "op7_quality", "op10_exact_dedup"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).drop("kept" if name.startswith("op10") else "")
+        found = con.execute(queries.ORACLES[name])
+        at = [[d[0] for d in found.description].index(c) for c in got.columns]
+        assert Counter(map(tuple, got.collect())) == Counter(tuple(r[i] for i in at) for r in found.fetchall()), name
