@@ -19,7 +19,7 @@ from .common import distinct_name, durable
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Bits of the hash that one level of the histogram tells apart.
-LEVEL_BITS = 10
+LEVEL_BITS = 15
 #: Plans of sources up to so many bytes (names and numbers, as counted) are joined by broadcast.
 BROADCAST_BYTES = 16 << 20
 
