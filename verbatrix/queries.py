@@ -13,6 +13,8 @@ from .operators import dedupe, highlight, ranking, scoring
 from .plans import fetch, search, video
 from .sources import html
 from .sources import video as video_source
+from .storage import shared_dir
+from .streaming import cache
 
 #: A query that some documents of every size answer.
 QUERY = "thereon lytion hatter"
@@ -673,6 +675,21 @@ def video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# streams
+
+
+@registered(f"SELECT DISTINCT 'https://example.org/' || user_id AS url, CAST({limit_sql('CAST(event_id % 9 * 700 AS INTEGER)')} AS INTEGER) AS \"limit\" FROM events")
+def cached_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of requests; those that repeat while they are cached are passed over."""
+    path = shared_dir(spark, "requests")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    requests = stream.select(F.concat(F.lit("https://example.org/"), "user_id").alias("url"), (F.col("event_id") % 9 * 700).cast("int").alias("limit"), F.col("ts").cast("timestamp").alias("ts"))
+    out = cache.distinct_requests(requests).select("url", "limit").writeStream.format("parquet").option("path", f"{path}/out")
+    out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 # whole queries
 
 
