@@ -43,3 +43,10 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tables_too_large_to_be_dealt(spark, monkeypatch):
+    want = Counter(map(tuple, queries.table(spark, SF, "documents", "doc_id", "source").collect()))
+    monkeypatch.setattr(queries, "SPREAD_BYTES", 0)
+    df = queries.table(spark, SF, "documents", "doc_id", "source")
+    assert Counter(map(tuple, df.collect())) == want and df.rdd.getNumPartitions() == 1

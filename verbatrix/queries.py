@@ -21,15 +21,21 @@ QUERY = "thereon lytion hatter"
 REPEATED_QUERY = "thereon lytion the thereon lytion hatter ering"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if its scan alone can't use them, as with one small file; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Tables of up to so many bytes on disk are dealt to all cores, as their few files would keep most of them idle.
+SPREAD_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df.select(*columns) if columns else df)
+    """A table, or some of its columns; the rows are the same, dealt or not."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
