@@ -201,13 +201,16 @@ class LanguageModel:
         out, texts = np.zeros((len(words), len(self.langs))), list(map(marked, words))
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         short = sum(len(t) <= SHORT for t in texts)
-        for low in range(0, short, 10_000):
-            group = order[low : min(low + 10_000, short)]
+        # sums of so many words at a time, however many languages there are
+        some = max(1, 2 * CACHE_VALUES // ((SHORT + 1) * max(len(self.langs), 1)))
+        few = max(1, CACHE_VALUES // (WINDOW * max(len(self.langs), 1)))
+        for low in range(0, short, some):
+            group = order[low : min(low + some, short)]
             lattice = Lattice([texts[i] for i in group], self.pieces)
             last = lattice.forward(self.scaled)[lattice.size, np.arange(lattice.n)]
             out[group] = np.log(last) - lattice.size[:, None] * np.log(SCALE)
-        for low in range(short, len(order), 128):
-            group = order[low : low + 128]
+        for low in range(short, len(order), few):
+            group = order[low : low + few]
             out[group] = self.long_scores([texts[i] for i in group])
         return out
 
