@@ -240,6 +240,8 @@ def test_long_runs_take_linear_time():
     rng = random.Random(5)
     for text in (b64(rng.randbytes(600_000)), "MII" * 200_000, "/MIIEpAIBAAKCAQEA" * 30_000, "a-" * 300_000, "eyJ-" * 20_000 + ".a.b", "\n".join(["MIIEpAIBAAKCAQEAMIIEpAIBAAKCAQEA"] * 2_000)):
         assert kinds(text) == []
+    many = [token({"alg": "HS256"}, {"sub": str(i)}) + " " + b64(RSA) for i in range(2_000)]
+    assert kinds(" ".join(many)) == ["jwt", "der"] * 2_000
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])

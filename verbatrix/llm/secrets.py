@@ -21,7 +21,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -249,6 +251,13 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _gaps(spans: list[tuple[int, int, str]]):
+    """Whether (start, end) overlaps none of ``spans``."""
+    ordered = sorted(spans)
+    starts, ends = [a for a, _, _ in ordered], list(accumulate((b for _, b, _ in ordered), max))
+    return lambda a, b: (k := bisect_left(starts, b)) == 0 or ends[k - 1] <= a
+
+
 def structural(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of tokens and keys that parse, in order of start; none lies in another."""
     out = []
@@ -256,11 +265,7 @@ def structural(text: str) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "pem") for m in PEM.finditer(text) if armoured(m[1], m[2])]
     if TOKEN_HINT.search(text):
         out += tokens(text)
-    taken, found = sorted(out), []
-
-    def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y, _ in taken)
-
+    found, free = [], _gaps(out)
     last = 0
     for run in RUN.finditer(text):
         if not free(*run.span()):
@@ -273,7 +278,7 @@ def structural(text: str) -> list[tuple[int, int, str]]:
             if hit and free(*hit[:2]):
                 found.append(hit)
                 last = hit[1]
-    taken = sorted(out + found)
+    free = _gaps(out + found)
     for m in HEX_DIGITS.finditer(text):
         if len(m[0]) % 2 or not free(*m.span()):
             continue
