@@ -41,13 +41,14 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
-TOKEN_HINT = re.compile(r"(?<![A-Za-z0-9])e[yw][A-Za-z0-9_-]{6,}\.")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+TOKEN_HINT = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))e[yw][A-Za-z0-9_-]{6,}+\.")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE)
 HEX_DIGITS = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}(?![0-9A-Fa-f])" % MIN_CANDIDATE)
 DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Where digits of base64 go on in the next line; line ends may be escaped, as in JSON.
 WRAP = re.compile(r"[ \t]*(?:(?:\\+r)?\\+n|\r?\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+TOKEN_HEAD = re.compile(rb"\{\s*(?:\}|\"[\w.:#/-]{1,60}\"\s*:)")
 START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))[A-Za-z0-9]")
 SSH_MAGIC = b"openssh-key-v1\x00"
 _RUNS = bytes(49 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
@@ -148,7 +149,9 @@ def decoded(text: str) -> list[bytes]:
 
 def is_token(header: str, claims: str, signature: str) -> bool:
     try:
-        if not re.match(rb"\{\s*[\"}]", unarmoured(header[:24])):
+        # its beginning and its end say whether the rest is worth decoding
+        tail = len(header) - (len(header) % 4 or 4) - 4
+        if not TOKEN_HEAD.match(unarmoured(header[:96])) or not unarmoured(header[max(tail, 0) :]).rstrip().endswith(b"}"):
             return False
         head, body = (json.loads(decoded(x)[-1]) for x in (header, claims))
     except (ValueError, IndexError, RecursionError):
@@ -180,8 +183,8 @@ def gathered(text: str, at: int, most: int) -> tuple[str, int]:
     """Up to ``most`` digits of base64 from ``at`` on, over line ends, and where they end."""
     parts, held = [], 0
     while True:
-        m = DIGITS.match(text, at)
-        parts.append(text[at : min(m.end(), at + most - held)])
+        m = DIGITS.match(text, at, at + most - held)
+        parts.append(m[0])
         held += len(parts[-1])
         more = WRAP.match(text, m.end()) if held < most else None
         if more is None:
@@ -216,8 +219,14 @@ def key_at(text: str, at: int) -> tuple[int, int, str] | None:
     return (at, end, kind) if (is_der_key if kind == "der" else is_ssh_key)(data) else None
 
 
-def text_at(text: str, at: int, end: int) -> tuple[int, int, str] | None:
-    """The candidate of base64 that begins at ``at`` and holds text with a secret that parses."""
+def text_at(text: str, at: int, end: int, searched: dict[int, int]) -> tuple[int, int, str] | None:
+    """The candidate of base64 that begins at ``at`` and holds text with a secret that parses.
+
+    ``searched`` says how far the run is decoded already from a start that is a
+    multiple of four digits away: what was found there needs no second look.
+    """
+    if at < searched.get(at % 4, 0):
+        return None
     if not unarmoured(text[at : at + MIN_CANDIDATE]).translate(None, _PLAIN) == b"":
         return None
     data = unarmoured(text[at:end])
@@ -226,6 +235,7 @@ def text_at(text: str, at: int, end: int) -> tuple[int, int, str] | None:
         cut = at + odd.start() * 8 // 6
         end = max((k for k in range(max(at, cut - 4), cut + 1) if not text[k].isalnum()), default=0)
         data = unarmoured(text[at:end]) if end - at >= MIN_CANDIDATE else b""
+    searched[at % 4] = end
     inner = structural(data.decode("ascii")) if data and _ODD.search(data) is None else []
     stop = _end(text, end)
     return (at, end if stop is None else stop, inner[0][2]) if inner else None
@@ -270,11 +280,12 @@ def structural(text: str) -> list[tuple[int, int, str]]:
     for run in RUN.finditer(text):
         if not free(*run.span()):
             continue
+        searched: dict[int, int] = {}
         for s in START.finditer(text, run.start(), run.end()):
             at = s.start()
             if at < last:
                 continue
-            hit = key_at(text, at) or (text_at(text, at, run.end()) if run.end() - at >= MIN_CANDIDATE else None)
+            hit = key_at(text, at) or (text_at(text, at, run.end(), searched) if run.end() - at >= MIN_CANDIDATE else None)
             if hit and free(*hit[:2]):
                 found.append(hit)
                 last = hit[1]
