@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, text_blocks
 
 VERSION = b"WARC/1.1"
 #: Payloads from this size on are deduplicated.
@@ -31,6 +31,8 @@ DEDUP_BYTES = 1000
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
 #: Bytes of blocks or payloads that a reader passes on at a time.
 BATCH_BYTES = 4 << 20
+#: Records whose blocks are held as objects at a time.
+ROWS = 32
 #: Hexadecimal digits of a digest that say which cell it is in; the cells of repeated payloads are broadcast.
 CELL_DIGITS = 5
 #: Records of one file at most, so that a file is a bounded piece of work for a reader.
@@ -143,14 +145,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                r = {name: column[0].as_py() for name, column in zip(batch.schema.names, batch.slice(k, 1).columns)}
-                name, url = r["name"].encode(), header_value(r["url"])
-                if r["refers_to"] is not None:
-                    out = [revisit(name, url, r["size"], r["sha1"], r["refers_to"].encode())]
-                else:
-                    out = response(name, url, r["payload"])
-                yield pa.RecordBatch.from_arrays([pa.array([member(x) for x in out], pa.binary())], ["value"])
+            for low, high, bodies in text_blocks(batch.column(2), BATCH_BYTES):
+                out = []
+                for r, body in zip(batch.slice(low, high - low).drop_columns(["payload"]).to_pylist(), bodies):
+                    name, url = r["name"].encode(), header_value(r["url"])
+                    if r["refers_to"] is not None:
+                        out.append(member(revisit(name, url, r["size"], r["sha1"], r["refers_to"].encode())))
+                    else:
+                        out += map(member, response(name, url, body))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # the text writer ends every row with a separator: a member without content
     records = slim.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -165,7 +168,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 def member(record: bytes, end: bytes = _END) -> bytes:
     """A record and the line ends after it as a gzip member, the same for the same record."""
-    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    made = zlib.compressobj(4, zlib.DEFLATED, 31)
     return made.compress(record + end) + made.flush()
 
 
@@ -309,7 +312,8 @@ def reassembled(found: DataFrame) -> DataFrame:
     columns = ["type", "record_id", "target_uri", "refers_to", "digest", "content_type"]
     found = found.filter("problem IS NULL")
     whole = found.filter(~F.col("segmented")).select(*columns, F.array("block").alias("blocks"), F.lit(True).alias("complete"))
-    parts = found.filter("segmented").withColumn("row", F.coalesce("row", F.lit("")))
+    # written, as archives would be parsed for each use of them
+    parts = durable(found.filter("segmented").select("origin", F.coalesce("row", F.lit("")).alias("row"), "segment", "total", "block", *columns))
     each = parts.groupBy("origin", "row", "segment").agg(
         F.count("*").alias("n"), F.sum(F.length("block").cast("long")).alias("size"), F.max("total").alias("total"), *(F.max(c).alias(c) for c in columns)
     )
@@ -377,13 +381,8 @@ def payloads(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = [], 0
-            for k in range(len(batch)):
-                rows.append(one({name: column[0].as_py() for name, column in zip(batch.schema.names, batch.slice(k, 1).columns)}))
-                held += len(rows[-1].get("payload") or b"")
-                if held > BATCH_BYTES or k == len(batch) - 1:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, held = [], 0
+            for low in range(0, len(batch), ROWS):
+                yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(low, ROWS).to_pylist()], schema)
 
     return found.select("record_id", "type", "target_uri", "refers_to", "digest", "content_type", "blocks", "complete").mapInArrow(
         run, "record_id string, type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_sha1 string, valid boolean"
