@@ -291,3 +291,25 @@ def test_rows_of_one_identifier(spark):
     rows = [(1, "a"), (1, "b"), (1, "a"), (2, "b"), (None, "c"), (None, "a"), (None, "c"), (3, "c"), (0, "d d"), (0, "d  d")]
     kept = sorted((r.doc_id is None, r.doc_id, spaced(r.text)) for r in ed.keep_first(docs(spark, rows)).collect())
     assert kept == [(False, 0, "d d"), (False, 1, "a"), (False, 1, "b"), (False, 3, "c")]
+
+
+def test_similar_texts_link_by_fingerprints(spark, monkeypatch):
+    """Copies whose fingerprints link need nothing else; each fingerprint has few pairs, however many links."""
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 2000)]
+    rows = [(i, edited(words, rng, [int(rng.integers(5, 1990))])) for i in range(60)] + [(100, "two words"), (101, "")]
+    fps = {i: reference_fingerprint(t, 5) for i, t in rows[:60]}
+    linked = {(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 2}
+    root = closure(range(60), linked)
+    want = {root[i] for i in range(60)} | {100, 101}
+    assert len(want) < 30 and len(linked) > 200
+    nodes = spark.createDataFrame([(i, sh._signed(f)) for i, f in fps.items()], "node long, fp long")
+    pairs = [tuple(r) for r in sh.linked_nodes(nodes).collect()]
+    assert 0 < len(pairs) <= 120 and {n for p in pairs for n in p} == {n for p in linked for n in p}
+    assert all(p in linked or fps[p[0]] == fps[p[1]] for p in pairs)
+    left = sh.drop_similar(docs(spark, rows)).count()
+    assert left == 3  # one of the copies, as the exact join links the rest
+    # the exact join switched off: prefixes of no length
+    monkeypatch.setattr(sh, "_prefixes", lambda *a: lambda batches: iter(()))
+    kept = {r.doc_id for r in sh.drop_similar(docs(spark, rows)).collect()}
+    assert len(kept) < 40 and {100, 101} <= kept

@@ -11,14 +11,14 @@ prune what the key brings together, before the full distance is counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import distinct_name, durable, text_blocks
@@ -58,16 +58,21 @@ def shingle_hashes(text: bytes, n: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def fingerprint(text: bytes, n: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of UTF-8 ``text``, A-Z lower-cased; 0 if it has no word."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all ``hashes``; 0 if there are none."""
     votes, total = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, n):
+    for h in hashes:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(0, dtype=np.int64)
         total += len(h)
     return int.from_bytes(np.packbits(2 * votes > total, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of UTF-8 ``text``, A-Z lower-cased; 0 if it has no word."""
+    return majority(shingle_hashes(text, n))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id_col, fp) for every row; ``fp`` is the fingerprint as a signed long.  Null text counts as empty."""
 
@@ -257,10 +262,13 @@ def near_duplicates(
     )
 
 
+def distinct_hashes(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    parts = list(shingle_hashes(text, n))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return distinct_hashes(list(shingle_hashes(text, n)))
 
 
 def set_node(shingles: np.ndarray) -> int:
@@ -273,28 +281,28 @@ def cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def _named(n: int):
-    """(id, h, node) for every row, and at the end of a task its counts of shingles by cell, in slices."""
+    """(id, h, node, fp) for every row, and at the end of a task its counts of shingles by cell, in slices."""
+    names = ["id", "h", "node", "fp", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << CELL_BITS, np.int32), None
         for batch in batches:
             kind = batch.schema.field(0).type
             for low, high, texts in text_blocks(batch.column(2), BLOCK_BYTES):
-                sets = [shingle_set(t or b"", n) for t in texts]
+                hashes = [list(shingle_hashes(t or b"", n)) for t in texts]
+                sets = [distinct_hashes(parts) for parts in hashes]
                 np.add.at(counts, cells(np.concatenate(sets)), 1)
+                fps = np.array([majority(parts) for parts in hashes], np.uint64).view(np.int64)
                 nodes = [set_node(x) if len(x) else None for x in sets]
                 size = high - low
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, size), batch.column(1).slice(low, size), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                    ["id", "h", "node", "slice", "counts"],
+                    [batch.column(0).slice(low, size), batch.column(1).slice(low, size), pa.array(nodes, pa.int64()), pa.array(fps), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names
                 )
         if kind is not None:
             for k, part in enumerate(counts.reshape(-1, SLICE)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                        ["id", "h", "node", "slice", "counts"],
-                    )
+                    empty = [pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(3))]
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
     return run
 
@@ -414,10 +422,30 @@ def block_pairs(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, durable(left.join(right, "token").filter("x <= y").select("x", "y").distinct())
 
 
+def linked_nodes(rows: DataFrame, max_bits: int = MAX_BITS, m: int = SEGMENTS) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of ``rows`` (node, fp) to verify, from the links of their fingerprints.
+
+    Each node goes with the least one of its fingerprint, and that with the least
+    one of the nearest fingerprint it links to, so there are no more pairs than
+    twice the nodes, however many links a group has.
+    """
+    held = rows.filter("node IS NOT NULL").select("fp", "node").distinct()
+    least = durable(held.groupBy("fp").agg(F.min("node").alias("least")))
+    found = durable(links(least.select("fp"), max_bits, m))
+    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nearest = both.groupBy("a").agg(F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "b")).alias("k")).select("a", "k.b")
+    x, y = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    pairs = nearest.join(x, "a").join(y, "b").select("x", "y").unionAll(held.join(least, "fp").select(F.col("node").alias("x"), F.col("least").alias("y")))
+    return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_pairs(docs: DataFrame, rows: DataFrame, counts: np.ndarray, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes of ``rows`` (id, h, node) that connect all texts of similarity ``similarity`` or more.
+    """(a, b): pairs of nodes of ``rows`` (id, h, node, fp) that connect all texts of similarity ``similarity`` or more.
 
-    An exact join by prefixes.  All shingles have one order, from the rare to the
+    First come the links of fingerprints, found by chains of ring segments and
+    verified.  A similarity may lie beyond what fingerprints of few differing bits
+    show, so an exact join by prefixes follows, which passes over the pairs that
+    these connect.  All shingles have one order, from the rare to the
     frequent as ``counts`` has them (which matters to the effort only); two similar
     sets share a shingle among the first ``(1 - similarity) * size + 1`` of each.
     Pairs that share one of up to PAIRWISE texts are counted, and verified if the
@@ -425,38 +453,56 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, counts: np.ndarray, id_col:
     frequent one are compared in blocks, each pair of blocks in one piece; of
     their links a spanning forest is kept.  Every verification is on the whole sets.
     """
-    first = durable(docs.select(text_col).mapInArrow(_prefixes(n, similarity, counts), "node bigint, size int, prefix array<bigint>").dropDuplicates(["node"]))
-    entries = first.select("node", "size", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
+    one = durable(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "h")).alias("one")).select("node", "one.id", "one.h"))
+    texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("dh"), F.col(text_col).alias("text"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        found = one.join(wanted, "node").join(texts, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("node", "text")
+        return durable(found.mapInArrow(_sets(n), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        of_a, of_b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.join(of_a, "a").join(of_b, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    close = durable(linked_nodes(rows))
+    sets = sets_of(ends(close).distinct())
+    near = durable(verified(close, sets))
+    known = durable(components(near).distinct())
+
+    first = docs.select(text_col).mapInArrow(_prefixes(n, similarity, counts), "node bigint, size int, prefix array<bigint>").dropDuplicates(["node"])
+    first = durable(first.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    entries = first.select("node", "size", "root", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
     shared = durable(entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
-    marked = durable(entries.join(shared, "token"))
+    # counted in place, as a join would be one of two plans, by whether a shingle is hot at all
+    heavy = F.count(F.when(F.col("n") > PAIRWISE, 1)).over(Window.partitionBy("node"))
+    marked = durable(entries.join(shared, "token").withColumn("hot", heavy))
     hot = marked.filter(F.col("n") > PAIRWISE)
-    heavy = hot.groupBy("node").agg(F.count("*").alias("hot"))
-    cold = durable(marked.filter(F.col("n") <= PAIRWISE).join(heavy, "node", "left").select("token", F.struct("node", "size", (F.col("size") - F.col("length")).alias("rest"), F.coalesce("hot", F.lit(0)).alias("hot")).alias("t")))
+    cold = marked.filter(F.col("n") <= PAIRWISE).select("token", F.struct("node", "size", "root", (F.col("size") - F.col("length")).alias("rest"), "hot").alias("t"))
     left, right = cold.withColumnRenamed("t", "l"), cold.withColumnRenamed("t", "r")
     smaller, larger = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
-    met = left.join(right, "token").filter((F.col("l.node") < F.col("r.node")) & (smaller >= similarity * larger - 1e-6))
+    met = left.join(right, "token").filter((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & (smaller >= similarity * larger - 1e-6))
     most = F.col("common") + F.least("l.hot", "r.hot") + F.greatest("l.rest", "r.rest")
     needed = similarity / (1 + similarity) * (F.col("l.size") + F.col("r.size")) - 1e-6
     pairs = durable(met.groupBy("l", "r").agg(F.count("*").alias("common")).filter(most >= needed).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
     placed, joined = block_pairs(hot)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(placed.select("node")).distinct()
-    named = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "h")).alias("one")).select("node", "one.id", "one.h").join(wanted, "node")
-    texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("dh"), F.col(text_col).alias("text"))
-    found = named.join(texts, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("node", "text")
-    sets = durable(found.mapInArrow(_sets(n), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
-
-    of_a, of_b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.join(of_a, "a").join(of_b, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    ends = joined.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    pieces = ends.join(placed.join(sets, "node"), "block").select("x", "y", "block", "node", "shingles")
-    return verified.unionAll(pieces.groupBy("x", "y").applyInArrow(_block_links(similarity), "a bigint, b bigint"))
+    wanted = ends(pairs).unionAll(placed.select("node")).distinct()
+    sets = sets.unionAll(sets_of(wanted.join(sets.select("node"), "node", "left_anti")))
+    blocks = joined.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    pieces = blocks.join(placed.join(sets, "node"), "block").select("x", "y", "block", "node", "shingles")
+    return near.unionAll(verified(pairs, sets)).unionAll(pieces.groupBy("x", "y").applyInArrow(_block_links(similarity), "a bigint, b bigint"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, all columns kept.
 
+    Fingerprints of the word ``n``-grams link as in ``near_duplicates``; the links
+    are verified, and an exact join adds what fingerprints don't show.
+
     Two texts are near-duplicates if their sets of word ``n``-grams have a Jaccard
     similarity of ``similarity`` or more; groups are connected by such pairs, and
     the row with the smallest id stays (null last).  All such pairs count, however
@@ -465,8 +511,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    written = durable(source.mapInArrow(_named(n), f"id {kind}, h bigint, node bigint, slice int, counts binary"))
-    rows = written.filter("slice IS NULL").select("id", "h", "node")
+    written = durable(source.mapInArrow(_named(n), f"id {kind}, h bigint, node bigint, fp bigint, slice int, counts binary"))
+    rows = written.filter("slice IS NULL").select("id", "h", "node", "fp")
     roots = components(similar_pairs(docs, rows, cell_counts(written), id_col, text_col, n, similarity))
     members = durable(rows.filter("node IS NOT NULL").join(roots.distinct(), "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")))
     first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("first"))
