@@ -167,6 +167,28 @@ def test_search(spark):
     assert second == "Title: One\nURL: https://a.b/1\nSnippet: about one"
 
 
+def cut_pages(tmp_path, spark):
+    """Three pages; two have a title that was cut within a reference, two have one URL, of which one fails in ``fetch_pipeline``."""
+    body = "<html><article><h1>{}</h1><p>" + "some words " * 30 + "</p></article></html>"
+    rows = [(1, "https://a.b/1", body.format("Ebb &amp; flow &amp;&amp")), (2, "https://a.b/2", body.format("Plain &amp#38 &copy;")), (4, "https://a.b/1", body.format("Ebb &amp; flow &amp;&amp"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_references_that_are_cut(spark, tmp_path):
+    import duckdb
+
+    from verbatrix import queries
+
+    sf = cut_pages(tmp_path, spark)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["markdown"]).fetchall())
+    assert sorted((r.page_id, r.markdown) for r in queries.QUERIES["markdown"](spark, sf).collect()) == want
+    assert want[0][1].startswith("# Ebb & flow &&amp\n")
+    assert html.to_markdown("<p>a &amp</p>") == "a &"  # the operator reads them as browsers do
+
+
 def test_fetch(spark):
     requests = spark.createDataFrame([(1, {"https://b": 0, "https://a": 5}), (2, {})], "request_id int, urls map<string,int>")
     pages = spark.createDataFrame([("https://a", PAGE, None, 1), ("https://a", "zzz", "timed out", 2), (None, "x", None, 3)], "url string, html string, error string, limit int")
