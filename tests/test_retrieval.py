@@ -189,6 +189,21 @@ def test_references_that_are_cut(spark, tmp_path):
     assert html.to_markdown("<p>a &amp</p>") == "a &"  # the operator reads them as browsers do
 
 
+def test_all_pages_of_a_url_are_fetched(spark, tmp_path):
+    import duckdb
+
+    from verbatrix import queries
+
+    sf = cut_pages(tmp_path, spark)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet/*.parquet'")
+    ((number, want),) = con.execute(queries.ORACLES["fetch_pipeline"]).fetchall()
+    (got,) = queries.QUERIES["fetch_pipeline"](spark, sf).collect()
+    blocks = got.text.split("\n\n---\n\n")
+    assert got.request_id == number and sorted(blocks) == sorted(want.split("\n\n---\n\n"))
+    assert [b[:9] for b in blocks] == ["# Ebb & f", "Fetch fai", "# Plain &"]  # by URL, then by text
+
+
 def test_fetch(spark):
     requests = spark.createDataFrame([(1, {"https://b": 0, "https://a": 5}), (2, {})], "request_id int, urls map<string,int>")
     pages = spark.createDataFrame([("https://a", PAGE, None, 1), ("https://a", "zzz", "timed out", 2), (None, "x", None, 3)], "url string, html string, error string, limit int")
