@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import random
 import re
@@ -115,6 +116,47 @@ def test_merging_long_chunks(models):
         assert ids(made.encode(text)) == library.encode(text)
 
 
+def test_words_are_encoded_apart_from_their_punctuation(models, monkeypatch):
+    made, library = fst.PieceTransducer(open(fst.DEFAULT_MODEL, "rb").read()), models[1]
+    assert all(made.chunk.findall(p) == [p] for p in made.ids)
+    assert made.chunk.findall("▁stte,▁▁дом中\n▁") == ["▁stte", ",", "▁▁дом", "中", "\n", "▁"]
+    asked = []
+    monkeypatch.setattr(made, "_encoded", lambda texts, plain=made._encoded: asked.extend(texts) or plain(texts))
+    texts = [f"erndntor{mark} stte{mark}" for mark in (",", ".", "%%%", "***", "?", "")]
+    assert [ids(e) for t in texts for e in made.encode_all([t])] == [library.encode(t) for t in texts]
+    assert sorted(asked) == sorted({"▁erndntor", "▁stte", ",", ".", "%%%", "***", "?"})
+
+
+def test_frequent_chunks_stay_known(models, monkeypatch):
+    made, library = fst.PieceTransducer(open(fst.DEFAULT_MODEL, "rb").read()), models[1]
+    monkeypatch.setattr(fst, "CACHE_CHUNKS", 5)
+    asked, most = [], 0
+    monkeypatch.setattr(made, "_encoded", lambda texts, plain=made._encoded: asked.extend(texts) or plain(texts))
+    for k in range(40):
+        text = f"the of rare{chr(97 + k % 20)}{chr(97 + k // 20)}"
+        assert ids(made.encode(text)) == library.encode(text)
+        most = max(most, len(made.encoded))
+    assert asked.count("▁the") == asked.count("▁of") == 1 and most <= 5
+
+
+@pytest.mark.parametrize("by_script", [True, False])
+def test_trained_merge_models(by_script):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 7))) for _ in range(200)]
+    marks = ["", "", ",", "...", "'s", "-]^", "12", "\\n", "&&", "||", "中文", "漢字", "Да", "дом"]
+    corpus = [" ".join(rng.choice(words) + rng.choice(marks) for _ in range(30)) for _ in range(100)]
+    model = io.BytesIO()
+    spm.SentencePieceTrainer.train(
+        sentence_iterator=iter(corpus), model_writer=model, model_type="bpe", vocab_size=600, byte_fallback=True,
+        hard_vocab_limit=False, split_by_unicode_script=by_script, split_by_number=by_script, minloglevel=2,
+    )
+    made, library = fst.PieceTransducer(model.getvalue()), spm.SentencePieceProcessor(model_proto=model.getvalue())
+    assert any(re.search("[a-z]", g) and re.search("[^a-z]", g) for g in made._alphabets()) != by_script
+    assert all(made.chunk.findall(p) == [p] for p in made.ids)
+    texts = corpus + ["".join(rng.choice("aeinorst ,.'-]^\\&|12中文漢Дом\n▁😀é") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    assert [ids(e) for e in made.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
 def test_names_that_clash(spark):
     docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Piece_Ids int")
     with pytest.raises(ValueError, match="already"):

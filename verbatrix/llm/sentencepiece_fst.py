@@ -34,6 +34,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker holds the encodings of, and pairs whose merging it knows.
 CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 150_000, 300_000, 64
+#: Alphabets that texts are cut by; more would take longer to tell apart.
+ALPHABETS = 16
 BLOCK_BYTES = 1 << 20
 _INF = float("inf")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -138,18 +140,37 @@ class PieceTransducer:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.whole = inner or self.kind == UNIGRAM and any("\n" in p for p in self.ids)
         broken = any("\n" in p for p in self.ids)
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if broken else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        if self.kind == BPE:
+            self.chunk = re.compile("".join(f"{SPACE}*[{g}]+|" for g in self._alphabets()) + f"{SPACE}*[^{SPACE}]|{SPACE}+")
+        else:
+            self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if broken else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         if self.kind == BPE:
             self._compile_merges()
         else:
             self.ids_made = self.ids
-        #: For the end of every piece: the piece it is, or -1 if only longer ones end so.
-        self.arcs = dict.fromkeys((p[k:] for p in self.ids_made for k in range(len(p))), -1) | self.ids_made
+        self._compile_arcs()
         self.consistent = Memo(self._consistent, CACHE_PAIRS)
         self.encoded: dict[str, bytes] = {}
         self.text_of = [self._text_of(i) for i in range(len(self.pieces))]
 
+    def _alphabets(self) -> list[str]:
+        """Characters that stand beside others in pieces, as the insides of character classes: no piece has some of two.
+
+        No merge crosses from one to another, nor to or from a character that is in
+        none, so texts can be cut there.  The largest comes first, the smallest are one.
+        """
+        group: dict[str, set[str]] = {}
+        for piece in self.ids:
+            chars = piece.lstrip(SPACE)
+            known = [group.get(c) for c in chars]
+            if len(chars) > 1 and any(g is None or g is not known[0] for g in known):
+                joined = set(chars).union(*filter(None, known))
+                group.update(dict.fromkeys(joined, joined))
+        groups = sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-len(g), min(g)))
+        groups[ALPHABETS:] = [set().union(*groups[ALPHABETS:])] if groups[ALPHABETS:] else []
+        return ["".join(map(re.escape, sorted(g))) for g in groups]
+
     # normaliser
 
     def mapped(self, text: str) -> str:
@@ -179,6 +200,38 @@ class PieceTransducer:
 
     # arcs
 
+    def _compile_arcs(self) -> None:
+        """The automaton of all pieces: a state is the longest beginning of a piece that a text read so far ends in.
+
+        ``steps`` leads to longer beginnings and ``shorter`` to the next one that the
+        text ends in too; ``ending`` has (length, piece) of the pieces it ends in, the
+        longest first.
+        """
+        nothing: dict[str, int] = {}
+        self.steps, self.shorter, self.ending = [{}], [0], [()]
+        level = [(0, sorted(filter(None, self.ids_made)), 0)]
+        while level:
+            below = []
+            for state, pieces, depth in level:
+                first, at = 0, depth + 1
+                while first < len(pieces):
+                    char, end = pieces[first][depth], first + 1
+                    while end < len(pieces) and pieces[end][depth] == char:
+                        end += 1
+                    back = self.shorter[state]
+                    while back and char not in self.steps[back]:
+                        back = self.shorter[back]
+                    back, new = self.steps[back].get(char, 0) if state else 0, len(self.steps)
+                    whole = len(pieces[first]) == at
+                    self.steps[state][char] = new
+                    self.steps.append(nothing if whole and end - first == 1 else {})
+                    self.shorter.append(back)
+                    self.ending.append(((at, self.ids_made[pieces[first]]), *self.ending[back]) if whole else self.ending[back])
+                    if end - first > whole:
+                        below.append((new, pieces[first + whole : end], at))
+                    first = end
+            level = below
+
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 
@@ -253,14 +306,14 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return len(parts[0])
 
-    def _consistent(self, pair: tuple[int, int]) -> bool:
-        """Whether merging leaves the boundary between two pieces as it is.
+    def _consistent(self, pair: int) -> bool:
+        """Whether merging leaves the boundary between two pieces, the first times the number of pieces plus the second, as it is.
 
         Undoes the merges next to the boundary, the latest first.  While two
         symbols stood there, they would have merged if that is better than the
         merge that took one of them away; on the left side an equal one came first.
         """
-        a, b = pair
+        a, b = divmod(pair, len(self.pieces))
         if a not in self.regular or b not in self.regular:
             return self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         ids, pieces, scores, halves = self.ids, self.pieces, self.scores, self.halves
@@ -289,42 +342,40 @@ class PieceTransducer:
         the positions that a text shares with the one before stays, so sorted
         texts are walked like a tree of their beginnings.
         """
-        arcs_of, scores, rare = self.arcs, self.scores, 10.0 - self.least
-        consistent = self.consistent if self.kind == BPE else None
-        cost, last, back, shown = [0.0], [-1], [0], ""
+        steps, shorter, ending, scores, rare = self.steps, self.shorter, self.ending, self.scores, 10.0 - self.least
+        consistent, many = self.consistent if self.kind == BPE else None, len(self.pieces)
+        cost, last, back, states, shown = [0.0], [-1], [0], [0], ""
         for text in texts:
             size, same = len(text), 0
             for x, y in zip(shown, text):
                 if x != y:
                     break
                 same += 1
-            del cost[same + 1 :], last[same + 1 :], back[same + 1 :]
-            shown = text
-            for end in range(same + 1, size + 1):
-                start, starts, found, single = end, [], [], False
-                while start and (piece := arcs_of.get(text[start - 1 : end])) is not None:
-                    start -= 1
-                    if piece >= 0:
-                        starts.append(start)
-                        found.append(piece)
-                        single = single or start == end - 1
-                best, chosen, origin = _INF, -2, 0
-                while found:
-                    piece, start = found.pop(), starts.pop()
-                    before = last[start]
+            del cost[same + 1 :], last[same + 1 :], back[same + 1 :], states[same + 1 :]
+            shown, state = text, states[same]
+            for end, char in enumerate(text[same:] if same else text, same + 1):
+                while (step := steps[state].get(char)) is None and state:
+                    state = shorter[state]
+                state = step or 0
+                best, chosen, origin, arcs = _INF, -2, 0, ending[state]
+                for length, piece in arcs:
+                    before = last[end - length]
                     if before == -2:
                         continue
                     if consistent is not None:
-                        if before < 0 or consistent[before, piece]:
-                            best, chosen, origin = cost[start] - scores[piece], piece, start
+                        if before < 0 or consistent[before * many + piece]:
+                            origin = end - length
+                            best, chosen = cost[origin] - scores[piece], piece
                             break  # there is no other
-                    elif cost[start] - scores[piece] < best:
-                        best, chosen, origin = cost[start] - scores[piece], piece, start
-                if not single and last[end - 1] != -2 and cost[end - 1] + rare < best:
+                    elif cost[end - length] - scores[piece] < best:
+                        origin = end - length
+                        best, chosen = cost[origin] - scores[piece], piece
+                if not (arcs and arcs[-1][0] == 1) and last[end - 1] != -2 and cost[end - 1] + rare < best:
                     best, chosen, origin = cost[end - 1] + rare, -1, end - 1
                 cost.append(best)
                 last.append(chosen)
                 back.append(origin)
+                states.append(state)
             if last[size] == -2:
                 yield None
                 continue
@@ -357,12 +408,13 @@ class PieceTransducer:
             return [next(self._encoded([t])) if t else b"" for t in texts]
         known, split = self.encoded, list(map(self.chunk.findall, texts))
         wanted = set().union(*split) if split else set()
-        new = sorted(c for c in wanted if c not in known and len(c) <= LONGEST_CACHED)
+        new = wanted.difference(known)
+        long = {c for c in new if len(c) > LONGEST_CACHED}
+        new = sorted(new - long if long else new)
         if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = sorted(c for c in wanted if len(c) <= LONGEST_CACHED)
+            # of what is known, what is in these texts is likely frequent
+            known = self.encoded = {c: known[c] for c in wanted if c in known}
         known.update(zip(new, self._encoded(new)))
-        long = {c for c in wanted if len(c) > LONGEST_CACHED}
         if not long:
             return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         return [b"".join(next(self._encoded([c])) if c in long else known[c] for c in chunks) for chunks in split]
