@@ -8,6 +8,7 @@ import io
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -139,6 +140,19 @@ def test_frequent_chunks_stay_known(models, monkeypatch):
     assert asked.count("▁the") == asked.count("▁of") == 1 and most <= 5
 
 
+def test_long_texts_take_little_memory(models, monkeypatch):
+    made, library = models
+    text = "\n".join(["中国日本" * 10] * 30_000)
+    tracemalloc.start()
+    out = made.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids(out) == library.encode(text) and peak < 10 * len(out)
+    monkeypatch.setattr(fst, "LONGEST_SPLIT", 10)
+    texts = ["one, two three. " * 9_000 + "x" * 70, "", "a  b", text[:90], "▁" * 20]
+    assert [ids(e) for e in made.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
 @pytest.mark.parametrize("by_script", [True, False])
 def test_trained_merge_models(by_script):
     rng = random.Random(5)

@@ -21,6 +21,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 150_000, 300_000, 64
 #: Alphabets that texts are cut by; more would take longer to tell apart.
 ALPHABETS = 16
+#: Characters of a text whose chunks are held together.
+LONGEST_SPLIT = 1 << 20
 BLOCK_BYTES = 1 << 20
 _INF = float("inf")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -406,8 +409,17 @@ class PieceTransducer:
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [next(self._encoded([t])) if t else b"" for t in texts]
-        known, split = self.encoded, list(map(self.chunk.findall, texts))
-        wanted = set().union(*split) if split else set()
+        if any(len(t) > LONGEST_SPLIT for t in texts):
+            return [b"".join(self._joined([c])[0] for c in self._parts(t)) for t in texts]
+        return self._joined(list(map(self.chunk.findall, texts)))
+
+    def _parts(self, text: str) -> Iterator[tuple[str, ...]]:
+        """The chunks of ``text``, some at a time, so those of a long text are never held together."""
+        return batched((m[0] for m in self.chunk.finditer(text)), 1 << 16)
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        """The encodings of texts, given as their chunks."""
+        known, wanted = self.encoded, set().union(*split)
         new = wanted.difference(known)
         long = {c for c in new if len(c) > LONGEST_CACHED}
         new = sorted(new - long if long else new)
